@@ -10,7 +10,7 @@ from ionloom.sources.tables import table
 
 
 def _annotations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "ms2_annotations").select("feature_id", F.upper(F.trim(F.regexp_replace("inchikey", r"[\s ]+", " "))).alias("inchikey"), "score")
+    rows = table(spark, d, "ms2_annotations").select("feature_id", F.upper(F.regexp_replace("inchikey", r"^\s+|\s+$", "")).alias("inchikey"), "score")
     return rows.where("inchikey != '' and score between 0 and 1")
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ionloom.session import cut
+
 #: Rows gathered before the local candidates are pruned again.
 PRUNE_ROWS = 100_000
 
@@ -58,8 +60,8 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
             best = best.assign(bound=best.groupby("g")["s"].transform("min").where(size == n))
             yield from pa.Table.from_pandas(best[["g", "i", "s", "bound"]], preserve_index=False).to_batches(max_chunksize=10_000)
 
-    # Both uses of the candidates share this exchange.
-    candidates = clean.mapInArrow(local, schema).repartition("g")
+    # Used twice; written once, as it is small and its pass over the input is not.
+    candidates = cut(clean.mapInArrow(local, schema))
     bounds = candidates.groupBy("g").agg(F.max("bound").alias("least"))
     survivors = candidates.join(bounds, "g").where("least is null or s >= least")
     best = survivors.groupBy("g", "i").agg(F.max("s").alias("s"))
