@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import nearest_time, topn
+from ionloom.llm import leakage, nearest_time, topn
 from ionloom.sources.tables import table
 
 
@@ -31,7 +31,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest_time.pair_nearest(ms2, ms1, ["sample_id"], "rt", "rt", "ms2_scan_id", "ms1_scan_id", tolerance=2000)
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p6_found": p6_found}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item the documents that hold it and the longest passage."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words").alias("longest_passage"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items}
 
 _TOP5 = """
 WITH b AS (
