@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import leakage, nearest_time, topn
+from ionloom.llm import leakage, mixing, nearest_time, topn
 from ionloom.sources.tables import table
 
 
@@ -45,7 +45,21 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words").alias("longest_passage"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items}
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of the mix and how often it occurs."""
+    return _mix(spark, d).documents()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mix(spark, d).shares()
+
+
+QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _TOP5 = """
 WITH b AS (
