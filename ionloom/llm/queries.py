@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import leakage, mixing, nearest_time, topn
+from ionloom.llm import leakage, mixing, nearest_time, quantiles, topn
 from ionloom.sources.tables import table
 
 
@@ -24,6 +24,34 @@ def p4_ranked(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(_annotations(spark, d), "feature_id", "inchikey", "score", 5)
 
 
+def _measures(spark: SparkSession, d: str) -> list[DataFrame]:
+    """sample_id, measure, load_month, value of the two measures; each in its own table."""
+    of = lambda name, col: table(spark, d, name).select("sample_id", F.lit(col).alias("measure"), F.date_format("loaded_at", "yyyy-MM").alias("load_month"), F.col(col).alias("value"))
+    return [of("ms2_associations", "ppm_offset"), of("ms1_scans", "tic")]
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per sample, from the merged sketches of all partitions."""
+    keys = ["sample_id", "measure"]
+    out = []
+    for df in _measures(spark, d):
+        df = df.select(*keys, "value")
+        out.append(quantiles.percentiles(quantiles.merged(quantiles.sketches(df, keys, "value"), keys, df.rdd.getNumPartitions()), keys))
+    return out[0].unionByName(out[1])
+
+
+def p5_combined(spark: SparkSession, d: str) -> DataFrame:
+    """The same from sketches made for each month of loading on its own and then combined."""
+    keys = ["sample_id", "measure"]
+    out = []
+    for df in _measures(spark, d):
+        monthly = quantiles.merged(quantiles.sketches(df, [*keys, "load_month"], "value"), [*keys, "load_month"], df.rdd.getNumPartitions())
+        # Months since the year 2000 number the loads.
+        loads = monthly.withColumn("part", F.greatest(F.lit(0), F.months_between(F.to_date("load_month", "yyyy-MM"), F.lit("2000-01-01"))).cast("bigint")).drop("load_month")
+        out.append(quantiles.percentiles(quantiles.merged(loads, keys, 1200, fan_in=600), keys))
+    return out[0].unionByName(out[1])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The MS1 scan nearest in time to each MS2 scan, within two seconds."""
     ms2 = table(spark, d, "ms2_associations").select("sample_id", F.col("scan_id").alias("ms2_scan_id"), "rt")
@@ -59,7 +87,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p5_percentiles": p5_percentiles, "p5_combined": p5_combined, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _TOP5 = """
 WITH b AS (
