@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import leakage, mixing, nearest_time, quantiles, topn
+from ionloom.llm import leakage, mixing, nearest_time, objectionable, quantiles, topn
 from ionloom.sources.tables import table
 
 
@@ -87,7 +87,33 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p5_percentiles": p5_percentiles, "p5_combined": p5_combined, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
+#: Calibrated probability from which a document is flagged.
+FLAG_FROM = 0.4
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    scorer = objectionable.fit(documents, table(spark, d, "content_labels"), "doc_id", "text", "objectionable")
+    return objectionable.scored(documents.withColumn("source", mixing.source_name(F.col("source"))), scorer, "doc_id", "text", keep=("source",))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents flagged for objectionable language."""
+    return _scored(spark, d).where(F.col("score") >= FLAG_FROM).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, d).select("doc_id", F.round("score", 6).alias("score"), (F.col("score") >= FLAG_FROM).alias("flagged"))
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged documents and their rate per source."""
+    flagged = F.count_if(F.col("score") >= FLAG_FROM)
+    return _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), flagged.alias("n_flagged"), F.round(flagged / F.count(F.lit(1)), 6).alias("flagged_rate"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p5_percentiles": p5_percentiles, "p5_combined": p5_combined, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources}
 
 _TOP5 = """
 WITH b AS (
