@@ -7,12 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.operators import intervals, references
+from ionloom.operators import intervals, references, wide
 from ionloom.sources.tables import table
 
 PIXEL = ["sample_id", "pixel_id"]
 
 
+def p1_wide(spark: SparkSession, d: str) -> DataFrame:
+    """metadata as one row per sample with typed attributes."""
+    attrs = wide.attributes(table(spark, d, "metadata_attrs"))
+    return wide.stitch(table(spark, d, "metadata"), attrs, "sample_id", "key", "value")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the wide table that cannot be filled without doubt."""
+    attrs = wide.attributes(table(spark, d, "metadata_attrs"))
+    return wide.issues(p1_wide(spark, d), attrs, "sample_id")
+
+
 def _dwells(spark: SparkSession, d: str) -> DataFrame:
     return intervals.valid_dwells(table(spark, d, "spatial_pixels"), PIXEL, "t_start", "t_end", 1000)
 
@@ -57,7 +69,37 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return references.by_period(rows, ["ref_table"], F.date_format("loaded_at", "yyyy-MM"), "missing").withColumnRenamed("period", "month")
 
 
-QUERIES = {"p3_found": p3_found, "p3_periods": p3_periods, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p3_periods": p3_periods, "p7_found": p7_found, "p7_report": p7_report}
+
+_CELLS = """
+WITH names AS (
+  SELECT attr, value_type, unit_name, unit_factors, regexp_replace(lower(n), '[^\\p{L}\\p{N}]', '', 'g') AS k
+  FROM (SELECT *, unnest(list_append(also_known_as, attr)) AS n FROM metadata_attrs)
+), v AS (
+  SELECT sample_id, attr, value_type, unit_name, unit_factors, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS x
+  FROM metadata JOIN names ON regexp_replace(lower(key), '[^\\p{L}\\p{N}]', '', 'g') = k WHERE sample_id IS NOT NULL
+), st AS (
+  SELECT * FROM v WHERE x IS NOT NULL AND x != '' AND lower(x) NOT IN ('n/a','na','unknown','none','null','nan','-','--','?','not recorded','not available','missing','tbd')
+), r AS (
+  SELECT *,
+    CASE WHEN value_type = 'double' THEN TRY_CAST(replace(regexp_extract(x, '^([+-]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?)\\s*([^0-9].*)?$', 1), ',', '.') AS DOUBLE)
+      * CASE WHEN regexp_extract(x, '^([+-]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?)\\s*([^0-9].*)?$', 2) = '' THEN 1.0
+        ELSE map_extract(unit_factors, regexp_extract(x, '^([+-]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?)\\s*([^0-9].*)?$', 2))[1] END END AS dv,
+    CASE WHEN value_type = 'int' THEN
+      CASE WHEN regexp_matches(x, '^[+-]?[0-9]{1,3}([, ][0-9]{3})+(\\.0*)?$') THEN TRY_CAST(regexp_replace(regexp_extract(x, '^[^.]*'), '[, ]', '', 'g') AS BIGINT)
+        WHEN regexp_matches(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') AND TRY_CAST(x AS DOUBLE) = floor(TRY_CAST(x AS DOUBLE)) THEN CAST(TRY_CAST(x AS DOUBLE) AS BIGINT) END END AS lv,
+    CASE WHEN value_type = 'boolean' THEN CASE WHEN lower(x) IN ('true','t','yes','y','on','1') THEN 1 WHEN lower(x) IN ('false','f','no','n','off','0') THEN 0 END END AS bv,
+    CASE WHEN value_type = 'timestamp' THEN
+      CASE WHEN regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}') THEN TRY_CAST(CASE WHEN regexp_matches(x, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN x ELSE x || 'Z' END AS TIMESTAMPTZ)
+        WHEN regexp_matches(x, '^[0-9]{2}\\.[0-9]{2}\\.[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}$') THEN TRY_CAST(substr(x, 7, 4) || '-' || substr(x, 4, 2) || '-' || substr(x, 1, 2) || substr(x, 11) || 'Z' AS TIMESTAMPTZ) END END AS tv,
+    CASE WHEN value_type = 'string' THEN lower(x) END AS sv
+  FROM st
+), c AS (
+  SELECT sample_id, attr,
+    CASE WHEN count(dv) + count(lv) + count(bv) + count(tv) + count(sv) = 0 THEN 'unreadable'
+      WHEN max(dv) - min(dv) > 1e-4 * greatest(abs(max(dv)), abs(min(dv))) OR min(lv) != max(lv) OR min(bv) != max(bv) OR min(tv) != max(tv) OR min(sv) != max(sv) THEN 'conflict' END AS issue
+  FROM r GROUP BY sample_id, attr
+)"""
 
 _DWELLS = """
 WITH dw AS (
@@ -84,6 +126,7 @@ WITH o AS (
 )"""
 
 ORACLE = {
+    "p1_found": _CELLS + " SELECT sample_id, attr, issue FROM c WHERE issue IS NOT NULL",
     "p3_found": _DWELLS + " SELECT DISTINCT sample_id, pixel_id, before AS gap_start_ms, s AS gap_end_ms FROM m WHERE s > before",
     "p3_periods": _DWELLS + """, g AS (
   SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id, pixel_id ORDER BY s, e) AS n FROM m
