@@ -90,19 +90,12 @@ def read_boolean(text: Column) -> Column:
 
 def read_timestamp(text: Column) -> Column:
     """One valid date with time of day, ISO or day.month.year; UTC unless it has an offset."""
-    time = r"(\d{1,2}):(\d{2})(?::(\d{2})([.,]\d{1,9})?)?(?U:\s*)(Z|z|UTC|[+-]\d{2}(?::?\d{2})?)?$"
-    iso = r"^(\d{4})-(\d{2})-(\d{2})(?:T|t|(?U:\s)+)" + time
-    dmy = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}),?(?:T|(?U:\s)+)" + time
-    dotted = text.rlike(dmy)
-    part = lambda n: F.when(dotted, F.regexp_extract(text, dmy, n)).otherwise(F.regexp_extract(text, iso, n))
-    two = lambda c: F.lpad(c, 2, "0")
-    date = F.when(dotted, F.concat_ws("-", part(3), two(part(2)), two(part(1)))).otherwise(F.concat_ws("-", part(1), part(2), part(3)))
-    seconds = F.when(part(6) == "", F.lit("00")).otherwise(part(6))
-    zone = part(8)
-    digits = F.regexp_replace(zone, r"[^0-9]", "")
-    offset = F.when(zone.rlike(r"^[+-]"), F.concat(F.substring(zone, 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.when(F.length(digits) == 4, F.substring(digits, 3, 2)).otherwise(F.lit("00")))).otherwise(F.lit("Z"))
-    whole = F.concat(date, F.lit("T"), two(part(4)), F.lit(":"), part(5), F.lit(":"), seconds, F.substring(F.translate(part(7), ",", "."), 1, 7), offset)
-    return F.when(dotted | text.rlike(iso), whole.try_cast("timestamp"))
+    padded = F.regexp_replace(text, r"(^|\.)(\d)(?=\.)", "$10$2")
+    iso = F.regexp_replace(padded, r"^(\d{2})\.(\d{2})\.(\d{4}),?(?:T|\s+)(\d.*)$", "$3-$2-$1T$4")
+    even = F.regexp_replace(F.regexp_replace(iso, r"^(\d{4}-\d{2}-\d{2})(?:[Tt]|\s+)(\d{1,2}:\d{2})(?![\d:])", "$1T$2:00"), r"^(\d{4}-\d{2}-\d{2})(?:[Tt]|\s+)(?=\d)", "$1T")
+    valid = even.rlike(r"^\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,9})?\s*(?:[Zz]|UTC|[+-]\d{2}(?::?\d{2})?)?$")
+    zoned = F.regexp_replace(F.regexp_replace(F.translate(even, ",z", ".Z"), r"\s*(?:Z|UTC)$|(?<=[\d])$", "Z"), r"([+-]\d{2}(?::?\d{2})?)Z$", "$1")
+    return F.when(valid, zoned.try_cast("timestamp"))
 
 
 def cells(rows: DataFrame, attrs: list[Attribute], entity: str, key: str, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.operators import intervals, references, wide
+from ionloom.operators import drift, intervals, references, wide
 from ionloom.sources.tables import table
 
 PIXEL = ["sample_id", "pixel_id"]
@@ -69,7 +69,46 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return references.by_period(rows, ["ref_table"], F.date_format("loaded_at", "yyyy-MM"), "missing").withColumnRenamed("period", "month")
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p3_periods": p3_periods, "p7_found": p7_found, "p7_report": p7_report}
+#: Target schemas of the exported tables; loaded_at is the line's own.
+TARGETS = {
+    "ms2_associations": {"id": "bigint", "sample_id": "bigint", "scan_id": "bigint", "feature_id": "bigint", "match_key": "string", "precursor_mz": "double", "isolation_window_target": "double", "ppm_offset": "double", "rt": "double", "collision_energy": "double", "n_peaks": "int", "polarity": "string", "fragmentation_factor": "double", "flat_fragmentation": "int"},
+    "ms2_annotations": {"id": "bigint", "sample_id": "bigint", "scan_id": "bigint", "feature_id": "bigint", "library_id": "int", "library_spectrum_id": "bigint", "compound_id": "bigint", "compound_name": "string", "compound_formula": "string", "inchikey": "string", "adduct": "string", "score": "double", "dot_product_score": "double", "lib_coverage": "double", "n_matched_peaks": "int", "rank_ms2": "int", "fragmentation_factor": "double"},
+}
+SERIES = ["exporter", "table_name"]
+
+
+def _export_changes(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "raw_exports")
+    return drift.changes(drift.ingest(lines, "payload", {}), SERIES, "file_name", "exported_at", "id", ["loaded_at", "line_id"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of a field between neighbouring files of an exporter."""
+    return _export_changes(spark, d).select(*SERIES, "file_name", "prev_name", "new_name", "change_kind").distinct()
+
+
+def _exported(spark: SparkSession, d: str, name: str) -> DataFrame:
+    lines = table(spark, d, "raw_exports").where(F.col("table_name") == name).drop("table_name")
+    target = TARGETS[name]
+    first = drift.ingest(lines, "payload", target).where("_fields is not null").drop("_fields")
+    # Fields to promote come from the reported renames: distinct names, not rows.
+    renamed = _export_changes(spark, d).where((F.col("table_name") == name) & (F.col("change_kind") == "renamed")).select("prev_name", "new_name").distinct().collect()
+    names = first.select(F.explode(F.map_keys(F.from_json("_rescued", "map<string,string>"))).alias("f")).distinct().collect()
+    approved = drift.approvals([tuple(r) for r in renamed], target, [r["f"] for r in names])
+    return drift.replay(first, target, approved)
+
+
+def p2_associations(spark: SparkSession, d: str) -> DataFrame:
+    """The exported rows of ms2_associations in one schema, with what could not be placed."""
+    return _exported(spark, d, "ms2_associations")
+
+
+def p2_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """The exported rows of ms2_annotations in one schema, with what could not be placed."""
+    return _exported(spark, d, "ms2_annotations")
+
+
+QUERIES = {"p2_found": p2_found, "p2_associations": p2_associations, "p2_annotations": p2_annotations, "p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p3_periods": p3_periods, "p7_found": p7_found, "p7_report": p7_report}
 
 _CELLS = """
 WITH names AS (
