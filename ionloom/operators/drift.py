@@ -82,8 +82,9 @@ def _typed(rows: DataFrame, fields: Column, target: Mapping[str, str], approved:
     kinds = sorted(set(target.values()))
     column_of = F.create_map(*[F.lit(x) for pair in sorted(stands_for.items()) for x in pair])
     kind_of_column = F.create_map(*[F.lit(x) for pair in sorted((c, kinds.index(k)) for c, k in target.items()) for x in pair])
-    # An object that wraps its value in "value" is unwrapped.
-    read = lambda v, kind: F.coalesce(F.try_variant_get(v, "$", kind), F.try_variant_get(v, "$.value", kind))
+    # An object that wraps its value in "value" and a list of one value are unwrapped.
+    alone = lambda v, kind: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", kind))
+    read = lambda v, kind: F.coalesce(F.try_variant_get(v, "$", kind) if kind != "string" else F.when(~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(v, "$", kind)), F.try_variant_get(v, "$.value", kind), alone(v, kind))
     column = lambda e: F.try_element_at(column_of, e["key"])
     # Every field is read once for the kinds there are; the columns then pick by name.
     entries = F.transform(F.map_entries(fields), lambda e: F.struct(column(e).alias("c"), e["key"].alias("k"), e["value"].alias("v"), F.try_element_at(kind_of_column, column(e)).alias("kind"), *[F.when(column(e).isNotNull(), read(e["value"], kind)).alias(f"as_{i}") for i, kind in enumerate(kinds)]))

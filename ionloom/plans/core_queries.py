@@ -74,6 +74,8 @@ TARGETS = {
     "ms2_associations": {"id": "bigint", "sample_id": "bigint", "scan_id": "bigint", "feature_id": "bigint", "match_key": "string", "precursor_mz": "double", "isolation_window_target": "double", "ppm_offset": "double", "rt": "double", "collision_energy": "double", "n_peaks": "int", "polarity": "string", "fragmentation_factor": "double", "flat_fragmentation": "int"},
     "ms2_annotations": {"id": "bigint", "sample_id": "bigint", "scan_id": "bigint", "feature_id": "bigint", "library_id": "int", "library_spectrum_id": "bigint", "compound_id": "bigint", "compound_name": "string", "compound_formula": "string", "inchikey": "string", "adduct": "string", "score": "double", "dot_product_score": "double", "lib_coverage": "double", "n_matched_peaks": "int", "rank_ms2": "int", "fragmentation_factor": "double"},
 }
+#: Fields that were not foreseen and have since been approved as columns.
+PROMOTED = {"ms2_associations": {}, "ms2_annotations": {"purity_score": "double", "cas": "string"}}
 SERIES = ["exporter", "table_name"]
 
 
@@ -90,12 +92,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def _exported(spark: SparkSession, d: str, name: str) -> DataFrame:
     lines = table(spark, d, "raw_exports").where(F.col("table_name") == name).drop("table_name")
     target = TARGETS[name]
+    wider = target | PROMOTED[name]
     first = drift.ingest(lines, "payload", target).where("_fields is not null").drop("_fields")
     # Fields to promote come from the reported renames: distinct names, not rows.
     renamed = _export_changes(spark, d).where((F.col("table_name") == name) & (F.col("change_kind") == "renamed")).select("prev_name", "new_name").distinct().collect()
     names = first.select(F.explode(F.map_keys(F.from_json("_rescued", "map<string,string>"))).alias("f")).distinct().collect()
-    approved = drift.approvals([tuple(r) for r in renamed], target, [r["f"] for r in names])
-    return drift.replay(first, target, approved)
+    approved = drift.approvals([tuple(r) for r in renamed], wider, [r["f"] for r in names])
+    return drift.replay(first, wider, approved)
 
 
 def p2_associations(spark: SparkSession, d: str) -> DataFrame:
