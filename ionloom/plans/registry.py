@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ionloom.plans import core_queries
+from ionloom.plans import core_queries, ms1_queries, ms2_queries
 
-MODULES = [core_queries]
+MODULES = [ms2_queries, ms1_queries, core_queries]
 
 
 def queries() -> dict:
