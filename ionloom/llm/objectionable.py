@@ -34,7 +34,9 @@ _BIT = {k: 1 << i for i, k in enumerate(KINDS)}
 _HARSH = _BIT["insult"] | _BIT["profanity"] | _BIT["violence"] | _BIT["sexual"] | _BIT["dehumanise"]
 _TOUCHED = _HARSH | _BIT["soft"] | _BIT["group"] | _BIT["second"]
 # Words for others, and word stems by which an abusive phrase may come without one of the lists' words.
-_OTHERS = frozenset("their them they those she he her him his people everybody nobody someone somebody we our it diese solche leute sie wir ihre ces gens leur on esa gente su ella nadie personne keiner niemand".split())
+_OTHERS = frozenset("their them they those she he her him his people everybody nobody someone somebody diese solche leute ces gens leur esa gente nadie personne keiner niemand".split())
+#: Put behind a word whose evasive spelling was undone.
+_MARK = "\ue000"
 _EVADED = _BIT["insult"] | _BIT["profanity"] | _BIT["sexual"] | _BIT["soft"]
 _PATTERNS = {k: re.compile(r"\b(?:" + "|".join(x for x in v.strip().split("\n") if x) + r")(?:\b|(?<=\s))") for k, v in lexicon.PHRASES.items()}
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+|\n+")
@@ -44,14 +46,20 @@ _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![^\W_])")
 _MASKED = re.compile(r"(?<![^\W_*#])[^\W\d_]+[*#]+[^\W\d_]*(?![^\W_*#])")
 _BROKEN = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[.\-_·|][^\W\d_]+)+(?![^\W_])")
+_OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+_OUTER = ".,;:!?\"'“”‘’()[]{}<>«»"
+_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzäöüéèêáíóúñç"]
+_LONG_RUN = re.compile(r"[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*")
 _MIXED = re.compile(r"(?<![^\W_@$!|€])(?=[^\s]*[^\W\d_])(?=[^\s]*[0134570@$!|€])[0134570@$!|€\w]+(?![^\W_])")
 
 
+#: Latin letters with marks to those without, ß to ss; from Unicode's own decompositions.
+_UNMARKED = {i: "".join(c for c in unicodedata.normalize("NFD", chr(i)) if not unicodedata.combining(c)) for r in ((0xC0, 0x250), (0x1E00, 0x1F00)) for i in range(*r)} | {0xDF: "ss"} | dict.fromkeys(range(0x300, 0x370))
+
+
 def fold(text: str) -> str:
     """Without accents; ß as ss."""
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFD", text.replace("ß", "ss")) if not unicodedata.combining(c))
+    return text if text.isascii() else text.translate(_UNMARKED)
 
 
 _WHOLE: dict[str, int] = {}
@@ -86,61 +94,56 @@ def _unmask(masked: str) -> str | None:
     return None
 
 
-def reveal(sentence: str) -> tuple[str, int]:
-    """(sentence with evasive spellings undone, how many stood for a listed word)."""
-    evaded = 0
+def reveal(text: str) -> str:
+    """The text with evasive spellings undone where they stand for a listed word, each marked by _MARK behind it."""
 
     def listed(candidate: str) -> bool:
         return bool(word_bits(fold(candidate.casefold())) & _EVADED)
 
     def joined(m: re.Match) -> str:
-        nonlocal evaded
         word = re.sub(r"[ .\-_*·|]", "", m.group())
-        if listed(word):
-            evaded += 1
-            return word
-        return m.group()
+        return word + _MARK if listed(word) else m.group()
 
     def unmasked(m: re.Match) -> str:
-        nonlocal evaded
         word = _unmask(fold(m.group().casefold()))
-        if word:
-            evaded += 1
-            return word
-        return m.group()
+        return word + _MARK if word else m.group()
 
     def unleet(m: re.Match) -> str:
-        nonlocal evaded
         word = m.group().translate(LEET).strip("_")
-        if listed(word) and word.isalpha():
-            evaded += 1
-            return word
-        return m.group()
+        return word + _MARK if word.isalpha() and listed(word) else m.group()
 
     def shortened(m: re.Match) -> str:
-        nonlocal evaded
         word = m.group()
-        if not _RUN.search(word):
-            return word
         for short in (_RUN.sub(r"\1", word), _RUN.sub(r"\1\1", word)):
             if listed(short):
-                evaded += 1
-                return short
+                return short + _MARK
         return word
 
-    if not sentence.isascii():
-        latin = sentence.translate(LOOKALIKE)
-        if latin != sentence:
-            before = [w for w in _WORD.findall(sentence) if not w.isascii()]
-            evaded += sum(1 for w in before if w != w.translate(LOOKALIKE) and listed(w.translate(LOOKALIKE)))
-            sentence = latin
-    if "*" in sentence or "#" in sentence:
-        sentence = _MASKED.sub(unmasked, sentence)
-    sentence = _SPACED.sub(joined, sentence)
-    sentence = _BROKEN.sub(joined, sentence)
-    if any(c in sentence for c in "013457@$!|€"):
-        sentence = _MIXED.sub(unleet, sentence)
-    return _WORD.sub(shortened, sentence) if _RUN.search(sentence) else sentence, evaded
+    def latin(m: re.Match) -> str:
+        word = m.group().translate(LOOKALIKE)
+        return word + _MARK if word != m.group() and listed(word) else m.group()
+
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
+        text = _WORD.sub(latin, text)
+    words = text.split()
+    # Patterns are tried only where the text's words give them something to find.
+    odd = {w for w in words if not w.isalpha()}
+    if odd:
+        inner = [w.strip(_OUTER) for w in odd]
+        inner = [w for w in inner if len(w) > 2 and not w.isalpha() and any(map(str.isalpha, w))]
+        if any("*" in w or "#" in w for w in inner):
+            text = _MASKED.sub(unmasked, text)
+        if any(not w.isalnum() and _BROKEN.search(w) and any(listed(re.sub(r"[.\-_*·|]", "", m.group())) for m in _BROKEN.finditer(w)) for w in inner):
+            text = _BROKEN.sub(joined, text)
+        if any(_MIXED.search(w) and listed(w.translate(LEET).strip("_")) for w in odd if any(c in w for c in "013457@$!|€") and any(map(str.isalpha, w))) or any(listed(w.translate(LEET)) for w in inner):
+            text = _MIXED.sub(unleet, text)
+    letters = [len(w) == 1 and w.isalpha() for w in words]
+    if any(x and y and z for x, y, z in zip(letters, letters[1:], letters[2:])) or any(len(w) < 8 and "." in w for w in odd):
+        text = _SPACED.sub(joined, text)
+    low = text.lower()
+    if any(c in low for c in _TRIPLES):
+        text = _LONG_RUN.sub(shortened, text)
+    return text
 
 
 SENTENCE_FEATURES = (*(f"{k}_density" for k in KINDS), *(f"{k}_count" for k in KINDS), "degrade", "threat", "hate", "lewd", "second_to_harsh", "group_to_dehumanise", "capitals", "marks", "evaded", "words", "evidence")
@@ -148,13 +151,15 @@ N_SENTENCE = len(SENTENCE_FEATURES)
 FEATURES = (*(f"worst_{x}" for x in SENTENCE_FEATURES), "total_evaded")
 
 
-def sentence_features(sentence: str, hidden: int) -> list[float] | None:
-    """Features of one sentence, or None where no list or pattern is touched. hidden: invisible characters taken out."""
-    shown, evaded = reveal(sentence)
-    low = fold(shown.casefold())
-    words = [w.replace("'", "").replace("’", "") for w in _WORD.findall(low)]
+def sentence_features(sentence: str, low: str, hidden: int) -> list[float] | None:
+    """Features of one revealed sentence (low: folded and in lower case), or None
+    where no list or pattern is touched. hidden: invisible characters taken out."""
+    words = _WORD.findall(low)
     if not words:
         return None
+    if "'" in low or "’" in low:
+        words = [w.replace("'", "").replace("’", "") for w in words]
+    evaded = sentence.count(_MARK)
     bits = [word_bits(w) for w in words]
     flat = " ".join(words)
     # Every pattern speaks to or of somebody; a sentence with no such word has none.
@@ -187,27 +192,25 @@ def text_features(text: str | None) -> np.ndarray:
     out = np.zeros(len(FEATURES))
     if not text:
         return out
-    shown = plain(text)
-    rows, at, evidence = [], N_SENTENCE - 1, []
-    hides = INVISIBLE.search(text) is not None
-    for sentence in _SENTENCE.split(shown):
-        if not sentence or sentence.isspace():
-            continue
-        row = sentence_features(sentence, 0)
-        if row is not None:
-            rows.append(row)
-            evidence.append(row[at])
-    if hides and rows:
-        # Which sentence the invisible characters were in is looked up only where there were any.
-        raw = [s for s in _SENTENCE.split(text) if INVISIBLE.search(s)]
-        for s in raw:
-            row = sentence_features(plain(s), 1)
+    rows, at = [], N_SENTENCE - 1
+
+    def look(part: str, hidden: int) -> None:
+        shown = reveal(part)
+        sentences = _SENTENCE.split(shown)
+        for sentence in sentences:
+            row = sentence_features(sentence, fold(sentence.casefold()), hidden)
             if row is not None:
                 rows.append(row)
-                evidence.append(row[at])
+
+    look(plain(text), 0)
+    if rows and not text.isascii() and INVISIBLE.search(text):
+        # The sentences with invisible characters once more, as such.
+        for part in _SENTENCE.split(text):
+            if INVISIBLE.search(part):
+                look(plain(part), 1)
     if rows:
-        order = np.argsort(evidence)[::-1]
-        out[:N_SENTENCE] = rows[order[0]]
+        worst = max(range(len(rows)), key=lambda i: rows[i][at])
+        out[:N_SENTENCE] = rows[worst]
         out[N_SENTENCE] = sum(r[N_SENTENCE - 3] for r in rows)
     return out
 
@@ -246,11 +249,9 @@ class BoostedTrees:
                     if split:
                         tree[leaf] = split
                         node[rows] = 2 * leaf + 1 + (b[rows, split[0]] > split[1])
-            values = {}
-            for leaf in np.unique(node):
-                rows = node == leaf
-                values[int(leaf)] = -self.rate * g[rows].sum() / (h[rows].sum() + self.penalty)
-            margin += np.array([values[int(k)] for k in node])
+            leaves = 2 ** (self.depth + 1)
+            values = -self.rate * np.bincount(node, g, leaves) / (np.bincount(node, h, leaves) + self.penalty)
+            margin += values[node]
             self.trees.append((tree, values))
         return self
 
@@ -282,7 +283,7 @@ class BoostedTrees:
                 f, k = tree[leaf]
                 here = node == leaf
                 node[here] = 2 * leaf + 1 + (b[here, f] > k)
-            out += np.array([values.get(int(k), 0.0) for k in node])
+            out += values[node]
         return out
 
 
