@@ -29,7 +29,7 @@ def to_ticks(col: Column, per_unit: int) -> Column:
 
 
 def valid_dwells(df: DataFrame, entity: Sequence[str], start: str, end: str, per_unit: int = 1000) -> DataFrame:
-    """entity columns, _s, _e in ticks. Rows with a missing entity or bound, or
+    """entity columns, _s, _e in ticks (names that begin with _ are this module's own). Rows with a missing entity or bound, or
     with the end before the start (in the values as given), hold no interval."""
     return (
         df.select(*entity, to_ticks(F.col(start), per_unit).alias("_s"), to_ticks(F.col(end), per_unit).alias("_e"), (F.col(end) >= F.col(start)).alias("_ok"))
@@ -43,20 +43,20 @@ def _shard_level(dwells: DataFrame, entity: Sequence[str], width: int) -> tuple[
     shard = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
     d = dwells.withColumn("_a", shard("_s")).withColumn("_b", shard("_e"))
     lo = lambda c: F.col(c) * F.lit(width)
-    head = F.struct(F.col("_a").alias("h"), F.col("_s").alias("s"), F.least("_e", lo("_a") + width).alias("e"), F.when(F.col("_b") > F.col("_a") + 1, F.col("_b") - 1).alias("bridge"))
-    tail = F.struct(F.col("_b").alias("h"), lo("_b").alias("s"), F.col("_e").alias("e"), F.lit(None).cast("bigint").alias("bridge"))
-    pieces = d.select(*entity, F.explode(F.when(F.col("_b") > F.col("_a"), F.array(head, tail)).otherwise(F.array(head))).alias("p")).select(*entity, "p.*")
+    head = F.struct(F.col("_a").alias("_h"), F.col("_s").alias("_ps"), F.least("_e", lo("_a") + width).alias("_pe"), F.when(F.col("_b") > F.col("_a") + 1, F.col("_b") - 1).alias("_bridge"))
+    tail = F.struct(F.col("_b").alias("_h"), lo("_b").alias("_ps"), F.col("_e").alias("_pe"), F.lit(None).cast("bigint").alias("_bridge"))
+    pieces = d.select(*entity, F.explode(F.when(F.col("_b") > F.col("_a"), F.array(head, tail)).otherwise(F.array(head))).alias("_piece")).select(*entity, "_piece.*")
     # Furthest end per start: combined before the shuffle, it bounds what a window can hold.
-    pieces = pieces.groupBy(*entity, "h", "s").agg(F.max("e").alias("e"), F.max("bridge").alias("bridge"))
-    run = Window.partitionBy(*entity, "h").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    local = pieces.withColumn("_before", F.max("e").over(run))
+    pieces = pieces.groupBy(*entity, "_h", "_ps").agg(F.max("_pe").alias("_pe"), F.max("_bridge").alias("_bridge"))
+    run = Window.partitionBy(*entity, "_h").orderBy("_ps").rowsBetween(Window.unboundedPreceding, -1)
+    local = pieces.withColumn("_before", F.max("_pe").over(run))
     summary = (
-        local.groupBy(*entity, "h")
-        .agg(F.min("s").alias("first_s"), F.max("e").alias("last_e"), F.max("bridge").alias("bridge"))
-        .withColumn("carry_bridge", F.max("bridge").over(Window.partitionBy(*entity).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("covered", F.coalesce(F.col("carry_bridge") >= F.col("h"), F.lit(False)))
-        .withColumn("reach", F.greatest("last_e", (F.col("bridge") + 1) * width))
-        .withColumn("carry_e", F.max("reach").over(Window.partitionBy(*entity).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)))
+        local.groupBy(*entity, "_h")
+        .agg(F.min("_ps").alias("_first_s"), F.max("_pe").alias("_last_e"), F.max("_bridge").alias("_bridge"))
+        .withColumn("_carry_bridge", F.max("_bridge").over(Window.partitionBy(*entity).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("_covered", F.coalesce(F.col("_carry_bridge") >= F.col("_h"), F.lit(False)))
+        .withColumn("_reach", F.greatest("_last_e", (F.col("_bridge") + 1) * width))
+        .withColumn("_carry_e", F.max("_reach").over(Window.partitionBy(*entity).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)))
     )
     return local, summary
 
@@ -68,11 +68,11 @@ def gaps(dwells: DataFrame, entity: Sequence[str], shard_width: int = 300_000) -
     leave no gap; one of length 0 counts. An empty input gives an empty result.
     """
     local, summary = _shard_level(dwells, entity, shard_width)
-    inside = local.where("s > _before").select(*entity, "h", F.col("_before").alias("gap_start"), F.col("s").alias("gap_end"))
+    inside = local.where("_ps > _before").select(*entity, "_h", F.col("_before").alias("gap_start"), F.col("_ps").alias("gap_end"))
     # A shard inside a longer interval has no gaps of its own.
-    hidden = summary.where("covered").select(*entity, "h")
-    inside = inside.join(hidden, [*entity, "h"], "left_anti").select(*entity, "gap_start", "gap_end")
-    across = summary.where("not covered and first_s > carry_e").select(*entity, F.col("carry_e").alias("gap_start"), F.col("first_s").alias("gap_end"))
+    hidden = summary.where("_covered").select(*entity, "_h")
+    inside = inside.join(hidden, [*entity, "_h"], "left_anti").select(*entity, "gap_start", "gap_end")
+    across = summary.where("not _covered and _first_s > _carry_e").select(*entity, F.col("_carry_e").alias("gap_start"), F.col("_first_s").alias("gap_end"))
     return inside.unionByName(across)
 
 
@@ -84,16 +84,16 @@ def periods(dwells: DataFrame, entity: Sequence[str], shard_width: int = 300_000
     looked up within the shard first and then across shard summaries, so this
     too needs no window over all of an entity's gaps.
     """
-    found = gaps(dwells, entity, shard_width).withColumn("h", F.floor(F.col("gap_end") / F.lit(shard_width)).cast("bigint"))
-    ends = dwells.groupBy(*entity).agg(F.min("_s").alias("first_s"), F.max("_e").alias("last_e"))
-    by_shard = found.groupBy(*entity, "h").agg(F.min("gap_start").alias("_first_gap"))
-    by_shard = by_shard.withColumn("_later", F.min("_first_gap").over(Window.partitionBy(*entity).orderBy("h").rowsBetween(1, Window.unboundedFollowing)))
-    after = found.withColumn("_next", F.lead("gap_start").over(Window.partitionBy(*entity, "h").orderBy("gap_end")))
+    found = gaps(dwells, entity, shard_width).withColumn("_h", F.floor(F.col("gap_end") / F.lit(shard_width)).cast("bigint"))
+    ends = dwells.groupBy(*entity).agg(F.min("_s").alias("_first_s"), F.max("_e").alias("_last_e"))
+    by_shard = found.groupBy(*entity, "_h").agg(F.min("gap_start").alias("_first_gap"))
+    by_shard = by_shard.withColumn("_later", F.min("_first_gap").over(Window.partitionBy(*entity).orderBy("_h").rowsBetween(1, Window.unboundedFollowing)))
+    after = found.withColumn("_next", F.lead("gap_start").over(Window.partitionBy(*entity, "_h").orderBy("gap_end")))
     tails = (
-        after.join(by_shard.select(*entity, "h", "_later"), [*entity, "h"])
+        after.join(by_shard.select(*entity, "_h", "_later"), [*entity, "_h"])
         .join(ends, list(entity))
-        .select(*entity, F.col("gap_end").alias("period_start"), F.coalesce("_next", "_later", "last_e").alias("period_end"))
+        .select(*entity, F.col("gap_end").alias("period_start"), F.coalesce("_next", "_later", "_last_e").alias("period_end"))
     )
     first = by_shard.groupBy(*entity).agg(F.min("_first_gap").alias("_g"))
-    heads = ends.join(first, list(entity), "left").select(*entity, F.col("first_s").alias("period_start"), F.coalesce("_g", "last_e").alias("period_end"))
+    heads = ends.join(first, list(entity), "left").select(*entity, F.col("_first_s").alias("period_start"), F.coalesce("_g", "_last_e").alias("period_end"))
     return heads.unionByName(tails)
