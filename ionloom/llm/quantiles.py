@@ -8,9 +8,11 @@ in rank is a small share of the distance to that tail. One sketch protects the
 low tail and serves the percentiles up to the median, another the high tail for
 those above. Sketches of partitions, days or loads merge level by level.
 
-The a-priori error at three standard deviations is
-    |rank error| <= 3 * 0.1306 / k * n * min(q, 1 - q)
-(0.61 % of the tail at k = 64); a group that never filled a buffer is exact.
+The error stated, three standard deviations, is
+    |rank error| <= 3 * 0.2 / k * n * min(q, 1 - q)
+(0.94 % of the tail at k = 64), plus one rank. The constant covers what 60
+shuffles each of 4,000 to 200,000 values gave over trees of merges (0.07 to 0.2
+for different q and n). A group that never filled a buffer is exact.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 SECTIONS = 3
 #: Relative standard error of the rank, times k.
-RSE = 0.1306
+RSE = 0.2
 #: Values gathered per group before a sketch takes them in.
 PENDING = 2048
 
@@ -36,7 +38,7 @@ def _coin(*parts: int) -> int:
     """A fair-looking bit that depends only on its arguments, for equal results on every run."""
     x = 0x9E3779B97F4A7C15
     for p in parts:
-        x = ((x ^ (p + 0x7F4A7C15)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+        x = ((x ^ ((p + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
         x ^= x >> 29
     return (x >> 40) & 1
 
@@ -87,7 +89,9 @@ class Sketch:
                 kept = capacity // 2 + (sections - min(ones + 1, sections)) * size
                 cut = len(ordered) - kept
                 cut -= cut % 2
-                moved = ordered[_coin(self.n, h, self.states[h]) : cut : 2]
+                # From the values themselves: else equal-sized parts would all round the same way.
+                bits = ordered[[0, cut // 2, cut - 1]].view(np.int64)
+                moved = ordered[_coin(self.n, h, self.states[h], *map(int, bits)) : cut : 2]
                 self.levels[h] = ordered[cut:]
                 self.states[h] += 1
                 if h + 1 == len(self.levels):
