@@ -194,9 +194,10 @@ def instrument_info(path: str, most_lines: int = 500) -> dict[str, str]:
     with open(path, encoding="utf-8", errors="replace") as f:
         lines = []
         for _, line in zip(range(most_lines), f):
-            if "<spectrumList" in line:
+            head, cut, _ = line.partition("<spectrumList")
+            lines.append(head)
+            if cut:
                 break
-            lines.append(line)
     text = "".join(lines)
     out = {}
     for name, pattern in (("acquisition_start", r'startTimeStamp\s*=\s*"([^"]*)"'), ("source_file", r'<sourceFile\b[^>]*\bname\s*=\s*"([^"]*)"'), ("serial_number", r'accession="MS:1000529"[^>]*value="([^"]*)"')):
