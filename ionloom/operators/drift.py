@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.session import cut
+
 SALTS = 16
 
 
@@ -214,8 +216,9 @@ def changes(rows: DataFrame, series: Sequence[str], file: str, order: str, recor
     columns by which the latest of repeated lines of a record is taken. The
     first file of a series has no changes.
     """
-    files = file_profiles(rows, series, file, order)
-    renames = _renames(rows, files, series, file, record, newest)
+    # Both are a row per file or change and used several times; the lines are read for each once.
+    files = cut(file_profiles(rows, series, file, order))
+    renames = cut(_renames(rows, files, series, file, record, newest))
     moves = renames.groupBy(*series, "n").agg(F.collect_list("prev_name").alias("_olds"), F.collect_list("new_name").alias("_news"))
     diff = files.where("prev_names is not null").join(moves, [*series, "n"], "left")
     none = F.array().cast("array<string>")
