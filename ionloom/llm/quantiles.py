@@ -189,20 +189,43 @@ def merged(parts: DataFrame, keys: Sequence[str], n_parts: int, fan_in: int = 12
     task holds more than fan_in sketches of a group at once, however many
     partitions or loads (numbered 0 to n_parts - 1 in part) there are."""
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("part")
-        out = frame.iloc[:1].copy()
-        for name in ("low", "high"):
-            sketch = Sketch.from_bytes(frame[name].iloc[0])
-            for data in frame[name].iloc[1:]:
-                sketch.merge(Sketch.from_bytes(data))
-            out[name] = [sketch.to_bytes()]
-        return out
+    parts = parts.select(*keys, "part", "low", "high")
+    columns = parts.columns
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted, so one group's two sketches are held at a time.
+        at, held, out = None, None, []
+        kinds = None
+
+        def flush() -> None:
+            out.append((*at, held[0].to_bytes(), held[1].to_bytes()))
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], columns)
+
+        for batch in batches:
+            kinds = kinds or [batch.column(c).type for c in columns]
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                key, pair = row[:-2], [Sketch.from_bytes(x) for x in row[-2:]]
+                if key == at:
+                    for sketch, other in zip(held, pair, strict=True):
+                        sketch.merge(other)
+                    continue
+                if at is not None:
+                    flush()
+                    if len(out) >= 200:
+                        yield batch_of(out)
+                        out.clear()
+                at, held = key, pair
+        if at is not None:
+            flush()
+        if out:
+            yield batch_of(out)
 
     left = n_parts
     while True:
-        parts = parts.withColumn("part", F.floor(F.col("part") / F.lit(fan_in)).cast("bigint"))
-        parts = parts.groupBy(*keys, "part").applyInPandas(merge, parts.schema)
+        rows = parts.withColumn("_from", F.col("part")).withColumn("part", F.floor(F.col("part") / F.lit(fan_in)).cast("bigint"))
+        parts = rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "_from").drop("_from").mapInArrow(merge, parts.schema)
         left = math.ceil(left / fan_in)
         if left <= 1:
             return parts
