@@ -302,8 +302,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Scorer:
     """Trees with their calibration; small, so it is sent to all tasks."""
 
-    def __init__(self, texts: list[str | None], labels: list[int], folds: int = 5):
-        x = np.stack([text_features(t) for t in texts]) if texts else np.zeros((0, len(FEATURES)))
+    def __init__(self, x: np.ndarray, labels: list[int], folds: int = 5):
         y = np.array(labels, dtype=float)
         self.trees = None
         if len(y) < 10 or y.min() == y.max():
@@ -329,9 +328,18 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     """Scorer from labelled texts; several labels of a text count by their mean, ties as not objectionable."""
     said = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg(F.avg(label).alias("_y"))
     said = said.orderBy(F.xxhash64(doc_id), doc_id).limit(max_labels)
-    rows = documents.select(doc_id, F.col(text).alias("_text")).join(said, doc_id).select(doc_id, "_text", "_y").collect()
-    rows.sort(key=lambda r: (r[0], r["_text"] or ""))
-    return Scorer([r["_text"] for r in rows], [int(r["_y"] > 0.5) for r in rows])
+    kind = documents.schema[doc_id].dataType.simpleString()
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [text_features(t).tolist() for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("_y"), pa.array(rows, pa.list_(pa.float64()))], [doc_id, "_y", "x"])
+
+    # Only the feature rows of the bounded sample reach the driver, not texts.
+    labelled = documents.select(doc_id, F.col(text).alias("_text")).join(said, doc_id).select(doc_id, "_text", "_y").repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    rows = labelled.mapInArrow(describe, f"`{doc_id}` {kind}, _y double, x array<double>").collect()
+    rows.sort(key=lambda r: (r[0], r["x"]))
+    return Scorer(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), [int(r["_y"] > 0.5) for r in rows])
 
 
 def scored(documents: DataFrame, scorer: Scorer, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
