@@ -38,8 +38,8 @@ def valid_dwells(df: DataFrame, entity: Sequence[str], start: str, end: str, per
     )
 
 
-def _shard_level(dwells: DataFrame, entity: Sequence[str], width: int) -> tuple[DataFrame, DataFrame]:
-    """(local periods, stitched summaries), both with the shard's carried coverage."""
+def _shard_level(dwells: DataFrame, entity: Sequence[str], width: int) -> DataFrame:
+    """A row per occupied shard: its coverage, that carried into it, and its inner gaps (at most width / 2)."""
     shard = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
     d = dwells.withColumn("_a", shard("_s")).withColumn("_b", shard("_e"))
     lo = lambda c: F.col(c) * F.lit(width)
@@ -50,15 +50,15 @@ def _shard_level(dwells: DataFrame, entity: Sequence[str], width: int) -> tuple[
     pieces = pieces.groupBy(*entity, "_h", "_ps").agg(F.max("_pe").alias("_pe"), F.max("_bridge").alias("_bridge"))
     run = Window.partitionBy(*entity, "_h").orderBy("_ps").rowsBetween(Window.unboundedPreceding, -1)
     local = pieces.withColumn("_before", F.max("_pe").over(run))
-    summary = (
+    inner = F.collect_list(F.when(F.col("_ps") > F.col("_before"), F.struct(F.col("_before").alias("gap_start"), F.col("_ps").alias("gap_end"))))
+    return (
         local.groupBy(*entity, "_h")
-        .agg(F.min("_ps").alias("_first_s"), F.max("_pe").alias("_last_e"), F.max("_bridge").alias("_bridge"))
+        .agg(F.min("_ps").alias("_first_s"), F.max("_pe").alias("_last_e"), F.max("_bridge").alias("_bridge"), inner.alias("_inner"))
         .withColumn("_carry_bridge", F.max("_bridge").over(Window.partitionBy(*entity).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("_covered", F.coalesce(F.col("_carry_bridge") >= F.col("_h"), F.lit(False)))
         .withColumn("_reach", F.greatest("_last_e", (F.col("_bridge") + 1) * width))
         .withColumn("_carry_e", F.max("_reach").over(Window.partitionBy(*entity).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)))
     )
-    return local, summary
 
 
 def gaps(dwells: DataFrame, entity: Sequence[str], shard_width: int = 300_000) -> DataFrame:
@@ -67,13 +67,11 @@ def gaps(dwells: DataFrame, entity: Sequence[str], shard_width: int = 300_000) -
     Input as from valid_dwells. Bounds belong to the interval, so touching ones
     leave no gap; one of length 0 counts. An empty input gives an empty result.
     """
-    local, summary = _shard_level(dwells, entity, shard_width)
-    inside = local.where("_ps > _before").select(*entity, "_h", F.col("_before").alias("gap_start"), F.col("_ps").alias("gap_end"))
-    # A shard inside a longer interval has no gaps of its own.
-    hidden = summary.where("_covered").select(*entity, "_h")
-    inside = inside.join(hidden, [*entity, "_h"], "left_anti").select(*entity, "gap_start", "gap_end")
-    across = summary.where("not _covered and _first_s > _carry_e").select(*entity, F.col("_carry_e").alias("gap_start"), F.col("_first_s").alias("gap_end"))
-    return inside.unionByName(across)
+    shards = _shard_level(dwells, entity, shard_width)
+    before = F.array(F.struct(F.col("_carry_e").alias("gap_start"), F.col("_first_s").alias("gap_end")))
+    # A shard inside a longer interval has no gaps of its own and none before it.
+    found = F.when(F.col("_first_s") > F.col("_carry_e"), F.concat(before, "_inner")).otherwise(F.col("_inner"))
+    return shards.where("not _covered").select(*entity, F.explode(found).alias("_g")).select(*entity, "_g.gap_start", "_g.gap_end")
 
 
 def periods(dwells: DataFrame, entity: Sequence[str], shard_width: int = 300_000) -> DataFrame:
