@@ -99,11 +99,11 @@ def normalise(df: DataFrame, reference: str, value: str, name: str = "normalised
     return df.crossJoin(F.broadcast(middle)).withColumn(name, scaled).drop("_median")
 
 
-def correlation_pairs(matrix: DataFrame, n_pixels: DataFrame, by: Sequence[str], pixel: str, feature: str, value: str, rank: bool = False, parts: int = 32) -> DataFrame:
+def correlation_pairs(matrix: DataFrame, n_pixels: DataFrame, by: Sequence[str], pixel: str, feature: str, value: str, rank: bool = False, pixels_per_lot: int = 20_000) -> DataFrame:
     """by, feature_a, feature_b (a < b), r for all pairs of features, over all pixels (absent ones count as 0).
 
-    matrix holds the non-zero values, n_pixels by and n. Each of ``parts`` lots
-    of a group's pixels gives the products of the features it holds as one
+    matrix holds the non-zero values, n_pixels by and n. Each lot of
+    about ``pixels_per_lot`` of a group's pixels gives the products of the features it holds as one
     (features x features) block; blocks are added up, so a group's pixels are
     never in one task. The features of a group must fit a square of numbers.
     Constant features have no r and no row. rank: Spearman, with mean ranks.
@@ -133,19 +133,20 @@ def correlation_pairs(matrix: DataFrame, n_pixels: DataFrame, by: Sequence[str],
             gram += dense.T @ dense
         a, b = np.nonzero(np.triu(gram))
         head = frame.iloc[0]
-        return pd.DataFrame({**{c: head[c] for c in by}, "a": features[a], "b": features[b], "s": gram[a, b]})
-
-    lots = rows.withColumn("_lot", F.pmod(F.xxhash64("_p"), F.lit(parts)))
-    blocks = lots.groupBy(*by, "_lot").applyInPandas(products, f"{key}, a {kinds['_f']}, b {kinds['_f']}, s double")
-    gram = blocks.groupBy(*by, "a", "b").agg(F.sum("s").alias("s"))
-    sums = rows.groupBy(*by, F.col("_f").alias("f")).agg(F.sum("_v").alias("m")).join(n_pixels, list(by))
-    squares = gram.where("a = b").select(*by, F.col("a").alias("f"), F.col("s").alias("ss"))
-    stats = sums.join(squares, [*by, "f"]).select(*by, "f", (F.col("m") / F.col("n")).alias("mean"), (F.col("ss") / F.col("n") - (F.col("m") / F.col("n")) * (F.col("m") / F.col("n"))).alias("var"), F.col("n").cast("double").alias("n"), (F.col("ss") / F.col("n")).alias("ms"))
-    varied = stats.where("var > 1e-12 * ms")
-    a = varied.select(*by, F.col("f").alias("feature_a"), F.col("mean").alias("_ma"), F.col("var").alias("_va"), "n")
-    b = varied.select(*by, F.col("f").alias("feature_b"), F.col("mean").alias("_mb"), F.col("var").alias("_vb"))
-    pairs = a.join(b, list(by)).where("feature_a < feature_b").join(gram.select(*by, F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "s"), [*by, "feature_a", "feature_b"], "left")
-    r = (F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n") - F.col("_ma") * F.col("_mb")) / F.sqrt(F.col("_va") * F.col("_vb"))
+        return pd.DataFrame({**{c: head[c] for c in by}, "_a": features[a], "_b": features[b], "_s": gram[a, b]})
+
+    n_lots = n_pixels.select(*by, F.ceil(F.col("n") / F.lit(pixels_per_lot)).cast("bigint").alias("_lots"))
+    lots = rows.join(n_lots, list(by)).withColumn("_lot", F.pmod(F.xxhash64("_p"), F.greatest(F.lit(1), "_lots"))).drop("_lots")
+    blocks = lots.groupBy(*by, "_lot").applyInPandas(products, f"{key}, _a {kinds['_f']}, _b {kinds['_f']}, _s double")
+    gram = blocks.groupBy(*by, "_a", "_b").agg(F.sum("_s").alias("_s"))
+    sums = rows.groupBy(*by, "_f").agg(F.sum("_v").alias("_m")).join(n_pixels.select(*by, F.col("n").cast("double").alias("_n")), list(by))
+    squares = gram.where("_a = _b").select(*by, F.col("_a").alias("_f"), F.col("_s").alias("_ss"))
+    mean, square = F.col("_m") / F.col("_n"), F.col("_ss") / F.col("_n")
+    varied = sums.join(squares, [*by, "_f"]).select(*by, "_f", "_n", mean.alias("_mean"), (square - mean * mean).alias("_var"), square.alias("_ms")).where("_var > 1e-12 * _ms")
+    one = varied.select(*by, F.col("_f").alias("feature_a"), F.col("_mean").alias("_ma"), F.col("_var").alias("_va"), "_n")
+    two = varied.select(*by, F.col("_f").alias("feature_b"), F.col("_mean").alias("_mb"), F.col("_var").alias("_vb"))
+    pairs = one.join(two, list(by)).where("feature_a < feature_b").join(gram.select(*by, F.col("_a").alias("feature_a"), F.col("_b").alias("feature_b"), "_s"), [*by, "feature_a", "feature_b"], "left")
+    r = (F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("_n") - F.col("_ma") * F.col("_mb")) / F.sqrt(F.col("_va") * F.col("_vb"))
     return pairs.select(*by, "feature_a", "feature_b", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
 
 
