@@ -41,7 +41,7 @@ class Stage:
 STAGES = [
     Stage("quantify", ms1_queries.pixel_matrix, {"ppm": 5}),
     Stage("average_spectrum", ms1_queries.average_spectrum, {"bin": 0.5}),
-    Stage("isotopes", spatial_queries.isotope_votes, {"ppm": 25}),
+    Stage("isotopes", spatial_queries.isotope_votes, {"ppm": 5, "max_isotopes": 3, "max_charge": 1, "min_corr": 0.5}),
     Stage("group_ms2", ms2_queries.scan_association, {"ppm": 10}),
     Stage("annotate", ms2_queries.annotation_ranks, {"tolerance": 0.05}),
     Stage("annotate_precursor", ms2_queries.precursor_candidates, {"ppm": 5}),

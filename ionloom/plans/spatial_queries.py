@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import chemistry, search
-from ionloom.operators import aggregates, spatial
+from ionloom.operators import aggregates, isotopes, spatial
 from ionloom.operators.lifecycle import latest
 from ionloom.plans import ms1_queries, ms2_queries
 from ionloom.plans.ms1_queries import features, mapped, scans
 from ionloom.plans.ms2_queries import annotations, associations
+from ionloom.session import cut
 from ionloom.sources.tables import table
 
 #: A region in grid coordinates, as a user might draw it.
@@ -134,12 +135,20 @@ def headline_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def isotope_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Isotopes accepted by the votes of samples; a sample's link is a pair at isotope distance of which both are members."""
-    pairs = ms1_queries.isotope_candidates(spark, d)
-    present = features(spark, d).select("feature_id", F.explode("members").alias("sample", "idx")).where("idx is not null").select("feature_id", "sample")
-    both = pairs.join(present.withColumnRenamed("feature_id", "mono_id"), "mono_id").join(present.withColumnRenamed("feature_id", "isotope_id"), ["isotope_id", "sample"])
-    links = both.withColumn("ratio", F.lit(0.5)).withColumn("corr", F.lit(0.9))
-    return aggregates.isotope_vote(links, present, ms2_queries.protected_features(spark, d).where("feature_id < 0"))
+    """Isotopes accepted by the votes of samples; links come from the ion images of the features that are members of a sample."""
+    # A member's key holds its sample's number (slide_00012_pos).
+    present = features(spark, d).select("feature_id", F.explode("members").alias("sample", "idx")).where("idx is not null").select("feature_id", F.regexp_extract("sample", "[0-9]+", 0).cast("bigint").alias("sample_id")).distinct()
+    # Only members of a pair at isotope distance can be linked, so only these need images.
+    pairs = ms1_queries.isotope_candidates(spark, d).select("mono_id", "isotope_id").distinct()
+    both = pairs.join(present.withColumnRenamed("feature_id", "mono_id"), "mono_id").join(present.withColumnRenamed("feature_id", "isotope_id"), ["isotope_id", "sample_id"])
+    # The links' and the vote's plans name their inputs many times: each is worked out once.
+    held = cut(both.select("sample_id", F.explode(F.array("mono_id", "isotope_id")).alias("feature_id")).distinct())
+    f = features(spark, d).where("mz is not null").join(held.select("feature_id").distinct(), "feature_id", "left_semi")
+    values = aggregates.quantify(scans(spark, d), f, ["sample_id"], "scan_id", "feature_id", "mz", 5.0).join(held, ["sample_id", "feature_id"], "left_semi")
+    matrix = cut(aggregates.pixel_matrix(values, mapped(spark, d), ["sample_id"], "scan_id", "pixel_id", "feature_id"))
+    n = mapped(spark, d).groupBy("sample_id").agg(F.count_distinct("pixel_id").alias("n"))
+    links = cut(isotopes.link_isotopes(f, matrix, n, "sample_id", "pixel_id", "feature_id", "mz", "value"))
+    return aggregates.isotope_vote(links, present, ms2_queries.protected_features(spark, d), "sample_id")
 
 
 def adduct_table(spark: SparkSession, d: str) -> DataFrame:
