@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.session import cut
+
 
 def grid_indices(pixels: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """pixels with gx, gy: ranks of the distinct x and y in use, from 0. The axes, not the pixels, are numbered."""
@@ -71,13 +73,63 @@ def global_moran(values: DataFrame, edges: DataFrame, by: Sequence[str], pixel:
     return whole.join(pairs, [*by, *feature], "left").select(*by, *feature, i.alias("moran_i"), "n_pixels")
 
 
-def above_thresholds(values: DataFrame, by: Sequence[str], value: str, lowest: float = -1.0, step: float = 0.05, count: int = 121) -> DataFrame:
+def image_moran(matrix: DataFrame, pixels: DataFrame, edges: DataFrame, by: Sequence[str], pixel: str, feature: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Local I of every pixel of every feature's image, zeros included, without a row per zero: (touched, images).
+
+    matrix holds the non-zero values, pixels every pixel. touched: by, feature,
+    pixel, z, deg, lag_sum, local_i for pixels with a value or a neighbour that has
+    one. images: by, feature, n, m2, rest_z, rest_i and the number n_rest of other
+    pixels with neighbours and the sum rest_deg of their neighbours; all these
+    have the same z and local_i. NULL as in local_moran.
+    """
+    key = [*by, feature]
+    deg = pixels.select(*by, pixel).join(edges.groupBy(*by, F.col("src").alias(pixel)).agg(F.count(F.lit(1)).alias("deg")), [*by, pixel], "left").withColumn("deg", F.coalesce("deg", F.lit(0).cast("bigint")))
+    whole = deg.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("deg") > 0).alias("_linked"), F.sum("deg").alias("_s0"))
+    stored = matrix.where(F.col(value).isNotNull() & (F.col(value) != 0)).select(*key, pixel, F.col(value).cast("double").alias("_v")).join(pixels.select(*by, pixel), [*by, pixel], "left_semi")
+    mean = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"), F.sum("_v").alias("_sum"), (F.min("_v") == F.max("_v")).alias("_same")).join(whole, list(by)).withColumn("_mean", F.col("_sum") / F.col("n"))
+    spread = stored.join(mean.select(*key, "_mean"), key).groupBy(*key).agg(F.sum((F.col("_v") - F.col("_mean")) * (F.col("_v") - F.col("_mean"))).alias("_sq"))
+    m2 = F.when(F.col("_same") & (F.col("_k") == F.col("n")), F.lit(0.0)).otherwise((F.col("_sq") + (F.col("n") - F.col("_k")) * F.col("_mean") * F.col("_mean")) / F.col("n"))
+    stats = cut(mean.join(spread, key).select(*key, "n", "_linked", "_s0", "_mean", m2.alias("m2")))
+    zero = F.lit(0.0)
+    around = edges.join(stored.withColumnRenamed(pixel, "dst"), [*by, "dst"]).select(*key, F.col("src").alias(pixel), zero.alias("_v"), F.col("_v").alias("_l"))
+    met = stored.select(*key, pixel, "_v", zero.alias("_l")).unionByName(around).groupBy(*key, pixel).agg(F.sum("_v").alias("_v"), F.sum("_l").alias("_l"))
+    z = F.col("_v") - F.col("_mean")
+    touched = met.join(deg, [*by, pixel]).join(stats, key).select(*key, pixel, z.alias("z"), "deg", (F.col("_l") - F.col("deg") * F.col("_mean")).alias("lag_sum"), F.when((F.col("m2") > 0) & (F.col("deg") > 0), z / F.col("m2") * (F.col("_l") / F.col("deg") - F.col("_mean"))).alias("local_i"))
+    touched = cut(touched)
+    own = touched.groupBy(*key).agg(F.count_if(F.col("deg") > 0).alias("_t"), F.sum("deg").alias("_d"))
+    images = stats.join(own, key).select(*key, "n", "m2", (-F.col("_mean")).alias("rest_z"), F.when(F.col("m2") > 0, F.col("_mean") * F.col("_mean") / F.col("m2")).alias("rest_i"), (F.col("_linked") - F.col("_t")).alias("n_rest"), (F.col("_s0") - F.col("_d")).alias("rest_deg"))
+    return touched, images
+
+
+def image_local(touched: DataFrame, images: DataFrame, pixels: DataFrame, edges: DataFrame, by: Sequence[str], pixel: str, feature: str) -> DataFrame:
+    """by, feature, pixel, local_i with a row for every pixel of every image; the pixels of a group travel as one list, not once per image."""
+    key = [*by, feature]
+    linked = edges.select(*by, F.col("src").alias(pixel)).distinct().withColumn("_has", F.lit(True))
+    every = pixels.select(*by, pixel).join(linked, [*by, pixel], "left").groupBy(*by).agg(F.collect_list(F.when(F.col("_has"), F.col(pixel))).alias("_with"), F.collect_list(F.when(F.col("_has").isNull(), F.col(pixel))).alias("_alone"))
+    met = touched.groupBy(*key).agg(F.collect_list(pixel).alias("_met"))
+    rest = images.select(*key, "rest_i").join(met, key).join(every, list(by))
+    left = lambda c, i: F.transform(F.array_except(c, "_met"), lambda p: F.struct(p.alias("p"), i.cast("double").alias("i")))
+    others = rest.select(*key, F.explode(F.concat(left("_with", F.col("rest_i")), left("_alone", F.lit(None)))).alias("_o"))
+    return touched.select(*key, pixel, "local_i").unionByName(others.select(*key, F.col("_o.p").alias(pixel), F.col("_o.i").alias("local_i")))
+
+
+def image_global(touched: DataFrame, images: DataFrame, by: Sequence[str], feature: str) -> DataFrame:
+    """by, feature, moran_i, n_pixels as global_moran has them."""
+    key = [*by, feature]
+    s = touched.groupBy(*key).agg(F.sum(F.col("z") * F.col("lag_sum")).alias("_zij"), F.sum("deg").alias("_d"))
+    s0 = F.col("_d") + F.col("rest_deg")
+    i = F.when((F.col("m2") > 0) & (s0 > 0), (F.col("_zij") + F.col("rest_z") * F.col("rest_z") * F.col("rest_deg")) / s0 / F.col("m2"))
+    return images.join(s, key).select(*key, i.alias("moran_i"), F.col("n").alias("n_pixels"))
+
+
+def above_thresholds(values: DataFrame, by: Sequence[str], value: str, lowest: float = -1.0, step: float = 0.05, count: int = 121, weight: str | None = None) -> DataFrame:
     """by, threshold_index, n_above, n_finite: how many values exceed each of the
-    evenly spaced thresholds; one histogram and a sum from above, not a row per value and threshold."""
+    evenly spaced thresholds; one histogram and a sum from above, not a row per value and threshold.
+    weight: column with how many values a row stands for."""
     rows = values.where(F.col(value).isNotNull() & ~F.isnan(value))
     # The number of thresholds below the value: those it exceeds.
     over = F.greatest(F.lit(0), F.least(F.lit(count), F.ceil((F.col(value) - lowest) / step - 1e-9))).cast("int")
-    hist = rows.groupBy(*by, over.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    hist = rows.groupBy(*by, over.alias("_k")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     totals = hist.groupBy(*by).agg(F.sum("_n").alias("n_finite"), F.array_sort(F.collect_list(F.struct("_k", "_n"))).alias("_h"))
     grid = totals.select(*by, "n_finite", "_h", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("threshold_index"))
     above = F.aggregate(F.filter("_h", lambda x: x["_k"] > F.col("threshold_index")), F.lit(0).cast("bigint"), lambda acc, x: acc + x["_n"])

@@ -48,8 +48,8 @@ STAGES = [
     Stage("consensus", ms2_queries.consensus_scan, {"target_peaks": 10}),
     Stage("representative", ms2_queries.representative_annotation),
     Stage("normalise", ms1_queries.tic_normalised),
-    Stage("fill_blanks", spatial_queries.fill_blanks, {"radius": 1, "fraction": 0.6}),
-    Stage("local_moran", spatial_queries.local_moran),
+    Stage("fill_blanks", spatial_queries.feature_fill_blanks, {"radius": 1, "fraction": 0.6}),
+    Stage("local_moran", spatial_queries.feature_local_moran),
 ]
 MS2_STAGES = ("group_ms2", "annotate", "annotate_precursor", "consensus", "representative")
 

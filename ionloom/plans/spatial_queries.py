@@ -74,6 +74,42 @@ def moran_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return spatial.above_thresholds(i, ["sample_id"], "local_i").select("sample_id", "threshold_index", "n_above", "n_finite", F.round(100.0 * F.col("n_above") / F.col("n_finite"), 6).alias("pct"))
 
 
+def _images(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Touched pixels and images of every feature (see spatial.image_moran), with the pixels and the edges."""
+    g = cut(_grid(spark, d).select("sample_id", "pixel_id", "gx", "gy"))
+    edges = cut(spatial.neighbours(g, ["sample_id"], "pixel_id", rook=True))
+    # Named many times in the plan, and small beside the scans: worked out once.
+    m = cut(ms1_queries._matrix(spark, d))
+    return *spatial.image_moran(m, g, edges, ["sample_id"], "pixel_id", "feature_id", "value"), g, edges
+
+
+def feature_fill_blanks(spark: SparkSession, d: str) -> DataFrame:
+    """Blank pixels of each feature's image filled from their neighbours."""
+    g = _grid(spark, d)
+    edges = spatial.neighbours(g, ["sample_id"], "pixel_id", radius=1)
+    m = ms1_queries._matrix(spark, d).join(g.select("sample_id", "pixel_id"), ["sample_id", "pixel_id"], "left_semi")
+    filled = spatial.fill_blanks(m, edges, ["sample_id"], "pixel_id", ["feature_id"], "value", 0.6)
+    return filled.where("filled").select("sample_id", "feature_id", "pixel_id", F.round("value", 4).alias("value"))
+
+
+def feature_local_moran(spark: SparkSession, d: str) -> DataFrame:
+    """Local I of every pixel of each feature found in a sample."""
+    touched, images, g, edges = _images(spark, d)
+    return spatial.image_local(touched, images, g, edges, ["sample_id"], "pixel_id", "feature_id").select("sample_id", "feature_id", "pixel_id", F.round("local_i", 6).alias("local_i"))
+
+
+def feature_global_moran(spark: SparkSession, d: str) -> DataFrame:
+    touched, images, _, _ = _images(spark, d)
+    return spatial.image_global(touched, images, ["sample_id"], "feature_id").select("sample_id", "feature_id", F.round("moran_i", 6).alias("moran_i"), "n_pixels")
+
+
+def feature_moran_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of each feature whose local I exceeds each of 121 thresholds."""
+    touched, images, _, _ = _images(spark, d)
+    rows = touched.select("sample_id", "feature_id", "local_i", F.lit(1).cast("bigint").alias("n")).unionByName(images.where("n_rest > 0").select("sample_id", "feature_id", F.col("rest_i").alias("local_i"), F.col("n_rest").alias("n")))
+    return spatial.above_thresholds(rows, ["sample_id", "feature_id"], "local_i", weight="n").select("sample_id", "feature_id", "threshold_index", "n_above", "n_finite", F.round(100.0 * F.col("n_above") / F.col("n_finite"), 6).alias("pct"))
+
+
 def roi_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Pixels and mean value inside and outside a region."""
     image = _image(spark, d)
@@ -213,7 +249,7 @@ def mirror_pairs(spark: SparkSession, d: str) -> DataFrame:
     return one.intersect(two).withColumn("shared", F.lit(True)).unionByName(one.subtract(two).withColumn("shared", F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (grid_indices, neighbour_counts, fill_blanks, local_moran, global_moran, moran_thresholds, roi_statistics, internal_standard_ratio, placed_pixels, overlap_patterns, feature_membership, sample_counts, ms2_totals, isotope_summary, headline_counts, isotope_votes, adduct_table, adduct_spelling, compound_masses, mz_decimals, concentrations, latest_features, overlay_values, target_set, best_scan_of_feature, mirror_pairs)}
+QUERIES = {f.__name__: f for f in (grid_indices, neighbour_counts, fill_blanks, local_moran, global_moran, moran_thresholds, feature_fill_blanks, feature_local_moran, feature_global_moran, feature_moran_thresholds, roi_statistics, internal_standard_ratio, placed_pixels, overlap_patterns, feature_membership, sample_counts, ms2_totals, isotope_summary, headline_counts, isotope_votes, adduct_table, adduct_spelling, compound_masses, mz_decimals, concentrations, latest_features, overlay_values, target_set, best_scan_of_feature, mirror_pairs)}
 
 _BASE = ms2_queries._BASE + """, px AS (
   SELECT sample_id, pixel_id, p.x AS x, p.y AS y FROM (SELECT sample_id, pixel_id, min(struct_pack(x := x, y := y)) AS p FROM spatial_pixels WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)
@@ -230,6 +266,18 @@ _BASE = ms2_queries._BASE + """, px AS (
 )"""
 
 
+#: Dense images of the features found in a sample, and their local I.
+_FEATURE_IMAGES = """, fi AS (
+  SELECT DISTINCT sample_id, feature_id FROM mx JOIN g USING (sample_id, pixel_id)
+), fv AS (
+  SELECT g.sample_id, g.pixel_id, fi.feature_id, coalesce(value, 0) AS v FROM g JOIN fi USING (sample_id) LEFT JOIN mx ON mx.sample_id = g.sample_id AND mx.pixel_id = g.pixel_id AND mx.feature_id = fi.feature_id
+), fz AS (
+  SELECT sample_id, pixel_id, feature_id, v - avg(v) OVER w AS z, CASE WHEN min(v) OVER w = max(v) OVER w THEN 0 ELSE var_pop(v) OVER w END AS m2 FROM fv WINDOW w AS (PARTITION BY sample_id, feature_id)
+), fl AS (
+  SELECT fz.sample_id, fz.feature_id, fz.pixel_id, CASE WHEN m2 > 0 THEN z / m2 * lag END AS local_i FROM fz LEFT JOIN (SELECT rk.sample_id, feature_id, src AS pixel_id, avg(z) AS lag FROM rk JOIN fz ON fz.sample_id = rk.sample_id AND fz.pixel_id = dst GROUP BY ALL) l USING (sample_id, feature_id, pixel_id)
+)"""
+
+
 def _crossings() -> str:
     parts = []
     for (x1, y1), (x2, y2) in zip(ROI, [*ROI[1:], ROI[0]], strict=True):
@@ -250,6 +298,15 @@ ORACLE = {
  SELECT sample_id, CASE WHEN q > 0 AND s0 > 0 THEN round(n_pixels / s0 * p / q, 6) END AS moran_i, n_pixels FROM a2 LEFT JOIN b2 USING (sample_id)""",
     "moran_thresholds": _BASE + """, t AS (SELECT CAST(unnest(range(0, 121)) AS INT) AS k), c AS (SELECT sample_id, CAST(greatest(0, least(121, ceil((local_i + 1.0) / 0.05 - 1e-9))) AS INT) AS over FROM lm WHERE local_i IS NOT NULL)
  SELECT sample_id, k AS threshold_index, count(*) FILTER (over > k) AS n_above, count(*) AS n_finite, round(100.0 * count(*) FILTER (over > k) / count(*), 6) AS pct FROM c, t GROUP BY ALL""",
+    "feature_fill_blanks": _BASE + """, e AS (SELECT i.sample_id, i.pixel_id AS src, j.pixel_id AS dst FROM g i JOIN g j ON i.sample_id = j.sample_id AND j.gx BETWEEN i.gx - 1 AND i.gx + 1 AND j.gy BETWEEN i.gy - 1 AND i.gy + 1 AND i.pixel_id != j.pixel_id),
+ ne AS (SELECT sample_id, src, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT e.sample_id, feature_id, src, count(*) AS k, avg(value) AS m FROM e JOIN mx ON mx.sample_id = e.sample_id AND mx.pixel_id = dst JOIN g ON g.sample_id = e.sample_id AND g.pixel_id = dst GROUP BY ALL)
+ SELECT k.sample_id, k.feature_id, k.src AS pixel_id, round(m, 4) AS value FROM k JOIN ne ON ne.sample_id = k.sample_id AND ne.src = k.src LEFT JOIN mx ON mx.sample_id = k.sample_id AND mx.pixel_id = k.src AND mx.feature_id = k.feature_id WHERE mx.value IS NULL AND k >= greatest(1, ceil(n * 0.6 - 1e-9))""",
+    "feature_local_moran": _BASE + _FEATURE_IMAGES + " SELECT sample_id, feature_id, pixel_id, round(local_i, 6) AS local_i FROM fl",
+    "feature_global_moran": _BASE + _FEATURE_IMAGES + """, q AS (SELECT sample_id, feature_id, sum(z * z) AS q, count(*) AS n_pixels, any_value(m2) AS m2 FROM fz GROUP BY ALL),
+ p AS (SELECT rk.sample_id, i.feature_id, sum(i.z * j.z) AS p, count(*) AS s0 FROM rk JOIN fz i ON i.sample_id = rk.sample_id AND i.pixel_id = src JOIN fz j ON j.sample_id = rk.sample_id AND j.pixel_id = dst AND j.feature_id = i.feature_id GROUP BY ALL)
+ SELECT sample_id, feature_id, CASE WHEN m2 > 0 AND s0 > 0 THEN round(n_pixels / s0 * p / q, 6) END AS moran_i, n_pixels FROM q LEFT JOIN p USING (sample_id, feature_id)""",
+    "feature_moran_thresholds": _BASE + _FEATURE_IMAGES + """, t AS (SELECT CAST(unnest(range(0, 121)) AS INT) AS k), c AS (SELECT sample_id, feature_id, CAST(greatest(0, least(121, ceil((local_i + 1.0) / 0.05 - 1e-9))) AS INT) AS over FROM fl WHERE local_i IS NOT NULL)
+ SELECT sample_id, feature_id, k AS threshold_index, count(*) FILTER (over > k) AS n_above, count(*) AS n_finite, round(100.0 * count(*) FILTER (over > k) / count(*), 6) AS pct FROM c, t GROUP BY ALL""",
     "roi_statistics": _BASE + f" SELECT sample_id, CASE WHEN ({_crossings()}) % 2 = 1 THEN 'roi' ELSE 'outside' END AS region, count(*) AS n_pixels, round(avg(v), 6) AS mean_v FROM im GROUP BY ALL",
     "internal_standard_ratio": _BASE + " SELECT sample_id, round(avg(CAST(list_max(intensity) AS DOUBLE) / tic), 6) AS ratio, count(*) AS n FROM s WHERE tic > 0 AND len(intensity) > 0 GROUP BY ALL",
     "placed_pixels": _BASE + f" SELECT sample_id, pixel_id, CAST({_a} AS DOUBLE) * gx + CAST({_b} AS DOUBLE) * gy + {_c} AS u, CAST({_d} AS DOUBLE) * gx + CAST({_e} AS DOUBLE) * gy + {_f} AS v, CAST(0 AS DOUBLE) AS error FROM g",

@@ -7,7 +7,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from ionloom.plans import ms1_queries, spatial_queries
+from ionloom.operators import spatial
+from ionloom.plans import ms1_queries, pipeline, spatial_queries
 
 AT = dt.datetime(2024, 1, 1)
 D = 1.0033548
@@ -47,3 +48,41 @@ def test_isotope_votes_come_from_the_images(spark, isotope_dir):
     assert [(got[k]["k"], got[k]["n_samples_linked"], got[k]["n_samples_both"]) for k in sorted(got)] == [(1, 2, 2), (2, 2, 2)]
     assert [got[k]["intensity_ratio"] for k in sorted(got)] == pytest.approx([0.15, 0.02]) and [got[k]["spatial_corr"] for k in sorted(got)] == pytest.approx([1.0, 1.0])
     assert ms1_queries.isotope_candidates(spark, isotope_dir).where("isotope_id in (5, 7, 9, 11)").select("isotope_id").distinct().count() == 4
+
+
+def test_images_of_all_features_against_dense_ones(spark):
+    """Image 1 varies, 2 has one value, 3 is constant; pixel 99 has no neighbour."""
+    g = np.random.default_rng(5)
+    at = {p: (p % 6, p // 6) for p in range(30)} | {99: (20, 20)}
+    v = {(1, p): float(x) for p, x in zip(at, np.where(g.random(31) < 0.5, 0, g.integers(1, 9, 31)), strict=True)} | {(2, p): 4.0 * (p == 8) for p in at} | {(3, p): 0.1 for p in at}
+    pixels = spark.createDataFrame([("s", p, *xy) for p, xy in at.items()], "s string, p int, gx int, gy int")
+    dense = spark.createDataFrame([("s", p, f, x) for (f, p), x in v.items()], "s string, p int, f int, v double")
+    edges = spatial.neighbours(pixels, ["s"], "p", rook=True)
+    touched, images = spatial.image_moran(dense.where("v > 0"), pixels, edges, ["s"], "p", "f", "v")
+    local = {(r["f"], r["p"]): r["local_i"] for r in spatial.image_local(touched, images, pixels, edges, ["s"], "p", "f").collect()}
+    want = {(r["f"], r["p"]): r["local_i"] for r in spatial.local_moran(dense, edges, ["s"], "p", "v", ["f"]).collect()}
+    assert set(local) == set(want) == set(v)
+    assert all((local[k] is None) == (want[k] is None) and local[k] == pytest.approx(want[k], abs=1e-12) for k in v if k[0] != 3) and all(local[3, p] is None for p in at)
+    got = {r["f"]: (r["moran_i"], r["n_pixels"]) for r in spatial.image_global(touched, images, ["s"], "f").collect()}
+    whole = {r["f"]: r["moran_i"] for r in spatial.global_moran(dense, edges, ["s"], "p", "v", ["f"]).collect()}
+    assert got[1] == (pytest.approx(whole[1]), 31) and got[2] == (pytest.approx(whole[2]), 31) and got[3] == (None, 31)
+
+
+def test_stages_work_on_each_feature(spark, tmp_path):
+    """Feature 1 has a hole in the middle of a 3 x 3 grid, feature 2 one in a corner; each is filled by itself."""
+    d = str(tmp_path)
+    a, b = 300.0, 500.0
+    scans = [(1, p, float(p), 2, 1.0, "+", [a, b], [0.0 if p == 4 else 10.0 + p, 0.0 if p == 0 else 50.0]) for p in range(9)]
+    _write(
+        spark, d,
+        ms1_scans=(scans, SCANS),
+        pixel_ms1_scans=([(1, p, p) for p in range(9)], "sample_id long, pixel_id long, scan_id long"),
+        spatial_pixels=([(1, p, p % 3, p // 3, float(p), p + 0.5) for p in range(9)], "sample_id long, pixel_id long, x int, y int, t_start double, t_end double"),
+        features=([(1, a, None, "aligned", a, 1.0), (2, b, None, "aligned", b, 1.0)], FEATURES),
+    )
+    stage = {s.name: s.build for s in pipeline.STAGES}
+    filled = {(r["feature_id"], r["pixel_id"]): r["value"] for r in stage["fill_blanks"](spark, d).collect()}
+    assert filled == {(1, 4): pytest.approx(np.mean([10.0 + p for p in range(9) if p != 4])), (2, 0): 50.0}
+    assert {(r["feature_id"], r["pixel_id"]) for r in stage["local_moran"](spark, d).collect()} == {(f, p) for f in (1, 2) for p in range(9)}
+    top = {(r["feature_id"], r["threshold_index"]): (r["n_above"], r["n_finite"]) for r in spatial_queries.feature_moran_thresholds(spark, d).collect()}
+    assert top[1, 0][1] == top[2, 0][1] == 9 and len(top) == 242
