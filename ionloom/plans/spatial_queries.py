@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ionloom.functions import chemistry, search
 from ionloom.operators import aggregates, isotopes, spatial
-from ionloom.operators.lifecycle import latest
+from ionloom.operators.lifecycle import latest, move_rows
 from ionloom.plans import ms1_queries, ms2_queries
 from ionloom.plans.ms1_queries import features, mapped, scans
 from ionloom.plans.ms2_queries import annotations, associations
@@ -187,6 +187,13 @@ def isotope_votes(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.isotope_vote(links, present, ms2_queries.protected_features(spark, d), "sample_id")
 
 
+def features_after_isotopes(spark: SparkSession, d: str) -> DataFrame:
+    """Features that stay once the isotopes accepted by the vote are moved out."""
+    iso = isotope_votes(spark, d).select(F.col("isotope_id").alias("feature_id")).distinct()
+    stay, _ = move_rows(features(spark, d).select("feature_id", "mz"), iso, ["feature_id"])
+    return stay
+
+
 def adduct_table(spark: SparkSession, d: str) -> DataFrame:
     """m/z of a compound's ions: glucose as the fixed example of each adduct."""
     mass = chemistry.neutral_mass(F.lit("C6H12O6"))
@@ -249,7 +256,7 @@ def mirror_pairs(spark: SparkSession, d: str) -> DataFrame:
     return one.intersect(two).withColumn("shared", F.lit(True)).unionByName(one.subtract(two).withColumn("shared", F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (grid_indices, neighbour_counts, fill_blanks, local_moran, global_moran, moran_thresholds, feature_fill_blanks, feature_local_moran, feature_global_moran, feature_moran_thresholds, roi_statistics, internal_standard_ratio, placed_pixels, overlap_patterns, feature_membership, sample_counts, ms2_totals, isotope_summary, headline_counts, isotope_votes, adduct_table, adduct_spelling, compound_masses, mz_decimals, concentrations, latest_features, overlay_values, target_set, best_scan_of_feature, mirror_pairs)}
+QUERIES = {f.__name__: f for f in (grid_indices, neighbour_counts, fill_blanks, local_moran, global_moran, moran_thresholds, feature_fill_blanks, feature_local_moran, feature_global_moran, feature_moran_thresholds, roi_statistics, internal_standard_ratio, placed_pixels, overlap_patterns, feature_membership, sample_counts, ms2_totals, isotope_summary, headline_counts, isotope_votes, features_after_isotopes, adduct_table, adduct_spelling, compound_masses, mz_decimals, concentrations, latest_features, overlay_values, target_set, best_scan_of_feature, mirror_pairs)}
 
 _BASE = ms2_queries._BASE + """, px AS (
   SELECT sample_id, pixel_id, p.x AS x, p.y AS y FROM (SELECT sample_id, pixel_id, min(struct_pack(x := x, y := y)) AS p FROM spatial_pixels WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)

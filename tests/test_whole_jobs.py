@@ -86,3 +86,8 @@ def test_stages_work_on_each_feature(spark, tmp_path):
     assert {(r["feature_id"], r["pixel_id"]) for r in stage["local_moran"](spark, d).collect()} == {(f, p) for f in (1, 2) for p in range(9)}
     top = {(r["feature_id"], r["threshold_index"]): (r["n_above"], r["n_finite"]) for r in spatial_queries.feature_moran_thresholds(spark, d).collect()}
     assert top[1, 0][1] == top[2, 0][1] == 9 and len(top) == 242
+
+
+def test_only_accepted_isotopes_are_moved_out(spark, isotope_dir):
+    kept = {r["feature_id"] for r in spatial_queries.features_after_isotopes(spark, isotope_dir).collect()}
+    assert kept == set(range(1, 12)) - {2, 3}
