@@ -50,11 +50,11 @@ def tie_ranks(df: DataFrame, by: Sequence[str], value: str, spread: str, tiebrea
     return rows.join(ranks, [*by, "_seq"]).drop("_seq")
 
 
-def consensus(scans: DataFrame, by: Sequence[str], n_peaks: str, purity: str, best_score: str, scan: Sequence[str], target_peaks: float = 10.0, neutral: float = 0.5, min_purity: float | None = None) -> DataFrame:
+def consensus(scans: DataFrame, by: Sequence[str], n_peaks: str, purity: str, best_score: str, scan: Sequence[str], target_peaks: float = 10.0, neutral: float = 0.5, min_purity: float | None = None, keep_unknown: bool = False) -> DataFrame:
     """Per group the scan that represents it: the greatest product of peak,
     purity and annotation terms, then annotation score, peaks and lowest scan;
-    with n_scans and n_considered (those with enough purity)."""
-    eligible = F.lit(True) if min_purity is None else F.coalesce(F.col(purity) >= min_purity, F.lit(False))
+    with n_scans and n_considered (those with enough purity; with keep_unknown also those of unknown purity)."""
+    eligible = F.lit(True) if min_purity is None else F.coalesce(F.col(purity) >= min_purity, F.lit(keep_unknown))
     term = spectral.peak_term(F.col(n_peaks), target_peaks) * spectral.purity_term(F.col(purity), neutral) * F.coalesce(F.col(best_score), F.lit(1.0))
     rows = scans.withColumn("consensus_score", term).withColumn("_ok", eligible)
     group = Window.partitionBy(*by)

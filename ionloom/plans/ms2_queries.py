@@ -95,6 +95,14 @@ def consensus_scan(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feature_id", "id", F.round("consensus_score", 10).alias("consensus_score"), "n_scans", "n_considered")
 
 
+def consensus_by_purity(spark: SparkSession, d: str) -> DataFrame:
+    """The MS2 scan that represents each feature by the purity of its precursor; an unknown purity counts as neutral and bars no scan."""
+    best = annotations(spark, d).groupBy("sample_id", "scan_id").agg(F.max("score").alias("best_score"))
+    s = associations(spark, d).where("feature_id is not null and n_peaks is not null").join(best, ["sample_id", "scan_id"], "left").join(scan_purity(spark, d), "id", "left")
+    out = windows.consensus(s, ["feature_id"], "n_peaks", "purity_score", "best_score", ["sample_id", "scan_id", "id"], min_purity=0.2, keep_unknown=True)
+    return out.select("feature_id", "id", F.round("consensus_score", 10).alias("consensus_score"), "n_scans", "n_considered")
+
+
 def annotation_outcome(spark: SparkSession, d: str) -> DataFrame:
     """What became of each feature with MS2: all scans skipped, annotated, no shared fragments, no candidates."""
     a = associations(spark, d).where("feature_id is not null")
@@ -212,7 +220,7 @@ def feature_search(spark: SparkSession, d: str) -> DataFrame:
     return f.join(names.groupBy("feature_id").agg(F.count_distinct("compound_name").alias("n_names")), "feature_id", "left")
 
 
-QUERIES = {f.__name__: f for f in (representative_annotation, scan_association, precursor_key_counts, parent_scan, scan_purity, unassociated_recheck, feature_ms2_summary, annotation_ranks, compound_scores, consensus_scan, annotation_outcome, candidate_names, precursor_candidates, feature_categories, candidate_lists, target_matches, injected_clusters, annotation_funnel, protected_features, features_without_isotopes, features_updated, feature_search)}
+QUERIES = {f.__name__: f for f in (representative_annotation, scan_association, precursor_key_counts, parent_scan, scan_purity, unassociated_recheck, feature_ms2_summary, annotation_ranks, compound_scores, consensus_scan, consensus_by_purity, annotation_outcome, candidate_names, precursor_candidates, feature_categories, candidate_lists, target_matches, injected_clusters, annotation_funnel, protected_features, features_without_isotopes, features_updated, feature_search)}
 
 _MASSES = ", ".join(f"('{e}', {m!r})" for e, m in chemistry.MASS.items())
 _ADDUCTS = ", ".join(f"('{a}', {z}, {n}, {chemistry.adduct_delta(e, z)!r})" for a, _, z, n, e in chemistry.ADDUCTS)

@@ -45,7 +45,7 @@ STAGES = [
     Stage("group_ms2", ms2_queries.scan_association, {"ppm": 10}),
     Stage("annotate", ms2_queries.annotation_ranks, {"tolerance": 0.05}),
     Stage("annotate_precursor", ms2_queries.precursor_candidates, {"ppm": 5}),
-    Stage("consensus", ms2_queries.consensus_scan, {"target_peaks": 10}),
+    Stage("consensus", ms2_queries.consensus_by_purity, {"target_peaks": 10}),
     Stage("representative", ms2_queries.representative_annotation),
     Stage("normalise", ms1_queries.tic_normalised),
     Stage("fill_blanks", spatial_queries.feature_fill_blanks, {"radius": 1, "fraction": 0.6}),

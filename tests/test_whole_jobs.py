@@ -91,3 +91,20 @@ def test_stages_work_on_each_feature(spark, tmp_path):
 def test_only_accepted_isotopes_are_moved_out(spark, isotope_dir):
     kept = {r["feature_id"] for r in spatial_queries.features_after_isotopes(spark, isotope_dir).collect()}
     assert kept == set(range(1, 12)) - {2, 3}
+
+
+def test_consensus_goes_by_purity(spark, tmp_path):
+    """Scan 1 has the better factor, scan 2 the purer precursor; feature 2's only scan has no parent and no factor."""
+    d = str(tmp_path)
+    row = lambda i, f, rt, factor: (i, 1, i, f, str(f), 300.0, 300.0, 0.0, rt, 20.0, 10, "+", factor, 0)
+    _write(
+        spark, d,
+        ms1_scans=([(1, 1, 1.0, 3, 1.0, "+", [300.0, 310.0, 320.0], [20.0, 10.0, 100.0]), (1, 2, 3.0, 3, 1.0, "+", [300.0, 310.0, 320.0], [100.0, 10.0, 40.0])], SCANS),
+        ms2_associations=([row(1, 1, 2.0, 0.9), row(2, 1, 4.0, 0.1), row(3, 2, None, None)], ASSOCIATIONS),
+        features=([(1, 300.0, None, "aligned", 300.0, 1.0)], FEATURES),
+        ms2_annotations=([(1, 9, 9, 9, 0.5, "K")], "id long, sample_id long, scan_id long, feature_id long, score double, inchikey string"),
+    )
+    stage = next(s.build for s in pipeline.STAGES if s.name == "consensus")
+    got = {r["feature_id"]: (r["id"], r["consensus_score"], r["n_scans"], r["n_considered"]) for r in stage(spark, d).collect()}
+    # Baselines (10th percentile) of 12 and 16: purities 8 / 96 and 84 / 108.
+    assert got == {1: (2, pytest.approx(84 / 108, abs=1e-5), 2, 1), 2: (3, 0.5, 1, 1)}
