@@ -45,41 +45,71 @@ def prefixes(words: list[str], counts: dict[str, int], window: int, least: int)
     return out
 
 
-def aligned(item: list[str], word_of: list[int], doc: list[str], penalty: int = 3) -> list[tuple[int, int]]:
+def _reach(item: list[str], doc: list[str], most: int) -> list[int]:
+    """For each number of changes up to most, how many item tokens from the first on can be covered, the last of them a match."""
+    best = [0] * (most + 1)
+    doc = doc[: len(item) + most]
+    row = list(range(len(doc) + 1))
+    for a, word in enumerate(item, 1):
+        new = [a]
+        for b, other in enumerate(doc, 1):
+            if word == other and row[b - 1] <= most:
+                best[row[b - 1]] = a
+            new.append(min(row[b - 1] + (word != other), row[b] + 1, new[b - 1] + 1))
+        if min(new) > most:
+            break
+        row = new
+    return best
+
+
+def aligned(item: list[str], word_of: list[int], doc: list[str], penalty: int = 3, share: float = 0.0) -> list[tuple[int, int]]:
     """(item words spanned, words changed) of the best local alignment.
 
     A match counts 1, a word replaced, added or left out -penalty; ends are
-    always matches, so a quotation is never longer than what was quoted.
+    always matches, so a quotation is never longer than what was quoted. Both
+    ends are then moved outwards as far as changes stay within share of the words.
     """
     n, m = len(item), len(doc)
     score = [0] * (m + 1)
     # Of the best alignment ending here: first item token, words changed.
-    begin = [(0, 0)] * (m + 1)
+    # ... and first token of doc.
+    begin = [(0, 0, 0)] * (m + 1)
     best, span = 0, (0, 0)
     for i in range(1, n + 1):
-        diagonal, diagonal_at = 0, (i - 1, 0)
+        diagonal, diagonal_at = 0, (i - 1, 0, 0)
         above_item = item[i - 1]
         for j in range(1, m + 1):
             up, up_at = score[j], begin[j]
             if above_item == doc[j - 1]:
-                value, at = (diagonal + 1, diagonal_at) if diagonal > 0 else (1, (i - 1, 0))
+                value, at = (diagonal + 1, diagonal_at) if diagonal > 0 else (1, (i - 1, 0, j - 1))
             else:
-                value, at = diagonal - penalty, (diagonal_at[0], diagonal_at[1] + 1)
+                value, at = diagonal - penalty, (diagonal_at[0], diagonal_at[1] + 1, diagonal_at[2])
             if up - penalty > value:
-                value, at = up - penalty, (up_at[0], up_at[1] + 1)
+                value, at = up - penalty, (up_at[0], up_at[1] + 1, up_at[2])
             left = score[j - 1]
             if left - penalty > value:
-                value, at = left - penalty, (begin[j - 1][0], begin[j - 1][1] + 1)
+                value, at = left - penalty, (begin[j - 1][0], begin[j - 1][1] + 1, begin[j - 1][2])
             diagonal, diagonal_at = up, up_at
             if value <= 0:
-                value, at = 0, (i, 0)
+                value, at = 0, (i, 0, j)
             score[j], begin[j] = value, at
             if value > best:
                 best, span = value, (at[0], i - 1)
-                changed = at[1]
+                changed, of_doc = at[1], (at[2], j)
     if not best:
         return []
-    return [(word_of[span[1]] - word_of[span[0]] + 1, changed)]
+    words = lambda lo, hi: word_of[hi] - word_of[lo] + 1
+    found = (words(*span), changed)
+    most = round((word_of[-1] + 1) * share) - changed
+    if most > 0:
+        before = _reach(item[: span[0]][::-1], doc[: of_doc[0]][::-1], most)
+        after = _reach(item[span[1] + 1 :], doc[of_doc[1] :], most)
+        for x, a in enumerate(before):
+            for y, b in enumerate(after[: most - x + 1]):
+                n = words(span[0] - a, span[1] + b)
+                if changed + x + y <= round(n * share) and (n, -changed - x - y) > (found[0], -found[1]):
+                    found = (n, changed + x + y)
+    return [found]
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, min_words: int = 14, changed_share: float = 0.15, least: int = 3, block_items: int = 2000) -> DataFrame:
@@ -187,7 +217,7 @@ def _verify(item: list[str], word_of: list[int], doc: list[str], hits: list[tupl
                 b += 1
             if b - a + 1 >= least:
                 stretch = doc[max(0, places[a] - slack - 2) : places[b] + SHINGLE + slack + 2]
-                for words, changed in aligned(item, word_of, stretch):
+                for words, changed in aligned(item, word_of, stretch, share=changed_share):
                     if words >= min_words and changed <= round(words * changed_share) and (best is None or (words, -changed) > (best[0], -best[1])):
                         best = (words, changed)
             a = b + 1
