@@ -1,224 +1,285 @@
 """Evaluation texts that leak into a corpus.
 
-A set join of item windows and documents on shingles of three words. Shingles
-are ordered by rarity, counted over the whole corpus. A passage of 14 words
-with up to three words changed keeps at least three of its twelve shingles, so
-every window need only be looked up by its ten rarest (its prefix); a shingle
-that is among the two commonest of every window it lies in is never looked up.
-Documents shorter than a passage are left out (length bound), hits count only
-where enough of them lie on near diagonals within an item-sized stretch of the
-document (positional bound), and each remaining stretch is verified by an exact
-word alignment against the item.
-
-The items are the stated query set; they are taken in blocks of at most
-``block_items``, each block's prefix index is the only thing sent to all tasks,
-and every document meets every item. Documents are read, never shuffled.
+A set join of items and documents on shingles of three words, in five steps:
+
+1. The items' shingles go into a filter of bounded size, the only thing sent to
+   all tasks. One pass over the corpus keeps the places of shingles that may be
+   an item's, where enough of them lie within an item's reach.
+2. Shingles are ordered by rarity, counted over what the pass kept.
+3. A passage of n words of which c are changed keeps at least n - 2 - 3 c of its
+   n - 2 shingles, so every window of an item need only be looked up by its
+   3 c + 1 rarest (its prefix). The smallest window for each c will do, since a
+   longer passage with c changes holds such a window with no more of them.
+4. Prefix shingles and kept places are joined by shuffle, frequent shingles
+   split over salts: candidates, each an item and a document.
+5. The candidates' documents are read again and every candidate is verified
+   exactly: from each run of equal words the furthest reach in both directions
+   for every number of changes (positional bounds first).
+
+No step holds all items or all documents anywhere, and a document that holds
+very many items is verified in parts.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.llm import shingles
 from ionloom.llm.text import tokens, words_of_tokens
+from ionloom.session import cut
 
-SHINGLE = 3
+SHINGLE = shingles.WORDS
+#: Bits of the filter at most (32 MB).
+MOST_BITS = 28
+#: Places of a shingle from which its rows are split over salts.
+FREQUENT, SALTS = 20_000, 64
+#: Items of a document verified by one call.
+ITEMS_A_CALL = 200
+#: Candidate documents up to which their numbers are sent to all tasks.
+BROADCAST_ROWS = 100_000
 
 
-def _shingles(words: list[str]) -> list[str]:
-    return [" ".join(words[k : k + SHINGLE]) for k in range(len(words) - SHINGLE + 1)]
+def window_sizes(longest: int, min_words: int, share: float) -> list[tuple[int, int]]:
+    """(words, changes) of the smallest passage for every number of changes that one of up to ``longest`` words may have."""
+    out: list[tuple[int, int]] = []
+    for n in range(min_words, longest + 1):
+        c = round(n * share)
+        if not out or c > out[-1][1]:
+            out.append((n, c))
+    return out
 
 
-def prefixes(words: list[str], counts: dict[str, int], window: int, least: int) -> set[str]:
-    """The shingles by which some window of the item has to be looked up."""
-    all_of = _shingles(words)
-    per_window = max(1, min(len(all_of), window - SHINGLE + 1))
-    keep = max(1, per_window - least + 1)
-    out: set[str] = set()
-    for k in range(len(all_of) - per_window + 1):
-        out.update(sorted(set(all_of[k : k + per_window]), key=lambda s: (counts.get(s, 0), s))[:keep])
-    return out
+def least_kept(min_words: int, share: float) -> int:
+    """Shingles that any sufficient passage keeps."""
+    kept = min(n - SHINGLE + 1 - SHINGLE * c for n, c in window_sizes(10 * min_words, min_words, share))
+    if kept < 1 or share >= 1 / SHINGLE:
+        raise ValueError("with so many words changed a passage may hold no whole shingle")
+    return kept
 
 
-def _reach(item: list[str], doc: list[str], most: int) -> list[int]:
-    """For each number of changes up to most, how many item tokens from the first on can be covered, the last of them a match."""
-    best = [0] * (most + 1)
-    doc = doc[: len(item) + most]
-    row = list(range(len(doc) + 1))
-    for a, word in enumerate(item, 1):
-        new = [a]
-        for b, other in enumerate(doc, 1):
-            if word == other and row[b - 1] <= most:
-                best[row[b - 1]] = a
-            new.append(min(row[b - 1] + (word != other), row[b] + 1, new[b - 1] + 1))
-        if min(new) > most:
-            break
-        row = new
-    return best
+def wanted(hashes: np.ndarray, counts: np.ndarray, min_words: int, share: float) -> np.ndarray:
+    """Which shingles of an item (in order) it has to be looked up by."""
+    n = len(hashes)
+    rank = np.empty(n, dtype=np.int64)
+    rank[np.lexsort((hashes, counts))] = np.arange(n)
+    out = np.zeros(n, dtype=bool)
+    for words, changes in window_sizes(n + SHINGLE - 1, min_words, share):
+        size, prefix = words - SHINGLE + 1, SHINGLE * changes + 1
+        windows = np.lib.stride_tricks.sliding_window_view(rank, size)
+        limit = np.partition(windows, prefix - 1, axis=1)[:, prefix - 1]
+        at, inside = np.nonzero(windows <= limit[:, None])
+        out[at + inside] = True
+    return out
 
 
-def aligned(item: list[str], word_of: list[int], doc: list[str], penalty: int = 3, share: float = 0.0) -> list[tuple[int, int]]:
-    """(item words spanned, words changed) of the best local alignment.
+def _reach(a: list[str], b: list[str], most: int) -> list[int]:
+    """For each number of changes up to most, how many words of a from the first on can be covered, the last of them a match."""
+    out = [0] * (most + 1)
+    n, m = len(a), len(b)
+    # The furthest word of a per diagonal (b's place less a's).
+    far = {0: 0}
+    for c in range(most + 1):
+        if c:
+            before, far = far, {}
+            for d in range(-c, c + 1):
+                i = min(max(before.get(d, -2) + 1, before.get(d - 1, -2), before.get(d + 1, -2) + 1), n, m - d)
+                if i >= max(0, -d):
+                    far[d] = i
+        for d, i in far.items():
+            start = i
+            while i < n and 0 <= i + d < m and a[i] == b[i + d]:
+                i += 1
+            far[d] = i
+            if i > start and i > out[c]:
+                out[c] = i
+    return out
 
-    A match counts 1, a word replaced, added or left out -penalty; ends are
-    always matches, so a quotation is never longer than what was quoted. Both
-    ends are then moved outwards as far as changes stay within share of the words.
-    """
-    n, m = len(item), len(doc)
-    score = [0] * (m + 1)
-    # Of the best alignment ending here: first item token, words changed.
-    # ... and first token of doc.
-    begin = [(0, 0, 0)] * (m + 1)
-    best, span = 0, (0, 0)
-    for i in range(1, n + 1):
-        diagonal, diagonal_at = 0, (i - 1, 0, 0)
-        above_item = item[i - 1]
-        for j in range(1, m + 1):
-            up, up_at = score[j], begin[j]
-            if above_item == doc[j - 1]:
-                value, at = (diagonal + 1, diagonal_at) if diagonal > 0 else (1, (i - 1, 0, j - 1))
-            else:
-                value, at = diagonal - penalty, (diagonal_at[0], diagonal_at[1] + 1, diagonal_at[2])
-            if up - penalty > value:
-                value, at = up - penalty, (up_at[0], up_at[1] + 1, up_at[2])
-            left = score[j - 1]
-            if left - penalty > value:
-                value, at = left - penalty, (begin[j - 1][0], begin[j - 1][1] + 1, begin[j - 1][2])
-            diagonal, diagonal_at = up, up_at
-            if value <= 0:
-                value, at = 0, (i, 0, j)
-            score[j], begin[j] = value, at
-            if value > best:
-                best, span = value, (at[0], i - 1)
-                changed, of_doc = at[1], (at[2], j)
-    if not best:
-        return []
-    words = lambda lo, hi: word_of[hi] - word_of[lo] + 1
-    found = (words(*span), changed)
-    most = round((word_of[-1] + 1) * share) - changed
-    if most > 0:
-        before = _reach(item[: span[0]][::-1], doc[: of_doc[0]][::-1], most)
-        after = _reach(item[span[1] + 1 :], doc[of_doc[1] :], most)
-        for x, a in enumerate(before):
-            for y, b in enumerate(after[: most - x + 1]):
-                n = words(span[0] - a, span[1] + b)
-                if changed + x + y <= round(n * share) and (n, -changed - x - y) > (found[0], -found[1]):
-                    found = (n, changed + x + y)
-    return [found]
-
-
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, min_words: int = 14, changed_share: float = 0.15, least: int = 3, block_items: int = 2000) -> DataFrame:
-    """doc_id, item_id, words, changed: the longest passage of the item that the text holds.
 
-    A passage has at least min_words successive words of the item, of which up
-    to changed_share (rounded) are replaced, added or left out. NULL and empty
-    texts and items hold nothing; an item shorter than min_words cannot leak;
-    rows that repeat a doc_id are looked at one by one and give distinct rows.
+def longest_passage(item: list[str], word_of: list[int], doc: list[str], places: dict[str, list[int]], min_words: int, share: float) -> tuple[int, int] | None:
+    """(words, changed) of the longest sufficient passage of item that doc holds, None if there is none.
+
+    places: where in doc each shingle begins. Every sufficient passage holds a
+    run of equal words as long as a shingle; from each such run both ends are
+    moved as far as each number of changes allows.
     """
-    out_schema = f"{doc_id} {documents.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, words int, changed int"
-    rows = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id), F.col(text).alias("text"))
-    sc = documents.sparkSession.sparkContext
-    found = []
-    # The query set, in blocks: a block is at most block_items texts of item size.
-    ids = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).orderBy(item_id, item_text)
-    block: list = []
-    blocks = []
-    for row in ids.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
-            blocks.append(block)
-            block = []
-    if block:
-        blocks.append(block)
-    for block in blocks:
-        parsed = [(key, *words_of_tokens(value)) for key, value in block]
-        parsed = [p for p in parsed if p[2] and p[2][-1] + 1 >= min_words]
-        vocabulary = sc.broadcast({s for _, words, _ in parsed for s in _shingles(words)})
-
-        def count(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary) -> Iterator[pa.RecordBatch]:
-            known, total = vocabulary.value, Counter()
-            for batch in batches:
-                for value in batch.column("text").to_pylist():
-                    total.update(known.intersection(_shingles(tokens(value))))
-            if total:
-                yield pa.RecordBatch.from_pydict({"shingle": list(total), "n": list(total.values())}, schema=pa.schema([("shingle", pa.string()), ("n", pa.int64())]))
-
-        # Documents per shingle, for the shingles of this block of items only.
-        counted = rows.select("text").mapInArrow(count, "shingle string, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-        counts = {r["shingle"]: r["n"] for r in counted.collect()}
-        index: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        everything: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for n, (_, words, _at) in enumerate(parsed):
-            wanted = prefixes(words, counts, min_words, least)
-            for k, s in enumerate(_shingles(words)):
-                everything[s].append((n, k))
-                if s in wanted:
-                    index[s].append((n, k))
-        shared = sc.broadcast((parsed, dict(index), dict(everything)))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            parsed, index, everything = shared.value
-            out: list[tuple] = []
-            for batch in batches:
-                for key, value in zip(batch.column(0).to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    doc = tokens(value)
-                    if len(doc) < min_words * (1 - changed_share) - 1:
-                        continue
-                    shingles = _shingles(doc)
-                    candidates = {n for s in shingles if s in index for n, _ in index[s]}
-                    if not candidates:
-                        continue
-                    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                    for d, s in enumerate(shingles):
-                        for n, k in everything.get(s, ()):
-                            if n in candidates:
-                                hits[n].append((d - k, d))
-                    for n in candidates:
-                        got = _verify(parsed[n][1], parsed[n][2], doc, hits[n], min_words, changed_share, least)
-                        if got:
-                            out.append((key, parsed[n][0], *got))
-            if out:
-                kinds = pa.schema([(doc_id, batch.schema.field(0).type), (item_id, pa.infer_type([p[0] for p in parsed])), ("words", pa.int32()), ("changed", pa.int32())])
-                yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, x, strict=True)) for x in out], schema=kinds)
-
-        found.append(rows.mapInArrow(search, out_schema))
-    if not found:
-        return documents.sparkSession.createDataFrame([], out_schema)
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy(doc_id, item_id).agg(F.max_by("words", F.struct("words", -F.col("changed"))).alias("words"), F.max_by("changed", F.struct("words", -F.col("changed"))).alias("changed"))
-
-
-def _verify(item: list[str], word_of: list[int], doc: list[str], hits: list[tuple[int, int]], min_words: int, changed_share: float, least: int) -> tuple[int, int] | None:
-    """The longest sufficient passage near groups of hits on close diagonals."""
-    slack = max(3, int(len(item) * changed_share) + 1)
-    hits.sort()
+    least = least_kept(min_words, share)
+    most = round((word_of[-1] + 1) * share)
+    hits = sorted((d - k, k) for k in range(len(item) - SHINGLE + 1) for d in places.get(" ".join(item[k : k + SHINGLE]), ()))
+    if len(hits) < least:
+        return None
+    size = len(item) + most
     best = None
-    begin = 0
-    while begin < len(hits):
-        end = begin + 1
-        while end < len(hits) and hits[end][0] - hits[end - 1][0] <= slack:
+    lo = hi = 0
+    at = 0
+    while at < len(hits):
+        diagonal, k = hits[at]
+        end = at
+        while end + 1 < len(hits) and hits[end + 1] == (diagonal, hits[end][1] + 1):
             end += 1
-        group = hits[begin:end]
-        begin = end
-        if len({d for _, d in group}) < least:
+        last = hits[end][1] + SHINGLE
+        at = end + 1
+        # Positional bound: enough shingles of the item near this diagonal and within its reach.
+        while hits[lo][0] < diagonal - most:
+            lo += 1
+        while hi < len(hits) and hits[hi][0] <= diagonal + most:
+            hi += 1
+        if hi - lo < least or len({x for _, x in hits[lo:hi]}) < least:
             continue
-        # Stretches of the document no longer than the item with its changes.
-        places = sorted(d for _, d in group)
-        size = len(item) + slack
-        a = 0
-        while a < len(places):
-            b = a
-            while b + 1 < len(places) and places[b + 1] - places[a] <= size:
-                b += 1
-            if b - a + 1 >= least:
-                stretch = doc[max(0, places[a] - slack - 2) : places[b] + SHINGLE + slack + 2]
-                for words, changed in aligned(item, word_of, stretch, share=changed_share):
-                    if words >= min_words and changed <= round(words * changed_share) and (best is None or (words, -changed) > (best[0], -best[1])):
-                        best = (words, changed)
-            a = b + 1
+        d0, d1 = k + diagonal, last + diagonal
+        before = _reach(item[:k][::-1], doc[max(0, d0 - size) : d0][::-1], most)
+        after = _reach(item[last:], doc[d1 : d1 + size], most)
+        for x, b in enumerate(before):
+            if x and not b:
+                continue
+            for y, a in enumerate(after[: most - x + 1]):
+                if y and not a:
+                    continue
+                words = word_of[last - 1 + a] - word_of[k - b] + 1
+                if words >= min_words and x + y <= round(words * share) and (best is None or (words, -x - y) > (best[0], -best[1])):
+                    best = (words, x + y)
     return best
+
+
+def _item_rows(items: DataFrame, item_id: str, text: str, min_words: int) -> DataFrame:
+    """item, text, hashes, n_tokens of the distinct items that are long enough."""
+    kind = items.schema[item_id].dataType.simpleString()
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            held: dict[int, list[int]] = defaultdict(list)
+            for of, _, h in shingles.shingle_hashes(texts):
+                for n in np.unique(of):
+                    held[int(n)] = h[of == n].view(np.int64).tolist()
+            keep = [n for n in sorted(held) if (words_of_tokens(texts[n])[1] or [-1])[-1] + 1 >= min_words]
+            if keep:
+                yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(keep)), pa.array([texts[n] for n in keep]), pa.array([held[n] for n in keep], pa.list_(pa.int64())), pa.array([len(held[n]) + SHINGLE - 1 for n in keep], pa.int32())], ["item", "text", "hashes", "n_tokens"])
+
+    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text")).distinct()
+    return rows.mapInArrow(parse, f"item {kind}, text string, hashes array<bigint>, n_tokens int")
+
+
+def _filter_of(parsed: DataFrame, bits: int) -> shingles.Filter:
+    """The filter of all items' shingles; its words are joined by the executors before they reach the driver."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = shingles.Filter(bits)
+        for batch in batches:
+            h = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.unique(np.concatenate(empty.places(h)))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            if len(word):
+                bit = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bit.view(np.int64))], ["word", "bit"])
+
+    found = parsed.select("hashes").mapInArrow(mark, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = shingles.Filter(bits)
+    out.add_words(found["word"].to_numpy(), found["bit"].to_numpy().view(np.uint64))
+    return out
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, min_words: int = 14, changed_share: float = 0.15) -> DataFrame:
+    """doc_id, item_id, words, changed: the longest passage of the item that the text holds.
+
+    A passage has at least min_words successive words of the item, of which up
+    to changed_share (rounded) are replaced, added or left out; it begins and
+    ends with a word that is the same. NULL and empty texts and items hold
+    nothing; an item shorter than min_words cannot leak; rows that repeat a
+    doc_id or item_id are looked at one by one and give distinct rows. Other
+    columns play no part, whatever their names.
+    """
+    least = least_kept(min_words, changed_share)
+    spark = documents.sparkSession
+    kinds = {"doc": documents.schema[doc_id].dataType.simpleString(), "item": items.schema[item_id].dataType.simpleString()}
+    rows = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    parsed = cut(_item_rows(items, item_id, item_text, min_words))
+    size = parsed.agg(F.sum(F.size("hashes")).alias("n"), F.max("n_tokens").alias("longest")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], f"`{doc_id}` {kinds['doc']}, `{item_id}` {kinds['item']}, words int, changed int")
+    bits = min(MOST_BITS, max(10, int(16 * size["n"]).bit_length()))
+    known = spark.sparkContext.broadcast(_filter_of(parsed, bits))
+    reach = size["longest"] + round(size["longest"] * changed_share)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, at, h in shingles.shingle_hashes(batch.column("text").to_pylist()):
+                hit = np.flatnonzero(known.value.held(h))
+                if len(hit) < least:
+                    continue
+                of, at, h = of[hit], at[hit], h[hit]
+                # Where least of them lie within an item's reach.
+                dense = np.flatnonzero((of[least - 1 :] == of[: len(of) - least + 1]) & (at[least - 1 :] - at[: len(at) - least + 1] <= reach))
+                keep = np.zeros(len(of) + 1, dtype=np.int64)
+                np.add.at(keep, dense, 1)
+                np.add.at(keep, dense + least, -1)
+                keep = np.cumsum(keep[:-1]) > 0
+                if keep.any():
+                    # A document needs each shingle once from here on.
+                    pairs = np.unique(np.stack([of[keep], h[keep].view(np.int64)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(pairs[0])), pa.array(pairs[1])], ["doc", "h"])
+
+    # Used three times, read from the corpus once; a narrow row per kept place.
+    places = cut(rows.mapInArrow(look, f"doc {kinds['doc']}, h bigint"))
+    counts = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    each = parsed.select("item", "text", F.posexplode("hashes").alias("k", "h"))
+    counted = each.join(counts, "h", "left").groupBy("item", "text").agg(F.array_sort(F.collect_list(F.struct("k", "h", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))).alias("l"))
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"row": [], "h": [], "n": []}
+            for n, listed in enumerate(batch.column("l").to_pylist()):
+                h, c = (np.array([x[key] for x in listed], dtype=np.int64) for key in ("h", "n"))
+                # What no document has cannot be found; it still takes its place in the order.
+                chosen = wanted(h, c, min_words, changed_share) & (c > 0)
+                for a, b in sorted(set(zip(h[chosen].tolist(), c[chosen].tolist(), strict=True))):
+                    out["row"].append(n)
+                    out["h"].append(a)
+                    out["n"].append(b)
+            if out["row"]:
+                take = pa.array(out["row"])
+                yield pa.RecordBatch.from_arrays([batch.column("item").take(take), batch.column("text").take(take), pa.array(out["h"], pa.int64()), pa.array(out["n"], pa.int64())], ["item", "item_text", "h", "n"])
+
+    looked_up = counted.select("item", "text", "l").mapInArrow(prefix, f"item {kinds['item']}, item_text string, h bigint, n bigint")
+    often = F.col("n") >= FREQUENT
+    looked_up = looked_up.withColumn("salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    frequent = counts.where(often).select("h", F.lit(True).alias("often"))
+    salted = places.join(frequent, "h", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    pairs = cut(salted.join(looked_up, ["h", "salt"]).select("doc", "item", "item_text").distinct())
+    n_docs = pairs.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / F.lit(ITEMS_A_CALL)).cast("int").alias("calls"))
+    few = n_docs.count() <= BROADCAST_ROWS
+    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    lists = pairs.join(n_docs, "doc").groupBy("doc", F.pmod(F.xxhash64("item", "item_text"), "calls").alias("call")).agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[list[str], list[int]]] = {}
+        for batch in batches:
+            out: dict[str, list] = {"at": [], "item": [], "words": [], "changed": []}
+            kind = batch.schema.field("items").type.value_type.field("item").type
+            for n, (value, listed) in enumerate(zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                doc = tokens(value)
+                found: dict[str, list[int]] = defaultdict(list)
+                for d in range(len(doc) - SHINGLE + 1):
+                    found[" ".join(doc[d : d + SHINGLE])].append(d)
+                for x in listed:
+                    if x["item_text"] not in seen:
+                        if len(seen) > 5_000:
+                            seen.clear()
+                        seen[x["item_text"]] = words_of_tokens(x["item_text"])
+                    got = longest_passage(*seen[x["item_text"]], doc, found, min_words, changed_share)
+                    if got:
+                        for key, v in zip(out, (n, x["item"], *got), strict=True):
+                            out[key].append(v)
+            if out["at"]:
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(out["at"])), pa.array(out["item"], kind), pa.array(out["words"], pa.int32()), pa.array(out["changed"], pa.int32())], ["doc", "item", "words", "changed"])
+
+    # A document of many items comes once per call, so one text is never met with an unbounded list.
+    met = rows.join(near(lists.select("doc", "items")), "doc").select("doc", "text", "items")
+    passages = met.mapInArrow(verify, f"doc {kinds['doc']}, item {kinds['item']}, words int, changed int")
+    longest = passages.groupBy("doc", "item").agg(F.max(F.struct("words", (-F.col("changed")).alias("c"))).alias("x"))
+    return longest.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("x.words").alias("words"), (-F.col("x.c")).alias("changed"))

@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 #: Soft hyphen, zero-width and direction marks, byte order mark, variation selectors.
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
 _TOKEN = re.compile(r"[^\W_]+")
