@@ -30,7 +30,7 @@ mierda* joder jodid* jodete cojon* cono carajo hostia puñeter* punetera verga c
 
 # Harm done to people.
 VIOLENCE = """
-kill kills killing murder* strangle* stab* stabbing shoot slaughter* choke* beat beating smash* punch* slap* bleed bleeding hurt hang hanged burn burned
+kill kills killing murder* strangle* stab stabs stabbed stabbing shoot slaughter* choke* beat beating smash* punch* slap* bleed bleeding hurt hang hanged burn burned
 rape raped drown* bones teeth skull fingers neck knees throat face legs dies dying dead fists pipe bat knife gun hammer lynch death grave
 umbringen totschlag* schlag schlage schlagen verprugel* erwurg* erstech* abstech* knochen zahne genick verrecke* verrecken sterb* stirb krepier* tot fertigmachen bluten brechen breche
 tuer tue tuerai frapper frapperai casser casserai crever creve creves mourir meurs egorger etrangler cogner saigner defoncer os dents mort
@@ -48,7 +48,7 @@ follar follando folla polla coño tetas chupar chupa chupame mamada cachond* cal
 
 # Words that are sexual in some contexts only.
 SOFT = """
-sex sexy sexual naked nude strip stripped breast breasts kiss kissed bed bedroom pants trousers underwear skirt lap intimate came
+sex sexy sexual naked nude strip stripped breast breasts kiss kissed bed bedroom pants trousers underwear skirt lap intimate
 sexuell nackten hose rock bett brust kuss kussen unterhose
 sexe sexuel nu nus lit poitrine embrasser culotte pantalon jupe
 sexo desnudo cama pechos beso besar bragas pantalones falda
@@ -109,7 +109,7 @@ je (vais|te|t|sais ou|jure) .{0,30}(te|t|tuer|casser|frapper|toi|ton|ta|tes|habi
 (te|os) (voy a|juro|mato|matare|rompo|rompere|parto|partire|reviento|arranco|quemo) |voy a (matar|romper|partir|reventar|quemar|cortar)|se donde vives|ojala te (mueras|pudras|ahogues|mates)|te vas a (arrepentir|enterar)|lo vas a pagar
 """,
     "hate": r"""
-their (kind|sort|race|blood)|(lie|steal|cheat|stink) (and \w+ )?from birth|never trust (immigrants|women|gays|foreigners|refugees|those|these|them|people from)|(throw|kick) (all|them|the|these|those) .{0,30} out|they are a (disease|plague|pest|cancer)|(world|country|lab|place|city|planet) would be (cleaner|better|safer|nicer|brighter) without|keep .{0,30} out of|(get|throw|drive) .{0,20} out of (here|this|our)|(only|all) .{0,12}(breed|steal)|in their blood|(send|ship|throw|kick) (them|those|these) (all )?(back|out|away)|where they (crawled|came) from|go back to (your|where)|(do not|don t|dont) belong|should (never|not) (be|have been) (allowed|let|hired|born)|get jobs here|than let .{0,30} touch|(are|is) (all )?(a plague|filth|vermin|animals|subhuman|parasites|scum|too stupid|too dumb)|everybody knows|those people|refuse to share|was a mistake,? their
+their (kind|sort|race|blood)|(lie|steal|cheat|stink) (and \w+ )?from birth|never trust (immigrants|women|gays|foreigners|refugees|those|these|them|people from)|(throw|kick) (all|them|the|these|those) .{0,30} out|they are a (disease|plague|pest|cancer)|(world|country|lab|place|city|planet) would be (cleaner|better|safer|nicer|brighter) without|(get|throw|drive) .{0,20} out of (here|this|our)|(only|all) .{0,12}(breed|steal)|in their blood|(send|ship|throw|kick) (them|those|these) (all )?(back|out|away)|where they (crawled|came) from|go back to (your|where)|(do not|don t|dont) belong|should (never|not) (be|have been) (allowed|let|hired|born)|get jobs here|than let .{0,30} touch|(are|is) (all )?(a plague|filth|vermin|animals|subhuman|parasites|scum|too stupid|too dumb)|everybody knows|those people|refuse to share|was a mistake,? their
 (welt|land|labor) ware (sauberer|besser|schoner) ohne|(diese|solche) (leute|weiber|typen|menschen|art)|im blut|gehoren (nicht|weg|raus|ins|alle|nach)|(zuruck|raus) (dahin|schicken|mit)|hingeschickt|wo sie hergekommen|haben hier nichts|nichts zu suchen|sind (alle )?(dreck|abschaum|ungeziefer|eine plage|eine pest|zu dumm|zu blod|parasiten|tiere)|lieber .{0,40} als .{0,30} (lassen|ranlassen)
 ces gens|(monde|pays|labo) serait (plus )?(propre|mieux|meilleur) sans|dans le sang|(renvoie|renvoyez|rentrez|retourne|qu on les renvoie|chez eux|chez vous)|n ont rien a faire|n ont pas leur place|sont (tous |toutes )?(une plaie|une peste|de la vermine|des parasites|des animaux|trop betes|trop stupides|trop cons|de la crasse)|leur race|leur espece
 esa gente|(mundo|pais|laboratorio) (seria|estaria) (mas |mejor )?(limpio|mejor)? ?sin|en la sangre|(que|deberian) (vuelvan|volver|volverse|irse)|a su pais|no (deberian|tienen nada que)|son (todos |todas )?(una plaga|una peste|escoria|basura|parasitos|animales|demasiado tont\w*|demasiado estupid\w*|unos vagos)|su raza|de donde (vinieron|salieron)
@@ -119,5 +119,9 @@ want to feel you|(hands?|fingers?|tongue|mouth) .{0,30}(between|on|under|inside)
 zieh dich aus|geil auf dich|wir (ficken|vogeln|treiben|machen es)|nackt (auf|in|vor|und|mit)|auf (den )?knien|von hinten|in die hose|zwischen (die|deine|ihre|meine|den) beine|(blas|blase|blies) (mir|ihm|ihn)|ihre titten|deine titten|deinen (arsch|schwanz)|will dich (nackt|spuren|ficken)|ich will dich
 deshabille[- ]toi|envie de toi|te (baiser|prendre|lecher|sucer)|a poil|a genoux|par derriere|(son|ta|sa|ma|ton) (bite|cul|chatte|culotte)|nue? (sur|dans|et|devant)|entre (ses|tes|mes) (jambes|cuisses)|on baise|je bande|suce[- ]moi|tes seins
 quitate (la|el)|desnudate|tan (cachond\w*|caliente|mojad\w*)|te (quiero|voy a|deseo) (follar|coger|desnud\w*|chupar|lamer)|de rodillas|por detras|entre (sus|tus|mis) piernas|tus tetas|desnud[ao] (en|sobre|y|para)|(me|te|se) (la )?(chupa|chupo|chupe|come|corro|corri|corrio)|follamos|quiero follar|su (polla|cono)
+""",
+    # Hateful only where a group is meant.
+    "exclude": r"""
+keep .{0,30} out of
 """,
 }

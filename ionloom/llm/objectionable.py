@@ -32,13 +32,12 @@ KINDS = ("insult", "profanity", "violence", "sexual", "soft", "group", "dehumani
 _LISTS = dict(zip(KINDS, (lexicon.INSULT, lexicon.PROFANITY, lexicon.VIOLENCE, lexicon.SEXUAL, lexicon.SOFT, lexicon.GROUP, lexicon.DEHUMANISE, lexicon.SECOND, lexicon.FIRST, lexicon.TECHNICAL), strict=True))
 _BIT = {k: 1 << i for i, k in enumerate(KINDS)}
 _HARSH = _BIT["insult"] | _BIT["profanity"] | _BIT["violence"] | _BIT["sexual"] | _BIT["dehumanise"]
-_TOUCHED = _HARSH | _BIT["soft"] | _BIT["group"] | _BIT["second"]
-# Words for others, and word stems by which an abusive phrase may come without one of the lists' words.
-_OTHERS = frozenset("their them they those she he her him his people everybody nobody someone somebody diese solche leute ces gens leur esa gente nadie personne keiner niemand".split())
+_TOUCHED = _HARSH | _BIT["soft"] | _BIT["group"]
 #: Put behind a word whose evasive spelling was undone.
 _MARK = "\ue000"
 _EVADED = _BIT["insult"] | _BIT["profanity"] | _BIT["sexual"] | _BIT["soft"]
-_PATTERNS = {k: re.compile(r"\b(?:" + "|".join(x for x in v.strip().split("\n") if x) + r")(?:\b|(?<=\s))") for k, v in lexicon.PHRASES.items()}
+#: Words of these lists count as evaded only if long, as short ones come about by chance.
+_EVADED_LONG, _LONG = _BIT["violence"] | _BIT["dehumanise"], 5
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
@@ -48,9 +47,12 @@ _MASKED = re.compile(r"(?<![^\W_*#])[^\W\d_]+[*#]+[^\W\d_]*(?![^\W_*#])")
 _BROKEN = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[.\-_·|][^\W\d_]+)+(?![^\W_])")
 _OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 _OUTER = ".,;:!?\"'“”‘’()[]{}<>«»"
+_SIGNS = frozenset("013457@$!|€")
 _TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzäöüéèêáíóúñç"]
 _LONG_RUN = re.compile(r"[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*")
 _MIXED = re.compile(r"(?<![^\W_@$!|€])(?=[^\s]*[^\W\d_])(?=[^\s]*[0134570@$!|€])[0134570@$!|€\w]+(?![^\W_])")
+# Short words that may stand between words whose letters are set apart.
+_BETWEEN = frozenset("a an and are be i in is it like me my no of off so such the this to u up you your das dein der die du ein eine ihr und wie con de el en eres la le les te ton tu un una une y".split())
 
 
 #: Latin letters with marks to those without, ß to ss; from Unicode's own decompositions.
@@ -81,29 +83,62 @@ def word_bits(word: str) -> int:
     return bits
 
 
+def listed(word: str) -> bool:
+    """Whether a word whose spelling was undone is one that people disguise."""
+    bits = word_bits(fold(word.casefold()))
+    return bool(bits & _EVADED) or len(word) >= _LONG and bool(bits & _EVADED_LONG)
+
+
 @lru_cache(maxsize=20_000)
 def _unmask(masked: str) -> str | None:
     """The listed word that a masked spelling such as i***t stands for."""
     pattern = re.compile(re.sub(r"\\?[*#]", "[a-z]", re.escape(masked)) + r"\Z")
-    for word, bits in _WHOLE.items():
-        if bits & _EVADED and len(word) == len(masked) and pattern.match(word):
-            return word
-    for word, bits in _STEMS.items():
-        if bits & _EVADED and len(word) == len(masked) and pattern.match(word):
-            return word
+    for words in (_WHOLE, _STEMS):
+        for word, bits in words.items():
+            if len(word) == len(masked) and (bits & _EVADED or len(word) >= _LONG and bits & _EVADED_LONG) and pattern.match(word):
+                return word
     return None
 
 
+@lru_cache(maxsize=20_000)
+def _parted(run: str) -> str | None:
+    """Letters set apart as the words they spell, listed ones marked; None unless the whole run is listed and short words, one of them listed."""
+    if listed(run):
+        return run + _MARK
+    # For every place the fewest words up to it, as (words, text).
+    best: list[tuple[int, str, bool] | None] = [(0, "", False), *[None] * len(run)]
+    for end in range(1, len(run) + 1):
+        for begin in range(max(0, end - 16), end):
+            word, before = run[begin:end], best[begin]
+            if before is None:
+                continue
+            bad = len(word) >= 3 and listed(word)
+            if (bad or word.casefold() in _BETWEEN) and (best[end] is None or before[0] + 1 < best[end][0]):
+                best[end] = (before[0] + 1, f"{before[1]} {word}{_MARK if bad else ''}", before[2] or bad)
+    return best[-1][1].strip() if best[-1] and best[-1][2] else None
+
+
+@lru_cache(maxsize=200_000)
+def _disguise(word: str) -> int:
+    """1: masked, 2: broken up, 4: with signs or digits for letters, so that a listed word may be meant."""
+    word = word.strip(_OUTER)
+    if len(word) < 3 or word.isalpha() or not any(map(str.isalpha, word)):
+        return 0
+    masked = "*" in word or "#" in word
+    broken = not word.isalnum() and any(listed(re.sub(r"[.\-_·|]", "", m.group())) for m in _BROKEN.finditer(word))
+    return masked + 2 * broken + 4 * (not _SIGNS.isdisjoint(word) and listed(word.translate(LEET).strip("_")))
+
+
 def reveal(text: str) -> str:
     """The text with evasive spellings undone where they stand for a listed word, each marked by _MARK behind it."""
 
-    def listed(candidate: str) -> bool:
-        return bool(word_bits(fold(candidate.casefold())) & _EVADED)
-
     def joined(m: re.Match) -> str:
-        word = re.sub(r"[ .\-_*·|]", "", m.group())
+        word = re.sub(r"[.\-_·|]", "", m.group())
         return word + _MARK if listed(word) else m.group()
 
+    def parted(m: re.Match) -> str:
+        return _parted(re.sub(r"[ .\-_*·]", "", m.group())) or m.group()
+
     def unmasked(m: re.Match) -> str:
         word = _unmask(fold(m.group().casefold()))
         return word + _MARK if word else m.group()
@@ -125,27 +160,91 @@ def reveal(text: str) -> str:
 
     if not text.isascii() and _OTHER_SCRIPT.search(text):
         text = _WORD.sub(latin, text)
-    words = text.split()
     # Patterns are tried only where the text's words give them something to find.
-    odd = {w for w in words if not w.isalpha()}
-    if odd:
-        inner = [w.strip(_OUTER) for w in odd]
-        inner = [w for w in inner if len(w) > 2 and not w.isalpha() and any(map(str.isalpha, w))]
-        if any("*" in w or "#" in w for w in inner):
-            text = _MASKED.sub(unmasked, text)
-        if any(not w.isalnum() and _BROKEN.search(w) and any(listed(re.sub(r"[.\-_*·|]", "", m.group())) for m in _BROKEN.finditer(w)) for w in inner):
-            text = _BROKEN.sub(joined, text)
-        if any(_MIXED.search(w) and listed(w.translate(LEET).strip("_")) for w in odd if any(c in w for c in "013457@$!|€") and any(map(str.isalpha, w))) or any(listed(w.translate(LEET)) for w in inner):
-            text = _MIXED.sub(unleet, text)
-    letters = [len(w) == 1 and w.isalpha() for w in words]
-    if any(x and y and z for x, y, z in zip(letters, letters[1:], letters[2:])) or any(len(w) < 8 and "." in w for w in odd):
-        text = _SPACED.sub(joined, text)
+    found = 0
+    for word in set(text.split()):
+        if not word.isalpha():
+            found |= _disguise(word)
+    if found & 1:
+        text = _MASKED.sub(unmasked, text)
+    if found & 2:
+        text = _BROKEN.sub(joined, text)
+    if found & 4:
+        text = _MIXED.sub(unleet, text)
+    if _SPACED.search(text):
+        text = _SPACED.sub(parted, text)
     low = text.lower()
     if any(c in low for c in _TRIPLES):
         text = _LONG_RUN.sub(shortened, text)
     return text
 
 
+def alternatives(pattern: str) -> list[str]:
+    """A pattern cut at its outermost bars."""
+    out, depth, begin = [], 0, 0
+    for i, c in enumerate(pattern):
+        if c in "([" and pattern[i - 1 : i] != "\\":
+            depth += 1
+        elif c in ")]" and pattern[i - 1 : i] != "\\":
+            depth -= 1
+        elif c == "|" and not depth:
+            out.append(pattern[begin:i])
+            begin = i + 1
+    return [x for x in [*out, pattern[begin:]] if x]
+
+
+def openings(pattern: str) -> set[str]:
+    """What the first word of any match begins with; with a blank behind it the whole word. "" stands for any word."""
+    if pattern[:1] == "(":
+        depth = end = 0
+        for end, c in enumerate(pattern):
+            depth += (c == "(") - (c == ")")
+            if not depth:
+                break
+        rest = pattern[end + 1 :]
+        optional = rest[:1] in ("?", "*")
+        rest = rest[1:] if optional else rest
+        out = {x for a in alternatives(pattern[1:end].removeprefix("?:")) for x in openings(a + rest)}
+        return out | (openings(rest) if optional else set())
+    word = ""
+    for i, c in enumerate(pattern):
+        if c == " ":
+            return {word + " "}
+        if not c.isalpha() or pattern[i + 1 : i + 2] in ("?", "*", "{"):
+            return {word}
+        word += c
+    return {word + " "}
+
+
+#: (kind, pattern, what its matches begin with) of every phrase.
+_PHRASES = [(kind, re.compile(f"(?:{x})" + r"(?:\b|(?<=\s))"), tuple(openings(x))) for kind, lines in lexicon.PHRASES.items() for line in lines.strip().split("\n") for x in alternatives(line)]
+
+
+@lru_cache(maxsize=200_000)
+def about(word: str) -> tuple[int, tuple]:
+    """(lists that hold the word, phrases that may begin with it)."""
+    return word_bits(word), tuple((k, p) for k, p, begins in _PHRASES if any((word + " ").startswith(b) for b in begins))
+
+
+def phrases(words: list[str], told: list[tuple[int, tuple]]) -> dict[str, int]:
+    """How many phrases of each kind the words hold, none within another of its kind; each is tried only where its first word stands."""
+    out = dict.fromkeys(lexicon.PHRASES, 0)
+    if any(t for _, t in told):
+        flat, at, until = " ".join(words), 0, dict.fromkeys(out, 0)
+        for word, (_, may) in zip(words, told, strict=True):
+            for kind, pattern in may:
+                if at >= until[kind] and (m := pattern.match(flat, at)):
+                    out[kind] += 1
+                    until[kind] = max(m.end(), at + 1)
+            at += len(word) + 1
+    return out
+
+
+def _words(low: str) -> list[str]:
+    words = _WORD.findall(low)
+    return [w.replace("'", "").replace("’", "") for w in words] if "'" in low or "’" in low else words
+
+
 SENTENCE_FEATURES = (*(f"{k}_density" for k in KINDS), *(f"{k}_count" for k in KINDS), "degrade", "threat", "hate", "lewd", "second_to_harsh", "group_to_dehumanise", "capitals", "marks", "evaded", "words", "evidence")
 N_SENTENCE = len(SENTENCE_FEATURES)
 FEATURES = (*(f"worst_{x}" for x in SENTENCE_FEATURES), "total_evaded")
@@ -154,19 +253,17 @@ FEATURES = (*(f"worst_{x}" for x in SENTENCE_FEATURES), "total_evaded")
 def sentence_features(sentence: str, low: str, hidden: int) -> list[float] | None:
     """Features of one revealed sentence (low: folded and in lower case), or None
     where no list or pattern is touched. hidden: invisible characters taken out."""
-    words = _WORD.findall(low)
+    words = _words(low)
     if not words:
         return None
-    if "'" in low or "’" in low:
-        words = [w.replace("'", "").replace("’", "") for w in words]
     evaded = sentence.count(_MARK)
-    bits = [word_bits(w) for w in words]
-    flat = " ".join(words)
-    # Every pattern speaks to or of somebody; a sentence with no such word has none.
-    if not any(b & _TOUCHED for b in bits) and not _OTHERS.intersection(words):
-        return None
-    found = {k: len(p.findall(flat)) for k, p in _PATTERNS.items()}
-    if not any(b & (_HARSH | _BIT["soft"] | _BIT["group"]) for b in bits) and not any(found.values()):
+    told = [about(w) for w in words]
+    bits = [b for b, _ in told]
+    found = phrases(words, told)
+    group_named = any(b & _BIT["group"] for b in bits)
+    excluded = found.pop("exclude")
+    found["hate"] += excluded if group_named else 0
+    if not any(b & _TOUCHED for b in bits) and not any(found.values()):
         return None
     counts = [sum(1 for b in bits if b & _BIT[k]) for k in KINDS]
     n = len(words)
@@ -196,6 +293,11 @@ def text_features(text: str | None) -> np.ndarray:
 
     def look(part: str, hidden: int) -> None:
         shown = reveal(part)
+        # Most texts hold nothing of any list: seen once for the whole text, not per sentence.
+        words = _words(fold(shown.casefold()))
+        told = [about(w) for w in words]
+        if not any(b & _TOUCHED for b, _ in told) and not any(n for k, n in phrases(words, told).items() if k != "exclude"):
+            return
         sentences = _SENTENCE.split(shown)
         for sentence in sentences:
             row = sentence_features(sentence, fold(sentence.casefold()), hidden)
@@ -300,13 +402,16 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Scorer:
-    """Trees with their calibration; small, so it is sent to all tasks."""
+    """Trees with their calibration; small, so it is sent to all tasks.
 
-    def __init__(self, x: np.ndarray, labels: list[int], folds: int = 5):
+    Too few labels, or labels of one kind only, teach nothing: every score is then NaN, which scored() gives as NULL.
+    """
+
+    def __init__(self, x: np.ndarray, labels: list[int], folds: int = 5, least_labels: int = 10):
         y = np.array(labels, dtype=float)
         self.trees = None
-        if len(y) < 10 or y.min() == y.max():
-            return  # nothing to learn from: score() then uses the evidence alone
+        if len(y) < least_labels or y.min() == y.max():
+            return
         # Calibrated on margins of trees that had not seen the text.
         fold, held = np.arange(len(y)) % folds, np.zeros(len(y))
         for k in range(folds):
@@ -318,9 +423,9 @@ class Scorer:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x = np.stack([text_features(t) for t in texts])
         if self.trees is None:
-            return 1 / (1 + np.exp(-(x[:, N_SENTENCE - 1] - 2.5)))
+            return np.full(len(texts), np.nan)
+        x = np.stack([text_features(t) for t in texts])
         return np.interp(self.trees.margin(x), self.at, self.probability)
 
 
@@ -335,22 +440,22 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
             rows = [text_features(t).tolist() for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("_y"), pa.array(rows, pa.list_(pa.float64()))], [doc_id, "_y", "x"])
 
-    # Only the feature rows of the bounded sample reach the driver, not texts.
-    labelled = documents.select(doc_id, F.col(text).alias("_text")).join(said, doc_id).select(doc_id, "_text", "_y").repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    # Only the feature rows of the bounded sample reach the driver, not texts; the labels go to the texts, at most max_labels of them.
+    labelled = documents.select(doc_id, F.col(text).alias("_text")).join(F.broadcast(said), doc_id).select(doc_id, "_text", "_y").repartition(documents.sparkSession.sparkContext.defaultParallelism)
     rows = labelled.mapInArrow(describe, f"`{doc_id}` {kind}, _y double, x array<double>").collect()
     rows.sort(key=lambda r: (r[0], r["x"]))
     return Scorer(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), [int(r["_y"] > 0.5) for r in rows])
 
 
 def scored(documents: DataFrame, scorer: Scorer, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to keep, and score in 0..1 for every row; NULL and empty texts score lowest."""
+    """doc_id, the columns to keep, and score in 0..1 for every row; NULL and empty texts score lowest. NULL scores where the scorer had nothing to learn from."""
     shared = documents.sparkSession.sparkContext.broadcast(scorer)
     rows = documents.select(doc_id, *keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in (doc_id, *keep)) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array(shared.value.score(batch.column("_text").to_pylist()), pa.float64())
+            score = pa.array(shared.value.score(batch.column("_text").to_pylist()), pa.float64(), from_pandas=True)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (doc_id, *keep)), score], [doc_id, *keep, "score"])
 
     return rows.mapInArrow(run, schema)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,11 +187,33 @@ def test_evasive_spellings_and_neutral_words():
         assert evidence(t) < 1.5, t
 
 
-def test_no_labels_falls_back_to_evidence(spark):
-    none = spark.createDataFrame([], "doc_id int, objectionable int")
-    scorer = objectionable.fit(spark.createDataFrame([(1, "x")], "doc_id int, text string"), none, "doc_id", "text", "objectionable")
-    low, high = scorer.score(["a clean text", "Shut up, you stupid pig, nobody likes you"])
-    assert low < 0.4 < high
+@pytest.mark.parametrize("labels", [[], [(1, 1)], [(k, 0) for k in range(30)]])
+def test_nothing_to_learn_from_gives_null_scores(spark, labels):
+    said = spark.createDataFrame(labels, "doc_id int, objectionable int")
+    docs = spark.createDataFrame([(k, f"Shut up, you stupid pig {k}") for k in range(30)], "doc_id int, text string")
+    scorer = objectionable.fit(docs, said, "doc_id", "text", "objectionable")
+    assert {r["score"] for r in objectionable.scored(docs, scorer, "doc_id", "text").collect()} == {None}
+
+
+def test_phrases_are_found_only_from_their_first_words_on():
+    """Trying each phrase where its first word stands finds what trying it everywhere finds."""
+    r = random.Random(4)
+    words = sorted({w for _, p, _ in objectionable._PHRASES for w in re.findall("[a-z]{2,}", p.pattern)} | {"i", "a"})
+    for _ in range(300):
+        text = r.choices(words, k=12)
+        text[3:3] = r.choice(["shut up", "i will break your", "they lie and steal from birth", "you are dead", "strip for me", "wie dich", "eres un"]).split()
+        flat = " ".join(text)
+        got = objectionable.phrases(text, [objectionable.about(w) for w in text])
+        for kind, n in got.items():
+            assert (n > 0) == any(re.search(r"\b" + p.pattern, flat) for k, p, _ in objectionable._PHRASES if k == kind), (kind, flat)
+
+
+def test_letters_set_apart():
+    for text, words in (("a s t u p i d c o w like you", {"stupid", "cow"}), ("you are s u b h u m a n", {"subhuman"}), ("f*u*c*k this", {"fuck"}), ("f i l t h", {"filth"}), ("$ubhum4n lot", {"subhuman"})):
+        shown = objectionable.reveal(text)
+        assert {w for w in re.findall(r"\w+(?=" + objectionable._MARK + ")", shown)} == words, shown
+    for text in ("R E S U L T S of the run", "m / z 4 5 6", "a b c d e", "see A.B.C. and U-S-A"):
+        assert objectionable.reveal(text) == text
 
 
 def test_isotonic_is_monotone():
