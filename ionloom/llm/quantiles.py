@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 SECTIONS = 3
 #: Relative standard error of the rank, times k.
 RSE = 0.2
+#: What is asked for.
+PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: Values gathered per group before a sketch takes them in.
 PENDING = 2048
 
@@ -231,7 +233,17 @@ def merged(parts: DataFrame, keys: Sequence[str], n_parts: int, fan_in: int = 12
             return parts
 
 
-def percentiles(whole: DataFrame, keys: Sequence[str], q: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
+def numbered(sketches: DataFrame, load: str) -> tuple[DataFrame, int]:
+    """(sketches with part numbering the loads that occur, 0 to n - 1, in place of load; n). NULL is a load of its own.
+
+    The distinct loads reach the driver: one name per day or month of loading."""
+    loads = sorted((r[0] for r in sketches.select(load).distinct().collect()), key=lambda x: (x is None, x))
+    kind = sketches.schema[load].dataType.simpleString()
+    names = sketches.sparkSession.createDataFrame([(x, i) for i, x in enumerate(loads)], f"_load {kind}, part bigint")
+    return sketches.join(F.broadcast(names), F.col(load).eqNullSafe(F.col("_load"))).drop(load, "_load"), len(loads)
+
+
+def percentiles(whole: DataFrame, keys: Sequence[str], q: Sequence[float] = PERCENTILES) -> DataFrame:
     """key columns, n, a column p05, p25 ... per q, and max_rank_error: the
     stated bound (three standard deviations) as a share of the distance to the
     nearer tail, 0 where the group is exact."""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.llm import leakage, mixing, nearest_time, objectionable, quantiles, topn
-from ionloom.sources.tables import table
+from ionloom.session import cut
+from ionloom.sources.tables import small_enough, table
 
 
 def _annotations(spark: SparkSession, d: str) -> DataFrame:
@@ -25,33 +26,50 @@ def p4_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _measures(spark: SparkSession, d: str) -> list[DataFrame]:
-    """sample_id, measure, load_month, value of the two measures; each in its own table."""
-    of = lambda name, col: table(spark, d, name).select("sample_id", F.lit(col).alias("measure"), F.date_format("loaded_at", "yyyy-MM").alias("load_month"), F.col(col).alias("value"))
+    """sample_id, measure, load_month, value of the two measures; each in its own table. Rows of no known time are a load of their own."""
+    month = F.coalesce(F.date_format("loaded_at", "yyyy-MM"), F.lit("unknown"))
+    of = lambda name, col: table(spark, d, name).select("sample_id", F.lit(col).alias("measure"), month.alias("load_month"), F.col(col).alias("value"))
     return [of("ms2_associations", "ppm_offset"), of("ms1_scans", "tic")]
 
 
+GROUP = ["sample_id", "measure"]
+
+
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per sample, from the merged sketches of all partitions."""
-    keys = ["sample_id", "measure"]
     out = []
     for df in _measures(spark, d):
-        df = df.select(*keys, "value")
-        out.append(quantiles.percentiles(quantiles.merged(quantiles.sketches(df, keys, "value"), keys, df.rdd.getNumPartitions()), keys))
+        df = df.select(*GROUP, "value")
+        out.append(quantiles.percentiles(quantiles.merged(quantiles.sketches(df, GROUP, "value"), GROUP, df.rdd.getNumPartitions()), GROUP))
     return out[0].unionByName(out[1])
 
 
 def p5_combined(spark: SparkSession, d: str) -> DataFrame:
     """The same from sketches made for each month of loading on its own and then combined."""
-    keys = ["sample_id", "measure"]
     out = []
     for df in _measures(spark, d):
-        monthly = quantiles.merged(quantiles.sketches(df, [*keys, "load_month"], "value"), [*keys, "load_month"], df.rdd.getNumPartitions())
-        # Months since the year 2000 number the loads.
-        loads = monthly.withColumn("part", F.greatest(F.lit(0), F.months_between(F.to_date("load_month", "yyyy-MM"), F.lit("2000-01-01"))).cast("bigint")).drop("load_month")
-        out.append(quantiles.percentiles(quantiles.merged(loads, keys, 1200, fan_in=600), keys))
+        # What a store of loads would hold: written once, numbered and combined from there.
+        monthly = cut(quantiles.merged(quantiles.sketches(df, [*GROUP, "load_month"], "value"), [*GROUP, "load_month"], df.rdd.getNumPartitions()).drop("part"))
+        whole, n = quantiles.numbered(monthly, "load_month")
+        out.append(quantiles.percentiles(quantiles.merged(whole, GROUP, n), GROUP))
     return out[0].unionByName(out[1])
 
 
+def p5_rank_error(spark: SparkSession, d: str) -> DataFrame:
+    """Per sample and measure whether the exact rank of each percentile's answer lies within the stated error, counted on all values."""
+    answers = cut(p5_percentiles(spark, d))
+    # A row per sample and measure: sent to all tasks only where it is small.
+    if small_enough(answers, 100_000):
+        answers = F.broadcast(answers)
+    measures = _measures(spark, d)
+    rows = measures[0].unionByName(measures[1]).select(*GROUP, "value").where("value is not null and not isnan(value)").join(answers, GROUP)
+    names = {f"p{round(100 * q):02d}": q for q in quantiles.PERCENTILES}
+    counts = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.max("max_rank_error").alias("e"), *[F.count_if(F.col("value") < F.col(c)).alias(f"{c}_lt") for c in names], *[F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_le") for c in names])
+    # Equal values share ranks; the answer may claim any of them.
+    off = lambda c, q: F.greatest(F.lit(0.0), F.col(f"{c}_lt") + 1 - q * F.col("n"), q * F.col("n") - F.col(f"{c}_le"))
+    return counts.select(*GROUP, "n", *[(off(c, q) <= F.col("e") * F.col("n") * min(q, 1 - q) + 1).alias(f"{c}_within") for c, q in names.items()])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The MS1 scan nearest in time to each MS2 scan, within two seconds."""
     ms2 = table(spark, d, "ms2_associations").select("sample_id", F.col("scan_id").alias("ms2_scan_id"), "rt")
@@ -87,6 +105,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per source whether the mix keeps to its budget, misses it by less than one document unless there is too little, and repeats no document too often."""
+    mix = _mix(spark, d)
+    largest = mix.docs.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    got = mix.documents().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got"), F.max("copies").alias("copies"))
+    rows = mix.shares().join(largest, "source", "left").join(got, "source", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    missing = F.col("budget_tokens") - zero("got")
+    return rows.select("source", (zero("got") == F.col("reached_tokens")).alias("as_planned"), (missing >= 0).alias("within_budget"), (F.col("short") | (missing <= zero("largest"))).alias("budget_used"), (zero("copies") <= zero("max_repeats")).alias("repeats_kept"))
+
+
 #: Calibrated probability from which a document is flagged.
 FLAG_FROM = 0.4
 
@@ -113,7 +142,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), flagged.alias("n_flagged"), F.round(flagged / F.count(F.lit(1)), 6).alias("flagged_rate"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p5_percentiles": p5_percentiles, "p5_combined": p5_combined, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources}
+QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p5_percentiles": p5_percentiles, "p5_combined": p5_combined, "p5_rank_error": p5_rank_error, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_check": p9_check, "p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources}
 
 _TOP5 = """
 WITH b AS (
@@ -123,7 +152,12 @@ WITH b AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY score DESC, inchikey) AS rank FROM b)
 """
 
+_WITHIN = ", ".join(f"true AS p{round(100 * q):02d}_within" for q in quantiles.PERCENTILES)
+
 ORACLE = {
+    "p5_rank_error": f"""SELECT sample_id, 'ppm_offset' AS measure, count(*) AS n, {_WITHIN} FROM ms2_associations WHERE sample_id IS NOT NULL AND ppm_offset IS NOT NULL AND NOT isnan(ppm_offset) GROUP BY sample_id
+ UNION ALL SELECT sample_id, 'tic', count(*), {_WITHIN} FROM ms1_scans WHERE sample_id IS NOT NULL AND tic IS NOT NULL AND NOT isnan(tic) GROUP BY sample_id""",
+    "p9_check": "SELECT source, true AS as_planned, true AS within_budget, true AS budget_used, true AS repeats_kept FROM mix_targets WHERE source IS NOT NULL",
     "p4_found": _TOP5 + "SELECT feature_id, inchikey FROM r WHERE rank <= 5",
     "p4_ranked": _TOP5 + "SELECT feature_id, inchikey, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5",
     "p6_found": """

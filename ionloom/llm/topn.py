@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ionloom.session import cut
 
-#: Rows gathered before the local candidates are pruned again.
+#: Rows gathered before the local candidates are pruned; then again whenever what is held has doubled.
 PRUNE_ROWS = 100_000
 
 
@@ -45,14 +45,15 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
-        rows = 0
+        rows, limit = 0, PRUNE_ROWS
         for batch in batches:
             part = batch.to_pandas()
             held.append(part)
             rows += len(part)
-            if rows >= PRUNE_ROWS:
+            if rows >= limit:
                 held = [_prune(held, n)]
-                rows = 0
+                rows = len(held[0])
+                limit = max(PRUNE_ROWS, 2 * rows)
         if held:
             best = _prune(held, n)
             size = best.groupby("g")["i"].transform("size")
@@ -60,7 +61,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
             best = best.assign(bound=best.groupby("g")["s"].transform("min").where(size == n))
             yield from pa.Table.from_pandas(best[["g", "i", "s", "bound"]], preserve_index=False).to_batches(max_chunksize=10_000)
 
-    # Used twice; written once, as it is small and its pass over the input is not.
+    # Used twice; written once. At most n rows a group and partition: small where groups are large, up to all rows where they are not.
     candidates = cut(clean.mapInArrow(local, schema))
     bounds = candidates.groupBy("g").agg(F.max("bound").alias("least"))
     survivors = candidates.join(bounds, "g").where("least is null or s >= least")

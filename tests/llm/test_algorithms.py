@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ionloom.llm import nearest_time, quantiles, topn
 
@@ -90,7 +91,9 @@ def test_percentiles_of_partitions_and_loads_combine(spark):
     whole = quantiles.merged(quantiles.sketches(df, ["g"], "v"), ["g"], 6, fan_in=2)
     daily = quantiles.merged(quantiles.sketches(df, ["g", "load"], "v"), ["g", "load"], 6)
     loads = quantiles.merged(daily.withColumn("part", daily["load"].cast("bigint")).drop("load"), ["g"], 5)
-    for sketch in (whole, loads):
+    named, n = quantiles.numbered(daily.drop("part").withColumn("load", F.when(F.col("load") != 3, F.concat(F.lit("day "), F.col("load")))), "load")
+    assert n == 5
+    for sketch in (whole, loads, quantiles.merged(named, ["g"], n, fan_in=2)):
         got = {x["g"]: x for x in quantiles.percentiles(sketch, ["g"]).collect()}
         assert set(got) == {1, 2} and got[1]["n"] == 4000 and got[2]["n"] == 30
         assert got[2]["max_rank_error"] == 0
@@ -100,3 +103,11 @@ def test_percentiles_of_partitions_and_loads_combine(spark):
                 rank = np.searchsorted(v, got[g][name], side="right") / len(v)
                 assert abs(rank - q) <= got[g]["max_rank_error"] * min(q, 1 - q) + 1.01 / len(v)
     assert quantiles.percentiles(quantiles.merged(quantiles.sketches(df.limit(0), ["g"], "v"), ["g"], 1), ["g"]).count() == 0
+
+
+def test_top_n_prunes_many_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(topn, "PRUNE_ROWS", 50)
+    r = random.Random(5)
+    rows = [(r.randrange(400), f"i{r.randrange(9)}", r.random()) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "g int, item string, score double").coalesce(1)
+    assert {tuple(x) for x in topn.top_n(df, "g", "item", "score", 2).collect()} == brute_top(rows, 2)
