@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.operators import drift, intervals, references, wide
+from ionloom.operators.lifecycle import latest
+from ionloom.session import stored
 from ionloom.sources.tables import table
 
 PIXEL = ["sample_id", "pixel_id"]
@@ -79,26 +81,44 @@ PROMOTED = {"ms2_associations": {}, "ms2_annotations": {"purity_score": "double"
 SERIES = ["exporter", "table_name"]
 
 
-def _export_changes(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "raw_exports")
-    return drift.changes(drift.ingest(lines, "payload", {}), SERIES, "file_name", "exported_at", "id", ["loaded_at", "line_id"])
+def _export_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line held against the schema of its own table."""
+    return drift.ingest(table(spark, d, "raw_exports"), "payload", TARGETS, of="table_name")
+
+
+def _export_changes(ingested: DataFrame) -> DataFrame:
+    return drift.changes(ingested, SERIES, "file_name", "exported_at", "id", ["loaded_at", "line_id"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every change of a field between neighbouring files of an exporter."""
-    return _export_changes(spark, d).select(*SERIES, "file_name", "prev_name", "new_name", "change_kind").distinct()
+    """Every change of a field between neighbouring files of an exporter, from what ingestion has seen of each line."""
+    return _export_changes(_export_lines(spark, d)).select(*SERIES, "file_name", "prev_name", "new_name", "change_kind").distinct()
+
+
+def p2_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that could not be read, and why, and those read of which a repeated field's last value counts."""
+    rows = _export_lines(spark, d).where("_reason is not null")
+    return rows.select("line_id", *SERIES, "file_name", F.col("_reason").alias("reason"), F.col("_seen").isNotNull().alias("is_read"))
+
+
+def p2_rescued(spark: SparkSession, d: str) -> DataFrame:
+    """Fields kept as JSON per file, as they are unknown or of another kind than their column, and in how many lines."""
+    seen = _export_lines(spark, d).select(*SERIES, "file_name", F.explode("_seen").alias("x")).where("x.place = 'rescued'")
+    return seen.groupBy(*SERIES, "file_name", F.col("x.name").alias("field")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def _exported(spark: SparkSession, d: str, name: str) -> DataFrame:
-    lines = table(spark, d, "raw_exports").where(F.col("table_name") == name).drop("table_name")
-    target = TARGETS[name]
-    wider = target | PROMOTED[name]
-    first = drift.ingest(lines, "payload", target).where("_fields is not null").drop("_fields")
-    # Fields to promote come from the reported renames: distinct names, not rows.
-    renamed = _export_changes(spark, d).where((F.col("table_name") == name) & (F.col("change_kind") == "renamed")).select("prev_name", "new_name").distinct().collect()
-    names = first.select(F.explode(F.map_keys(F.from_json("_rescued", "map<string,string>"))).alias("f")).distinct().collect()
-    approved = drift.approvals([tuple(r) for r in renamed], wider, [r["f"] for r in names])
-    return drift.replay(first, wider, approved)
+    lines = table(spark, d, "raw_exports").where(F.col("table_name") == name)
+    wider = TARGETS[name] | PROMOTED[name]
+    first = drift.ingest(lines, "payload", TARGETS[name]).where("_seen is not null")
+    # Fields to promote are those that reported renames lead to from a column, or that are spelt like one; names that are neither stay with the executors.
+    spelt = {c.replace("_", "").lower() for c in wider}
+    seen = first.select(*SERIES, "file_name", "exported_at", "loaded_at", "line_id", "_seen")
+    alike = seen.select(F.explode("_seen").alias("x")).where("x.place = 'rescued'").select("x.name").where(drift.plain_name(F.col("name")).isin(list(spelt))).distinct()
+    names = [r["name"] for r in alike.collect()]
+    renames = stored(_export_changes(seen).where("change_kind = 'renamed'").select("prev_name", "new_name").distinct())
+    approved = drift.approvals(drift.linked(renames, [*wider, *names]), wider, names)
+    return drift.replay(first.drop("_seen", "_reason", "table_name"), wider, approved)
 
 
 def p2_associations(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +131,17 @@ def p2_annotations(spark: SparkSession, d: str) -> DataFrame:
     return _exported(spark, d, "ms2_annotations")
 
 
-QUERIES = {"p2_found": p2_found, "p2_associations": p2_associations, "p2_annotations": p2_annotations, "p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p3_periods": p3_periods, "p7_found": p7_found, "p7_report": p7_report}
+def p2_associations_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Of each exported record of ms2_associations what the last file of its exporter says."""
+    return latest(p2_associations(spark, d).where("id is not null"), ["exporter", "id"], ["exported_at", "loaded_at", "line_id"])
+
+
+def p2_annotations_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Of each exported record of ms2_annotations what the last file of its exporter says."""
+    return latest(p2_annotations(spark, d).where("id is not null"), ["exporter", "id"], ["exported_at", "loaded_at", "line_id"])
+
+
+QUERIES = {"p2_found": p2_found, "p2_rejected": p2_rejected, "p2_rescued": p2_rescued, "p2_associations": p2_associations, "p2_annotations": p2_annotations, "p2_associations_latest": p2_associations_latest, "p2_annotations_latest": p2_annotations_latest, "p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p3_periods": p3_periods, "p7_found": p7_found, "p7_report": p7_report}
 
 _CELLS = """
 WITH names AS (
