@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.operators.joins import ppm_join
+from ionloom.operators.ranks import percentiles
 
 
 def average_spectrum(scans: DataFrame, mapped: DataFrame, by: Sequence[str], scan: str, pixel: str, lo: float, hi: float, width: float) -> DataFrame:
-    """by, bin, intensity: summed intensity per m/z bin over the distinct spectra
-    that fall on a pixel, over the number of such pixels; only filled bins.
+    """by, bin, mz, intensity: summed intensity per m/z bin over the scans that fall on a pixel
+    (each once, on however many it falls), over the number of such pixels; only filled bins. scans has a row per scan.
 
     The bin is computed in single precision and cut towards zero, as the data are singles.
     """
     used = mapped.select(*by, scan).distinct()
-    spectra = scans.join(used, [*by, scan], "left_semi").select(*by, "mz", "intensity").distinct()
+    spectra = scans.join(used, [*by, scan], "left_semi").select(*by, "mz", "intensity")
     peaks = spectra.select(*by, F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select(*by, F.col("p.mz").cast("float").alias("m"), F.col("p.intensity").cast("double").alias("i"))
     at = ((F.col("m") - F.lit(lo).cast("float")) / F.lit(width).cast("float")).cast("bigint")
     n_bins = int(round((hi - lo) / width))
@@ -51,8 +52,9 @@ def weighted_mz(members: DataFrame, by: Sequence[str], mz: str, weight: str) ->
 def mad_threshold(df: DataFrame, by: Sequence[str], value: str, n_mads: float = 2.5, log: bool = True) -> DataFrame:
     """by, threshold: median plus n_mads times the median absolute deviation, of log10 if log (positive values only)."""
     rows = df.where((F.col(value) > 0) if log else F.col(value).isNotNull()).where(~F.isnan(F.col(value).cast("double"))).select(*by, (F.log10(value) if log else F.col(value).cast("double")).alias("_v"))
-    mid = rows.groupBy(*by).agg(F.median("_v").alias("_m"))
-    spread = rows.join(mid, list(by)).groupBy(*by, "_m").agg(F.median(F.abs(F.col("_v") - F.col("_m"))).alias("_mad"))
+    mid = percentiles(rows, by, "_v", [0.5]).select(*by, F.get("q", F.lit(0)).alias("_m"))
+    off = rows.join(mid, list(by)).withColumn("_off", F.abs(F.col("_v") - F.col("_m")))
+    spread = percentiles(off, by, "_off", [0.5]).select(*by, F.get("q", F.lit(0)).alias("_mad")).join(mid, list(by))
     limit = F.col("_m") + n_mads * F.col("_mad")
     return spread.select(*by, (F.pow(F.lit(10.0), limit) if log else limit).alias("threshold"))
 
@@ -94,7 +96,7 @@ def interpolate(intensity: Column, slope: Column, intercept: Column) -> Column:
 def normalise(df: DataFrame, reference: str, value: str, name: str = "normalised") -> DataFrame:
     """log1p(value * median / reference) with the median of all rows' references; 0 where the reference or the median is not positive."""
     real = F.when(~F.isnan(reference), F.col(reference))
-    middle = df.agg(F.median(real).alias("_median"))
+    middle = percentiles(df.select(real.alias("_v")), [], "_v", [0.5]).agg(F.max(F.get("q", F.lit(0))).alias("_median"))
     scaled = F.when((F.col("_median") > 0) & (real > 0), F.log1p(F.col(value) * (F.col("_median") / real))).otherwise(F.lit(0.0))
     return df.crossJoin(F.broadcast(middle)).withColumn(name, scaled).drop("_median")
 
@@ -154,7 +156,8 @@ def value_range(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, vmin, vmax for colouring: the least value, and the 99.5th percentile of those above it (vmin + 1 if flat)."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     low = rows.groupBy(*by).agg(F.min(value).alias("vmin"))
-    high = rows.join(low, list(by)).where(F.col(value) > F.col("vmin")).groupBy(*by).agg(F.percentile(value, F.lit(0.995)).alias("_high"))
+    above = rows.select(*by, value).join(low, list(by)).where(F.col(value) > F.col("vmin"))
+    high = percentiles(above, by, value, [0.995]).select(*by, F.get("q", F.lit(0)).alias("_high"))
     return low.join(high, list(by), "left").select(*by, "vmin", F.coalesce("_high", F.col("vmin") + 1).alias("vmax"))
 
 

@@ -12,10 +12,18 @@ COMMANDS = T.StructType([T.StructField(n, t) for n, t in (("command_id", T.Strin
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key: the one with the greatest order columns; combined before the shuffle, so repeated keys do not gather."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    """One row per key: the one with the greatest order columns (NULL is least); combined before the shuffle, so repeated keys do not gather.
+
+    Every column is picked by an aggregate of its own, and all pick the same
+    row, as they see the rows in one order: columns that are not used later are
+    neither read nor moved.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    # One number, where the order allows it, keeps the aggregate's buffers flat.
+    number = {"timestamp": F.unix_micros, "bigint": lambda c: c, "int": lambda c: c.cast("bigint")}.get(kinds[order[0]]) if len(order) == 1 else None
+    at = F.coalesce(number(F.col(order[0])), F.lit(-(2**63))) if number else F.struct(*order)
+    best = df.groupBy(*keys).agg(*[F.max_by(F.col(f"`{c}`"), at).alias(c) for c in df.columns if c not in keys])
+    return best.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

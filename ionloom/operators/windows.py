@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import spectral
+from ionloom.operators.ranks import percentiles, ranked
 
 #: Islands given to one call of a Python kernel.
 ISLANDS = 512
@@ -20,47 +22,71 @@ def rank_in_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def first_with_tolerance(df: DataFrame, by: Sequence[str], score: str, richness: str, tiebreak: Sequence[str], keep: Sequence[str], tolerance: float) -> DataFrame:
+    """by and the keep columns of each group's representative row: among the rows within tolerance of the group's best score the one with the greatest richness, then score, then the least tiebreak (numbers). Two aggregates that combine before the shuffle."""
+    best = df.groupBy(*by).agg(F.max(score).alias("_best"))
+    near = df.join(best, list(by)).where(F.col(score) >= F.col("_best") - tolerance)
+    order = F.struct(F.col(richness), F.col(score), *[-F.col(c) for c in tiebreak])
+    return near.groupBy(*by).agg(F.max_by(F.struct(*keep), order).alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in keep])
+
+
 def rank_with_tolerance(df: DataFrame, by: Sequence[str], score: str, richness: str, tiebreak: Sequence[str], tolerance: float, name: str) -> DataFrame:
     """Rank by score, but the first is, among the rows within tolerance of the
-    group's best score, the one with the greatest richness, then score."""
-    group = Window.partitionBy(*by)
-    near = F.col(score) >= F.max(score).over(group) - tolerance
-    tie = [F.asc(c) for c in tiebreak]
-    first = F.row_number().over(group.orderBy(F.desc("_near"), F.desc(richness), F.desc(score), *tie)) == 1
-    return df.withColumn("_near", near).withColumn("_first", first).withColumn(name, F.row_number().over(group.orderBy(F.desc("_first"), F.desc(score), *tie))).drop("_near", "_first")
+    group's best score, the one with the greatest richness, then score. Groups may be of any size."""
+    plain = ranked(df, by, [F.desc(score), *[F.asc(c) for c in tiebreak]], "_plain")
+    first = first_with_tolerance(plain, by, score, richness, tiebreak, ["_plain"], tolerance).withColumnRenamed("_plain", "_first")
+    # Those before the first go down by one, the others keep their place.
+    rank = F.when(F.col("_plain") == F.col("_first"), 1).when(F.col("_plain") < F.col("_first"), F.col("_plain") + 1).otherwise(F.col("_plain"))
+    return plain.join(first, list(by)).withColumn(name, rank.cast("int")).select(*df.columns, name)
 
 
 def rank_by_best(df: DataFrame, by: Sequence[str], unit: Sequence[str], score: str, name: str) -> DataFrame:
     """Ranks units (such as scans) of a group by their best score; each row carries its unit's rank."""
     best = df.groupBy(*by, *unit).agg(F.max(score).alias("_best"))
-    ranked = best.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_best"), *[F.asc(c) for c in unit])))
-    ranked = ranked.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*by, *unit))], name)
+    placed = ranked(best, by, [F.desc("_best"), *[F.asc(c) for c in unit]], name)
+    placed = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*by, *unit))], name)
     cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate((*by, *unit))]
-    return df.join(ranked, cond).select(*df.columns, name)
+    return df.join(placed, cond).select(*df.columns, name)
 
 
 def tie_ranks(df: DataFrame, by: Sequence[str], value: str, spread: str, tiebreak: Sequence[str], name: str = "tie_rank") -> DataFrame:
-    """Rows in order of value share a rank until one lies more than spread above the first of its tie."""
-    order = Window.partitionBy(*by).orderBy(value, *tiebreak)
-    rows = df.withColumn("_seq", F.row_number().over(order))
-    listed = rows.groupBy(*by).agg(F.max(spread).alias("_spread"), F.array_sort(F.collect_list(F.struct("_seq", F.col(value).alias("v")))).alias("_l"))
-    start = F.struct(F.lit(None).cast("double").alias("begin"), F.lit(0).alias("rank"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, x: F.when(acc["begin"].isNull() | (x["v"] - acc["begin"] > F.coalesce(F.col("_spread"), F.lit(0.0))), F.struct(x["v"].cast("double").alias("begin"), (acc["rank"] + 1).alias("rank"), F.concat(acc["out"], F.array(acc["rank"] + 1)).alias("out"))).otherwise(F.struct(acc["begin"].alias("begin"), acc["rank"].alias("rank"), F.concat(acc["out"], F.array(acc["rank"])).alias("out")))
-    ranks = listed.select(*by, F.posexplode(F.aggregate("_l", start, step)["out"]).alias("_p", name)).withColumn("_seq", F.col("_p") + 1).drop("_p")
-    return rows.join(ranks, [*by, "_seq"]).drop("_seq")
+    """Rows in order of value share a rank until one lies more than the group's greatest spread above the first of its tie.
+
+    A group's rows pass through a task in order, one at a time; none is held. NULL values share the first rank of their group.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    widest = df.groupBy(*by).agg(F.max(spread).cast("double").alias("_spread"))
+    rows = df.join(widest, list(by)).withColumn("_value", F.col(value).cast("double"))
+    columns = df.columns
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{name}` int"
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, begin, rank = None, None, 0
+        for batch in batches:
+            out = []
+            for *key, v, width in zip(*(batch.column(c).to_pylist() for c in (*by, "_value", "_spread")), strict=True):
+                if key != at:
+                    at, begin, rank = key, None, 0
+                if rank == 0 or (v is not None and (begin is None or v - begin > (width or 0.0))):
+                    begin, rank = v, rank + 1
+                out.append(rank)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.int32())], [*columns, name])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "_value", *tiebreak).mapInArrow(number, schema)
 
 
 def consensus(scans: DataFrame, by: Sequence[str], n_peaks: str, purity: str, best_score: str, scan: Sequence[str], target_peaks: float = 10.0, neutral: float = 0.5, min_purity: float | None = None, keep_unknown: bool = False) -> DataFrame:
     """Per group the scan that represents it: the greatest product of peak,
     purity and annotation terms, then annotation score, peaks and lowest scan;
-    with n_scans and n_considered (those with enough purity; with keep_unknown also those of unknown purity)."""
+    with n_scans and n_considered (those with enough purity; with keep_unknown also those of unknown purity).
+    One aggregate that combines before the shuffle, so groups may be of any size."""
     eligible = F.lit(True) if min_purity is None else F.coalesce(F.col(purity) >= min_purity, F.lit(keep_unknown))
     term = spectral.peak_term(F.col(n_peaks), target_peaks) * spectral.purity_term(F.col(purity), neutral) * F.coalesce(F.col(best_score), F.lit(1.0))
-    rows = scans.withColumn("consensus_score", term).withColumn("_ok", eligible)
-    group = Window.partitionBy(*by)
-    rows = rows.withColumn("n_scans", F.count(F.lit(1)).over(group)).withColumn("n_considered", F.count_if("_ok").over(group)).where("_ok")
-    order = [F.desc("consensus_score"), F.desc(F.coalesce(F.col(best_score), F.lit(-1.0))), F.desc(n_peaks), *[F.asc(c) for c in scan]]
-    return rows.withColumn("_n", F.row_number().over(group.orderBy(*order))).where("_n = 1").drop("_n", "_ok")
+    rows = scans.withColumn("consensus_score", term)
+    kept = [c for c in rows.columns if c not in by]
+    order = F.struct(-F.col("consensus_score"), -F.coalesce(F.col(best_score), F.lit(-1.0)), -F.col(n_peaks), *scan)
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_scans"), F.count_if(eligible).alias("n_considered"), F.min_by(F.when(eligible, F.struct(*kept)), F.when(eligible, order)).alias("_r"))
+    return found.where("n_considered > 0").select(*by, *[F.col(f"_r.{c}").alias(c) for c in kept], "n_scans", "n_considered")
 
 
 def islands(df: DataFrame, value: str, breaks: Callable[[Column, Column], Column], by: Sequence[str] = (), width: float = 1.0, name: str = "island") -> DataFrame:
@@ -69,8 +95,11 @@ def islands(df: DataFrame, value: str, breaks: Callable[[Column, Column], Column
     The previous value is the greatest smaller one in the group. Two levels:
     within buckets of ``width`` by a window; across buckets by the last value
     and number of islands of each bucket. NULL and NaN values are left out.
+    Only distinct values are numbered, so a bucket holds no more rows than it
+    has different positions, however many rows share them.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("_b", F.floor(F.col(value) / F.lit(width)).cast("bigint"))
+    every = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    rows = every.select(*by, value).distinct().withColumn("_b", F.floor(F.col(value) / F.lit(width)).cast("bigint"))
     edge = rows.groupBy(*by, "_b").agg(F.max(value).alias("_last"))
     before = edge.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*by).orderBy("_b"))).select(*by, "_b", "_prev")
     local = Window.partitionBy(*by, "_b").orderBy(value)
@@ -79,7 +108,8 @@ def islands(df: DataFrame, value: str, breaks: Callable[[Column, Column], Column
     counts = rows.groupBy(*by, "_b").agg(F.sum("_new").alias("_n"))
     offset = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*by, "_b", "_first")
     inside = F.sum("_new").over(local.rangeBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_in", inside).join(offset, [*by, "_b"]).withColumn(name, (F.col("_first") + F.col("_in")).cast("bigint")).drop("_b", "_prev", "_p", "_new", "_in", "_first")
+    numbers = rows.withColumn("_in", inside).join(offset, [*by, "_b"]).select(*by, value, (F.col("_first") + F.col("_in")).cast("bigint").alias(name))
+    return every.join(numbers, [*by, value]).select(*df.columns, name)
 
 
 def align_across(df: DataFrame, mz: str, sample: str, index: str, ppm: float, decimals: int = 4) -> DataFrame:
@@ -141,76 +171,90 @@ def background(df: DataFrame, mz: str, polarity: str, key: str, ppm: float = 10.
     width; n_keys counts distinct keys in the cluster, n_total all of the polarity.
     """
     step = float(np.log1p(ppm * 1e-6))
-    rows = df.select(polarity, key, F.col(mz).cast("double").alias("_mz"), F.log(F.col(mz).cast("double")).alias("_ln")).where("_mz > 0")
-    runs = islands(rows, "_ln", lambda v, p: v - p > step, [polarity], width=0.001)
+    rows = df.select(polarity, key, F.col(mz).cast("double").alias("_mz")).where("_mz > 0")
+    # A row per position and key with its count, however often it occurs.
+    peaks = rows.groupBy(polarity, key, "_mz").agg(F.count(F.lit(1)).alias("_c")).withColumn("_ln", F.log("_mz"))
+    runs = islands(peaks, "_ln", lambda v, p: v - p > step, [polarity], width=0.001)
     first = runs.groupBy(polarity, "island").agg(F.min("_ln").alias("_first"))
     pieces = runs.join(first, [polarity, "island"]).withColumn("_piece", F.floor((F.col("_ln") - F.col("_first")) / step / 2).cast("bigint"))
-    found = pieces.groupBy(polarity, "island", "_piece").agg(F.avg("_mz").alias("mz"), F.count_distinct(key).alias("n_keys"))
+    found = pieces.groupBy(polarity, "island", "_piece").agg((F.sum(F.col("_mz") * F.col("_c")) / F.sum("_c")).alias("mz"), F.count_distinct(key).alias("n_keys"))
+    # A row per group (polarity): left to the planner, which sends it to all tasks if it is small.
     whole = rows.groupBy(polarity).agg(F.count_distinct(key).alias("n_total"))
-    return found.join(F.broadcast(whole), polarity).select(polarity, "mz", "n_keys", "n_total", (F.col("n_keys") / F.col("n_total")).alias("fraction"))
+    return found.join(whole, polarity).select(polarity, "mz", "n_keys", "n_total", (F.col("n_keys") / F.col("n_total")).alias("fraction"))
 
 
-def centroids(spectrum: DataFrame, position: str, intensity: str, baseline_factor: float = 100.0, prominence_factor: float = 0.1, percentile: float = 0.1, window: int = 501, sigma: float = 10.0, merge_ppm: float = 5.0, decimals: int = 4) -> DataFrame:
-    """Peaks of one averaged spectrum on an even axis: mz, intensity.
+def bin_decimals(width: float) -> int:
+    """Decimals by which bins of this width can be told apart."""
+    return max(0, -int(np.floor(np.log10(width)))) if width > 0 else 0
 
-    The axis is cut by tasks into stretches with a halo on both sides as wide as
-    the baseline's window and smoothing reach, so that a stretch is worked on by
+
+def centroids(spectra: DataFrame, by: Sequence[str], bin_: str, position: str, intensity: str, width: float, baseline_factor: float = 100.0, prominence_factor: float = 0.1, percentile: float = 0.1, window: int = 501, sigma: float = 10.0, merge_ppm: float = 5.0, block: int = 20_000) -> DataFrame:
+    """by, mz, intensity: the peaks of averaged spectra, one per group, given as filled bins on an even axis of this width.
+
+    The axis is cut into blocks of bins with a halo on both sides as wide as the
+    baseline's window and smoothing reach, so that a block is worked on by
     itself: a centred rolling percentile over the filled bins (the whole
     spectrum's percentile where they are few), Gaussian smoothing of it, local
-    maxima above the baseline with enough prominence, and a parabola's vertex.
+    maxima above the baseline with enough prominence, a parabola's vertex. Bins
+    without a row are empty. A block holds at most block + 2 halo bins.
     """
     halo = window // 2 + int(4 * sigma) + 2
-    block = 20_000
-    overall = spectrum.where(F.col(intensity) > 0).agg(F.percentile(intensity, F.lit(percentile)).alias("p"), F.min(position).alias("lo")).first()
-    if overall is None or overall["p"] is None:
-        return spectrum.select(F.col(position).cast("double").alias("mz"), F.col(intensity).cast("double").alias("intensity")).where("false")
-    rows = spectrum.select(F.row_number().over(Window.orderBy(position)).alias("_k"), F.col(position).cast("double").alias("x"), F.col(intensity).cast("double").alias("y")) if "bin" not in spectrum.columns else spectrum.select(F.col("bin").cast("bigint").alias("_k"), F.col(position).cast("double").alias("x"), F.col(intensity).cast("double").alias("y"))
-    spread = rows.withColumn("_own", F.floor(F.col("_k") / block)).withColumn("_b", F.explode(F.array_distinct(F.array(F.floor((F.col("_k") - halo) / block), F.col("_own"), F.floor((F.col("_k") + halo) / block)))))
-    global_p = float(overall["p"])
+    decimals = bin_decimals(width)
+    kinds = {f.name: f.dataType.simpleString() for f in spectra.schema.fields}
+    filled = spectra.where(F.col(intensity) > 0)
+    whole = percentiles(filled, by, intensity, [percentile]).select(*by, F.get("q", F.lit(0)).alias("_whole"))
+    rows = filled.select(*by, F.col(bin_).cast("bigint").alias("_k"), F.col(position).cast("double").alias("_x"), F.col(intensity).cast("double").alias("_y")).join(whole, list(by))
+    near = F.sequence(F.floor((F.col("_k") - halo) / block), F.floor((F.col("_k") + halo) / block))
+    spread = rows.withColumn("_b", F.explode(near))
+    reach = int(4 * sigma + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_k")
-        k, x, y = frame["_k"].to_numpy(), frame["x"].to_numpy(), frame["y"].to_numpy()
-        filled = pd.Series(np.where(y > 0, y, np.nan))
-        base = filled.rolling(window, center=True, min_periods=max(5, window // 10)).quantile(percentile).fillna(global_p).to_numpy()
-        reach = int(4 * sigma + 0.5)
-        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-        base = np.convolve(np.pad(base, reach, mode="symmetric"), kernel / kernel.sum(), mode="valid") if len(base) else base
+        lo, hi = int(frame["_b"].iloc[0]) * block, (int(frame["_b"].iloc[0]) + 1) * block
+        k = frame["_k"].to_numpy()
+        begin = k[0] - 1
+        y = np.zeros(k[-1] - begin + 2)
+        y[k - begin] = frame["_y"].to_numpy()
+        # Position of bin 0 from any filled bin.
+        origin = frame["_x"].iloc[0] - width * k[0]
+        some = pd.Series(np.where(y > 0, y, np.nan))
+        base = some.rolling(window, center=True, min_periods=max(5, window // 10)).quantile(percentile).fillna(frame["_whole"].iloc[0]).to_numpy()
+        base = np.convolve(np.pad(base, reach, mode="symmetric"), kernel, mode="valid")
         out = []
-        own = frame["_own"].to_numpy() == frame["_b"].iloc[0]
-        for i in range(1, len(y) - 1):
-            if not own[i] or not y[i] > y[i - 1] or y[i] < base[i] * (1 + baseline_factor):
+        rising = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]) & (y[1:-1] >= base[1:-1] * (1 + baseline_factor))) + 1
+        for i in rising:
+            if not lo <= i + begin < hi:
                 continue
             j = i
-            while j + 1 < len(y) and y[j + 1] == y[i]:
+            while y[j + 1] == y[i]:
                 j += 1
-            if j + 1 >= len(y) or y[j + 1] > y[i]:
+            if y[j + 1] > y[i]:
                 continue
-            left, lowest = i, y[i]
-            while left > 0 and y[left] <= y[i]:
-                left -= 1
-                lowest = min(lowest, y[left])
-                if y[left] == 0:
-                    break
-            right, lowest_r = j, y[i]
-            while right < len(y) - 1 and y[right] <= y[i]:
-                right += 1
-                lowest_r = min(lowest_r, y[right])
-                if y[right] == 0:
-                    break
-            if y[i] - max(lowest, lowest_r) < base[i] * prominence_factor:
+            sides = []
+            for step in (-1, 1):
+                # An empty bin is as low as it gets.
+                at, lowest = i, y[i]
+                while 0 < at < len(y) - 1 and y[at] <= y[i] and lowest > 0:
+                    at += step
+                    lowest = min(lowest, y[at])
+                sides.append(lowest)
+            if y[i] - max(sides) < base[i] * prominence_factor:
                 continue
-            denominator = y[i - 1] - 2 * y[i] + y[i + 1]
-            delta = 0.5 * (y[i - 1] - y[i + 1]) / denominator if abs(denominator) > 1e-12 else 0.0
-            out.append((round(x[i] + delta * (x[i + 1] - x[i - 1]) / 2, decimals), y[i] - 0.25 * (y[i - 1] - y[i + 1]) * delta))
-        return pd.DataFrame(out, columns=["mz", "intensity"], dtype=float)
+            bend = y[i - 1] - 2 * y[i] + y[i + 1]
+            delta = 0.5 * (y[i - 1] - y[i + 1]) / bend if abs(bend) > 1e-12 else 0.0
+            out.append((round(origin + width * (i + begin + delta), decimals), y[i] - 0.25 * (y[i - 1] - y[i + 1]) * delta))
+        found = pd.DataFrame(out, columns=["mz", "intensity"], dtype=float)
+        for n, c in enumerate(by):
+            found.insert(n, c, frame[c].iloc[0])
+        return found
 
-    found = spread.groupBy("_b").applyInPandas(pick, "mz double, intensity double")
-    return suppress_near(found, "mz", "intensity", merge_ppm)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "mz double, intensity double"
+    found = spread.groupBy(*by, "_b").applyInPandas(pick, schema)
+    return suppress_near(found, "mz", "intensity", merge_ppm, by)
 
 
 def precursor_keys(nearest: DataFrame, feature: str, mz: str, ppm: float) -> DataFrame:
     """key: the feature, or a negative number of the m/z bin for precursors without one."""
     return nearest.withColumn("key", F.coalesce(F.col(feature).cast("bigint"), -1 - spectral.log_bin(F.col(mz), ppm)))
-
-

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.functions import spectral
-from ionloom.operators import aggregates, joins, windows
+from ionloom.operators import aggregates, joins, ranks, windows
 from ionloom.operators.lifecycle import latest
 from ionloom.sources.tables import table
 
@@ -95,9 +95,13 @@ def spectrum_quality(spark: SparkSession, d: str) -> DataFrame:
 def scan_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Score of each spectrum against the one before it in its sample."""
     s = scans(spark, d).where("rt is not null and size(mz) > 0")
-    pairs = joins.asof(s.withColumn("_before", F.col("rt") - 1e-6), s.withColumn("spectrum", F.struct("scan_id", "mz", "intensity")), "_before", "rt", "spectrum", ["sample_id"], width=300.0).where("spectrum is not null")
-    m = spectral.reverse_dot_product(spectral.peaks(F.col("mz"), F.col("intensity")), spectral.peaks(F.col("spectrum.mz"), F.col("spectrum.intensity")), ppm=200.0)
-    return pairs.withColumn("m", m).select("sample_id", "scan_id", F.col("spectrum.scan_id").alias("previous_scan_id"), F.round("m.score", 6).alias("score"), F.col("m.n_matched_peaks").alias("n_matched_peaks"))
+    # The scan before is found by number; its peaks are then fetched once.
+    at = s.select("sample_id", "scan_id", "rt").withColumn("_before", F.col("rt") - 1e-6)
+    pairs = joins.asof(at, at.select("sample_id", "rt", F.col("scan_id").alias("previous_scan_id")), "_before", "rt", "previous_scan_id", ["sample_id"], width=300.0).where("previous_scan_id is not null").select("sample_id", "scan_id", "previous_scan_id")
+    own = s.select("sample_id", "scan_id", spectral.peaks(F.col("mz"), F.col("intensity")).alias("p"))
+    both = pairs.join(own, ["sample_id", "scan_id"]).join(own.select("sample_id", F.col("scan_id").alias("previous_scan_id"), F.col("p").alias("q")), ["sample_id", "previous_scan_id"])
+    m = spectral.reverse_dot_product(F.col("p"), F.col("q"), ppm=200.0)
+    return both.withColumn("m", m).select("sample_id", "scan_id", "previous_scan_id", F.round("m.score", 6).alias("score"), F.col("m.n_matched_peaks").alias("n_matched_peaks"))
 
 
 def tic_normalised(spark: SparkSession, d: str) -> DataFrame:
@@ -155,8 +159,10 @@ def tic_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 def tic_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Quartiles of tic per sample."""
-    q = F.percentile("tic", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return scans(spark, d).where("tic is not null").groupBy("sample_id").agg(F.min("tic").alias("lowest"), F.max("tic").alias("highest"), q.alias("q")).select("sample_id", "lowest", "highest", *[F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    s = scans(spark, d).select("sample_id", "tic").where("tic is not null")
+    ends = s.groupBy("sample_id").agg(F.min("tic").alias("lowest"), F.max("tic").alias("highest"))
+    q = ranks.percentiles(s, ["sample_id"], "tic", [0.25, 0.5, 0.75])
+    return ends.join(q, "sample_id").select("sample_id", "lowest", "highest", *[F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
 
 
 def calibration_by_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import chemistry, search, spectral
-from ionloom.operators import aggregates, joins, windows
+from ionloom.operators import aggregates, joins, ranks, windows
 from ionloom.operators.lifecycle import latest, move_rows, upsert
 from ionloom.plans import ms1_queries
 from ionloom.plans.ms1_queries import features, scans
@@ -69,7 +69,9 @@ def unassociated_recheck(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_ms2_summary(spark: SparkSession, d: str) -> DataFrame:
     a = associations(spark, d).where("feature_id is not null")
-    return a.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_scans"), F.count_distinct("sample_id").alias("n_samples"), F.round(F.avg("fragmentation_factor"), 9).alias("mean_factor"), F.count_if(F.col("n_peaks") <= 1).alias("n_single_peak"), F.count_if(F.col("flat_fragmentation") == 1).alias("n_flat"), F.median("n_peaks").alias("median_peaks"))
+    out = a.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_scans"), F.count_distinct("sample_id").alias("n_samples"), F.round(F.avg("fragmentation_factor"), 9).alias("mean_factor"), F.count_if(F.col("n_peaks") <= 1).alias("n_single_peak"), F.count_if(F.col("flat_fragmentation") == 1).alias("n_flat"))
+    middle = ranks.percentiles(a, ["feature_id"], "n_peaks", [0.5]).select("feature_id", F.get("q", F.lit(0)).alias("median_peaks"))
+    return out.join(middle, "feature_id", "left")
 
 
 def annotation_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +146,7 @@ def representative_annotation(spark: SparkSession, d: str) -> DataFrame:
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))), ",")
     injected = a.where("library_id = 2").join(f.where("origin = 'injected'").select("feature_id"), "feature_id", "left_semi")
     target = injected.groupBy("feature_id").agg(joined("compound_name").alias("t_name"), joined("compound_formula").alias("t_formula"), F.nullif(joined("inchikey"), F.lit("")).alias("t_key"))
-    ms2 = windows.rank_with_tolerance(a, ["feature_id"], "score", "n_matched_peaks", ["id"], 0.05, "r").where("r = 1").select("feature_id", F.col("compound_name").alias("m_name"), F.col("compound_formula").alias("m_formula"), F.col("inchikey").alias("m_key"), F.col("score").alias("best_score"), "n_matched_peaks", F.col("id").alias("m_id"))
+    ms2 = windows.first_with_tolerance(a, ["feature_id"], "score", "n_matched_peaks", ["id"], ["id", "compound_name", "compound_formula", "inchikey", "score", "n_matched_peaks"], 0.05).select("feature_id", F.col("compound_name").alias("m_name"), F.col("compound_formula").alias("m_formula"), F.col("inchikey").alias("m_key"), F.col("score").alias("best_score"), "n_matched_peaks", F.col("id").alias("m_id"))
     pc = precursor_candidates(spark, d)
     # Window counts group NULLs together, as a NULL-safe comparison would.
     same = F.count(F.lit(1)).over(Window.partitionBy("feature_id", "compound_formula", "adduct"))

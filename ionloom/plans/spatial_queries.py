@@ -95,7 +95,7 @@ def feature_fill_blanks(spark: SparkSession, d: str) -> DataFrame:
 def feature_local_moran(spark: SparkSession, d: str) -> DataFrame:
     """Local I of every pixel of each feature found in a sample."""
     touched, images, g, edges = _images(spark, d)
-    return spatial.image_local(touched, images, g, edges, ["sample_id"], "pixel_id", "feature_id").select("sample_id", "feature_id", "pixel_id", F.round("local_i", 6).alias("local_i"))
+    return spatial.image_local(touched, images, g, edges, ["sample_id"], "pixel_id", "feature_id").select("sample_id", "feature_id", "pixel_id", F.round(F.col("local_i") + 1e-9, 6).alias("local_i"))
 
 
 def feature_global_moran(spark: SparkSession, d: str) -> DataFrame:
@@ -308,7 +308,7 @@ ORACLE = {
     "feature_fill_blanks": _BASE + """, e AS (SELECT i.sample_id, i.pixel_id AS src, j.pixel_id AS dst FROM g i JOIN g j ON i.sample_id = j.sample_id AND j.gx BETWEEN i.gx - 1 AND i.gx + 1 AND j.gy BETWEEN i.gy - 1 AND i.gy + 1 AND i.pixel_id != j.pixel_id),
  ne AS (SELECT sample_id, src, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT e.sample_id, feature_id, src, count(*) AS k, avg(value) AS m FROM e JOIN mx ON mx.sample_id = e.sample_id AND mx.pixel_id = dst JOIN g ON g.sample_id = e.sample_id AND g.pixel_id = dst GROUP BY ALL)
  SELECT k.sample_id, k.feature_id, k.src AS pixel_id, round(m, 4) AS value FROM k JOIN ne ON ne.sample_id = k.sample_id AND ne.src = k.src LEFT JOIN mx ON mx.sample_id = k.sample_id AND mx.pixel_id = k.src AND mx.feature_id = k.feature_id WHERE mx.value IS NULL AND k >= greatest(1, ceil(n * 0.6 - 1e-9))""",
-    "feature_local_moran": _BASE + _FEATURE_IMAGES + " SELECT sample_id, feature_id, pixel_id, round(local_i, 6) AS local_i FROM fl",
+    "feature_local_moran": _BASE + _FEATURE_IMAGES + " SELECT sample_id, feature_id, pixel_id, round(local_i + 1e-9, 6) AS local_i FROM fl",
     "feature_global_moran": _BASE + _FEATURE_IMAGES + """, q AS (SELECT sample_id, feature_id, sum(z * z) AS q, count(*) AS n_pixels, any_value(m2) AS m2 FROM fz GROUP BY ALL),
  p AS (SELECT rk.sample_id, i.feature_id, sum(i.z * j.z) AS p, count(*) AS s0 FROM rk JOIN fz i ON i.sample_id = rk.sample_id AND i.pixel_id = src JOIN fz j ON j.sample_id = rk.sample_id AND j.pixel_id = dst AND j.feature_id = i.feature_id GROUP BY ALL)
  SELECT sample_id, feature_id, CASE WHEN m2 > 0 AND s0 > 0 THEN round(n_pixels / s0 * p / q, 6) END AS moran_i, n_pixels FROM q LEFT JOIN p USING (sample_id, feature_id)""",

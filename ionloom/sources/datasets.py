@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def inspect(df: DataFrame, most_samples: int = 64) -> dict:
-    """Rows, value columns and the text columns that might name samples (at most most_samples values)."""
+def inspect(df: DataFrame) -> dict:
+    """Rows, value columns and, for every text column, how many distinct values it has: those with few may name samples."""
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     numbers = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("float", "double")]
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(texts)]).first()
-    return {"n_rows": counts["n"], "value_columns": numbers, "sample_columns": [c for i, c in enumerate(texts) if 0 < counts[f"d{i}"] <= most_samples], "has_mz": "mz" in df.columns}
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(texts)]).first()
+    return {"n_rows": counts["n"], "value_columns": numbers, "sample_columns": {c: counts[f"d{i}"] for i, c in enumerate(texts)}, "has_mz": "mz" in df.columns}
 
 
 def match_pixels(rows: DataFrame, pixels: DataFrame, sample: str, name: str, suffix: str = r"-[^-]*$") -> DataFrame:

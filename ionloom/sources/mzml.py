@@ -11,8 +11,7 @@ decoded when ``arrays`` is "false".
 from __future__ import annotations
 
 import base64
-import glob
-import os
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ionloom.sources.files import listed, opened
+
 SCHEMA = (
     "file_name string, position bigint, scan_id bigint, native_id string, ms_level int, parent_scan_id bigint, polarity string, rt double, filter_string string, precursor_mz double, precursor_charge int, precursor_intensity double, "
     "isolation_window_target double, isolation_window_lower double, isolation_window_upper double, collision_energy double, tic double, n_peaks int, mz_min double, mz_max double, mz array<float>, intensity array<float>"
@@ -111,7 +112,7 @@ class _Range(InputPartition):
 
 def spectra(path: str, begin: int = 0, end: int | None = None, chunk: int = 1 << 20) -> Iterator[tuple[int, str]]:
     """(byte position, text) of the <spectrum> elements that begin within the range."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(begin)
         held, at = b"", begin
         while True:
@@ -146,25 +147,23 @@ class MzmlReader(DataSourceReader):
         self.size = int(options.get("maxPartitionBytes", 64 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        paths = sorted(x for p in self.path.split(",") for x in (glob.glob(os.path.join(p, "*.mzML")) if os.path.isdir(p) else glob.glob(p)))
-        if not paths:
+        files = [f for p in self.path.split(",") for f in listed(p, ".mzML")]
+        if not files:
             raise FileNotFoundError(self.path)
-        for path in paths:
-            first = next(spectra(path), None)
-            if first and CV["profile"] in cv_params(first[1]):
-                raise ValueError(f"{path} holds profile spectra; centroid it first")
-        return [_Range(p, lo, min(lo + self.size, os.path.getsize(p))) for p in paths for lo in range(0, max(1, os.path.getsize(p)), self.size)]
+        return [_Range(p, lo, min(lo + self.size, size)) for p, size in files for lo in range(0, max(1, size), self.size)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         for position, text in spectra(partition.path, partition.begin, partition.end):
             s = parse_spectrum(text, self.arrays)
             if s is None:
                 continue
+            if s["is_profile"]:
+                raise ValueError(f"{partition.path} holds profile spectra; centroid it first")
             mz, intensity = s.get("mz"), s.get("intensity")
             n = None if mz is None else len(mz)
             some = n is not None and n > 0
             yield (
-                os.path.basename(partition.path), position, s["scan_id"], s["native_id"], s["ms_level"], s["parent_scan_id"], s["polarity"], s["rt"], s["filter_string"], s["precursor_mz"], s["precursor_charge"], s["precursor_intensity"],
+                partition.path.rpartition("/")[2], position, s["scan_id"], s["native_id"], s["ms_level"], s["parent_scan_id"], s["polarity"], s["rt"], s["filter_string"], s["precursor_mz"], s["precursor_charge"], s["precursor_intensity"],
                 s["isolation_window_target"], s["isolation_window_lower"], s["isolation_window_upper"], s["collision_energy"], s["tic"], n, float(mz.min()) if some else None, float(mz.max()) if some else None,
                 None if mz is None else mz.tolist(), None if intensity is None else intensity.tolist(),
             )
@@ -189,16 +188,15 @@ def last_of_each_scan(df: DataFrame) -> DataFrame:
     return best.select(*[F.col(c) if c in ("file_name", "scan_id") else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def instrument_info(path: str, most_lines: int = 500) -> dict[str, str]:
-    """Header values of a file: model, serial number, ionization, analyzer, start time, source file, as far as they are given."""
-    with open(path, encoding="utf-8", errors="replace") as f:
-        lines = []
-        for _, line in zip(range(most_lines), f):
+def instrument_info(path: str) -> dict[str, str]:
+    """Header values of a file: model, serial number, ionization, analyzer, start time, source file, as far as they are given. Read up to the list of spectra."""
+    text = ""
+    with opened(path) as f:
+        for line in io.TextIOWrapper(f, encoding="utf-8", errors="replace"):
             head, cut, _ = line.partition("<spectrumList")
-            lines.append(head)
+            text += head
             if cut:
                 break
-    text = "".join(lines)
     out = {}
     for name, pattern in (("acquisition_start", r'startTimeStamp\s*=\s*"([^"]*)"'), ("source_file", r'<sourceFile\b[^>]*\bname\s*=\s*"([^"]*)"'), ("serial_number", r'accession="MS:1000529"[^>]*value="([^"]*)"')):
         m = re.search(pattern, text)

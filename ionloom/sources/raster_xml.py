@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 PIXELS = "x int, y int, t_start double, t_end double, abs_start double, abs_end double"
+#: Pixels handed on at once.
+BATCH = 20_000
 # Spellings of length units.
 UNITS = {"mm": "mm", "millimeter": "mm", "millimetre": "mm", "um": "um", "µm": "um", "μm": "um", "micrometer": "um", "micrometre": "um", "micron": "um"}
 
@@ -15,49 +19,79 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def parse(path: str) -> tuple[list[tuple], dict]:
-    """(pixels, attributes): times in seconds from the file's milliseconds and its shift; with or without namespaces.
+def start_seconds(text: str) -> float:
+    """Seconds since 1970 of an ISO time with an offset or Z."""
+    return datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp()
+
 
-    A file without a start time or an <image> element is refused.
+class Raster:
+    """One file, read from front to back. info is complete once all pixels have been taken.
+
+    Times are seconds: a pixel's offset and its image's timeShift, both in
+    milliseconds, from the start of the raster; abs_* from 1970. A file without
+    a start time or an <image> element is refused; the elements may have any
+    namespace or none.
     """
-    root = ET.parse(path).getroot()
-    elements = list(root.iter())
-    image = next((e for e in elements if _local(e.tag) == "image"), None)
-    attrs: dict[str, str] = {}
-    for e in elements:
-        if _local(e.tag) != "pixel":
-            attrs.update({_local(k): v for k, v in e.attrib.items() if _local(k) not in attrs})
-        if _local(e.tag) in ("startTime", "timeShift", "spacingX", "spacingY", "unit") and e.text and e.text.strip():
-            attrs.setdefault(_local(e.tag), e.text.strip())
-    if image is None or "startTime" not in attrs:
-        raise ValueError(f"{path}: no start time or no image")
-    shift = float(attrs.get("timeShift", 0))
-    rows = []
-    for e in elements:
-        if _local(e.tag) != "pixel":
-            continue
-        p = {_local(k): v for k, v in e.attrib.items()} | {_local(c.tag): c.text for c in e if c.text}
-        start = (float(p.get("offset", p.get("timeOffset", 0))) + shift) / 1000.0
-        end = start + float(p["duration"]) / 1000.0
-        rows.append((int(float(p["x"])), int(float(p["y"])), start, end, start, end))
-    unit = UNITS.get((attrs.get("unit") or attrs.get("spacingUnit") or "").strip().lower())
-    number = lambda k: float(attrs[k]) if k in attrs else None
-    return rows, {"start_time": attrs["startTime"], "pixel_size_x": number("spacingX"), "pixel_size_y": number("spacingY"), "pixel_size_unit": unit, "width": len({r[0] for r in rows}), "height": len({r[1] for r in rows})}
+
+    def __init__(self, path: str):
+        self.path = path
+        self.info: dict = dict.fromkeys(("width", "height", "raster_start", "pixel_size_x", "pixel_size_y", "pixel_size_unit"))
+
+    def pixels(self) -> Iterator[tuple]:
+        root, image, start, shift = None, None, None, 0.0
+        units: dict[str, str | None] = {}
+        with open(self.path, "rb") as f:
+            for event, e in ET.iterparse(f, events=("start", "end")):
+                name = _local(e.tag)
+                if event == "start":
+                    if root is None:
+                        root = e
+                        if not e.attrib.get("startTime"):
+                            raise ValueError(f"{self.path}: no start time")
+                        start = self.info["raster_start"] = start_seconds(e.attrib["startTime"])
+                    elif name == "image" and image is None:
+                        image, shift = e, float(e.attrib.get("timeShift", 0.0))
+                        self.info["width"], self.info["height"] = int(e.attrib["width"]), int(e.attrib["height"])
+                    continue
+                if name == "pixel" and image is not None:
+                    begin = (float(e.attrib["offset"]) + shift) / 1000.0
+                    end = begin + float(e.attrib["duration"]) / 1000.0
+                    yield int(e.attrib["x"]), int(e.attrib["y"]), begin, end, start + begin, start + end
+                    # What has been read is let go, so a file of any size fits.
+                    image.clear()
+                elif name in ("spacingX", "spacingY") and e.text and e.text.strip():
+                    self.info["pixel_size_x" if name == "spacingX" else "pixel_size_y"] = float(e.text)
+                    units[name] = UNITS.get((e.attrib.get("units") or "").strip().lower())
+        if image is None:
+            raise ValueError(f"{self.path}: no image")
+        self.info["pixel_size_unit"] = units.get("spacingX") or units.get("spacingY")
+
+
+def parse(path: str) -> tuple[list[tuple], dict]:
+    """(pixels, info) of one file: width, height, raster_start, pixel_size_x, pixel_size_y, pixel_size_unit (um, mm or None)."""
+    raster = Raster(path)
+    return list(raster.pixels()), raster.info
 
 
 def pixels(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """sample_path, pixel_id and the pixels of each file; a file (one slide) is read by one task."""
+    """sample_path, pixel_id (from 1 in the file's order) and the pixels of each file; a file (one slide) is read by one task, as a stream."""
 
     def read(frames):
         import pandas as pd
 
         for frame in frames:
             for path in frame["path"]:
-                rows, _ = parse(path)
-                out = pd.DataFrame(rows, columns=["x", "y", "t_start", "t_end", "abs_start", "abs_end"])
-                out.insert(0, "pixel_id", range(1, len(out) + 1))
-                out.insert(0, "sample_path", path)
-                yield out
+                held: list[tuple] = []
+                n = 0
+                for p in Raster(path).pixels():
+                    n += 1
+                    held.append((path, n, *p))
+                    if len(held) == BATCH:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=names)
 
+    names = ["sample_path", "pixel_id", "x", "y", "t_start", "t_end", "abs_start", "abs_end"]
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     return listed.mapInPandas(read, "sample_path string, pixel_id bigint, " + PIXELS)

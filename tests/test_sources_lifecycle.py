@@ -1,5 +1,6 @@
 import base64
 import zlib
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
@@ -52,17 +53,42 @@ def test_profile_file_is_refused(spark, tmp_path):
         spark.read.format("mzml").load(str(tmp_path / "p.mzML")).count()
 
 
-@pytest.mark.parametrize("ns", ["", ' xmlns="urn:x"'])
+RASTER = '<targetRaster{ns} startTime="2026-08-11T12:00:00Z"><rasterConfig>{config}</rasterConfig><image width="10" height="20" {shift}>{pixels}</image></targetRaster>'
+TWO = '<pixel x="0" y="0" offset="100" duration="500"/><pixel x="1" y="0" offset="700" duration="500"/>'
+
+
+@pytest.mark.parametrize("ns", ["", ' xmlns="http://example.org/raster-1.0.0"'])
 def test_raster_xml(spark, tmp_path, ns):
     path = tmp_path / "r.xml"
-    path.write_text(f'<raster{ns} startTime="2025-01-01T00:00:00" timeShift="500" spacingX=".05" spacingY=".07" unit="Millimeter"><image><pixel x="0" y="0" offset="100" duration="500"/><pixel x="1" y="0" offset="700" duration="500"/></image></raster>')
+    path.write_text(RASTER.format(ns=ns, config='<spacingX units="Millimeter">0.05</spacingX><spacingY units="mm">0.07</spacingY>', shift='timeShift="500"', pixels=TWO))
     rows = raster_xml.pixels(spark, [str(path)]).orderBy("x").collect()
-    assert [(r["t_start"], r["t_end"]) for r in rows] == [(pytest.approx(0.6), pytest.approx(1.1)), (pytest.approx(1.2), pytest.approx(1.7))]
-    info = raster_xml.parse(str(path))[1]
-    assert info["pixel_size_unit"] == "mm" and info["pixel_size_y"] == 0.07
-    path.write_text("<raster><image/></raster>")
-    with pytest.raises(ValueError):
-        raster_xml.parse(str(path))
+    assert [(r["pixel_id"], r["t_start"], r["t_end"]) for r in rows] == [(1, pytest.approx(0.6), pytest.approx(1.1)), (2, pytest.approx(1.2), pytest.approx(1.7))]
+    begun = datetime(2026, 8, 11, 12, tzinfo=UTC).timestamp()
+    assert [(r["abs_start"], r["abs_end"]) for r in rows] == [(pytest.approx(begun + 0.6), pytest.approx(begun + 1.1)), (pytest.approx(begun + 1.2), pytest.approx(begun + 1.7))]
+    assert raster_xml.parse(str(path))[1] == {"width": 10, "height": 20, "raster_start": begun, "pixel_size_x": 0.05, "pixel_size_y": 0.07, "pixel_size_unit": "mm"}
+
+
+def test_raster_xml_with_parts_missing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raster_xml, "BATCH", 1)
+    path = tmp_path / "r.xml"
+    write_ = lambda **kw: path.write_text(RASTER.format(**{"ns": "", "config": "", "shift": "", "pixels": ""} | kw))
+    write_(pixels='<pixel x="2" y="3" offset="1000" duration="2000"/>')
+    (pixel,), info = raster_xml.parse(str(path))
+    assert pixel[:4] == (2, 3, 1.0, 3.0) and (info["pixel_size_x"], info["pixel_size_unit"]) == (None, None)
+    write_(config='<spacingX units="furlong">0.05</spacingX>')
+    rows, info = raster_xml.parse(str(path))
+    assert rows == [] and (info["pixel_size_x"], info["pixel_size_unit"]) == (0.05, None)
+    assert raster_xml.pixels(spark, [str(path)]).count() == 0
+    for text in ("<r><image width='1' height='1'/></r>", '<r startTime="2026-08-11T12:00:00Z"/>'):
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            raster_xml.parse(str(path))
+
+
+def test_header_of_any_length(tmp_path):
+    path = tmp_path / "h.mzML"
+    path.write_text('<mzML><run startTimeStamp="2025-01-01T00:00:00Z">' + "\n" * 2000 + '<sourceFile id="s" name="raw.d"/>\n<spectrumList><spectrum/></spectrumList></run></mzML>')
+    assert mzml.instrument_info(str(path)) == {"acquisition_start": "2025-01-01T00:00:00Z", "source_file": "raw.d"}
 
 
 def test_target_list(spark, tmp_path):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ionloom.operators import aggregates, isotopes, spatial, windows
+from ionloom.operators import aggregates, isotopes, ranks, spatial, windows
 
 
 def plain_align(peaks, ppm):
@@ -66,13 +66,46 @@ def test_background(spark):
     assert got == {150: (2, 2), 300: (1, 2)}
 
 
-def test_centroids_find_planted_peaks(spark):
+@pytest.mark.parametrize("block", [150, 20_000])
+def test_centroids_find_planted_peaks(spark, block):
+    """Of every group, however the axis is cut; bins that are empty need no row."""
     x = np.arange(0, 2000) * 0.01 + 100
-    y = np.full(len(x), 1.0) + sum(500 * np.exp(-0.5 * ((x - c) / 0.02) ** 2) for c in (103.123, 110.5, 117.777))
-    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "bin long, x double, y double")
-    got = sorted(r["mz"] for r in windows.centroids(df, "x", "y", baseline_factor=10).collect())
-    assert got == pytest.approx([103.123, 110.5, 117.777], abs=0.002)
-    assert windows.centroids(df.limit(0), "x", "y").count() == 0
+    planted = {"a": (103.123, 110.5, 117.777), "b": (104.4,)}
+    rows = [(g, i, float(a), float(b)) for g, at in planted.items() for i, (a, b) in enumerate(zip(x, np.full(len(x), 1.0) + sum(500 * np.exp(-0.5 * ((x - c) / 0.02) ** 2) for c in at), strict=True)) if not 1500 < i < 1600]
+    df = spark.createDataFrame(rows, "s string, bin long, x double, y double")
+    found = windows.centroids(df, ["s"], "bin", "x", "y", 0.01, baseline_factor=10, block=block).collect()
+    for g, at in planted.items():
+        assert sorted(r["mz"] for r in found if r["s"] == g) == pytest.approx(at, abs=0.006)
+    assert windows.centroids(df.limit(0), ["s"], "bin", "x", "y", 0.01).count() == 0
+
+
+def test_bin_decimals():
+    assert [windows.bin_decimals(w) for w in (1.0, 0.5, 0.1, 0.01, 0.002, 0.0001)] == [0, 1, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_exact_percentiles_of_groups_of_any_size(spark, held):
+    r = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("hot", 3000), ("one", 1), ("two", 2)) for v in r.choice([1.0, 2.5, 7.0, r.random()], n)] + [("hot", None), ("hot", float("nan")), ("none", None)] + [(None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.1, 0.5, 0.995, 1.0]
+    got = {x["g"]: x for x in ranks.percentiles(df.where("g is not null"), ["g"], "v", shares, held).collect()}
+    assert set(got) == {"hot", "one", "two"}
+    for g, x in got.items():
+        v = [b for a, b in rows if a == g and b is not None and b == b]
+        assert x["n"] == len(v) and list(x["q"]) == pytest.approx(list(np.quantile(v, shares)))
+    whole = ranks.percentiles(df, [], "v", [0.5], held).first()
+    assert whole["q"][0] == pytest.approx(np.median([b for _, b in rows if b is not None and b == b]))
+    assert ranks.percentiles(df.limit(0), ["g"], "v", [0.5], held).count() == 0
+
+
+def test_ranks_by_ranges(spark):
+    rows = [("hot" if k % 3 else None, k, (k * 7919) % 13) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, id int, v int").repartition(7)
+    got = {x["id"]: x["r"] for x in ranks.ranked(df, ["g"], [F.desc("v"), F.asc("id")], "r").collect()}
+    for g in ("hot", None):
+        order = sorted((-v, k) for h, k, v in rows if h == g)
+        assert all(got[k] == n for n, (_, k) in enumerate(order, 1))
 
 
 def grid(spark, values):
