@@ -72,28 +72,41 @@ def reverse_dot_product(query: Column, library: Column, ppm: float = 10.0, mz_po
     Cosine on the library's peaks times powers of the shares of library and
     query peaks that have a partner. No peaks on either side: all zero.
     """
-    q, l = noise_filtered(query, noise), noise_filtered(library, noise)  # noqa: E741
-    lib = F.transform(l, lambda x: F.struct(x["m"].alias("m"), x["i"].alias("i"), _strongest_within(q, x["m"], ppm).alias("q")))
-    emp = F.size(F.filter(q, lambda x: F.exists(l, lambda y: F.abs(y["m"] - x["m"]) <= x["m"] * (ppm * 1e-6))))
+    sides = F.struct(noise_filtered(query, noise).alias("q"), noise_filtered(library, noise).alias("l"))
+    return bound(sides, lambda x: filtered_dot_product(x["q"], x["l"], ppm, mz_power, intensity_power, weights))
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def filtered_dot_product(q: Column, l: Column, ppm: float = 10.0, mz_power: float = 2.0, intensity_power: float = 0.5, weights: tuple[float, float, float] = (1.0, 0.5, 0.5)) -> Column:  # noqa: E741
+    """reverse_dot_product of peaks whose noise is off already; q and l should be columns, not expressions, as they are named per peak."""
     weigh = lambda m, i: F.pow(i, F.lit(intensity_power)) * F.pow(m, F.lit(mz_power))
-    sums = F.aggregate(
-        lib,
-        F.struct(F.lit(0.0).alias("lq"), F.lit(0.0).alias("ll"), F.lit(0.0).alias("qq"), F.lit(0).alias("n")),
-        lambda acc, x: F.struct(
-            (acc["lq"] + weigh(x["m"], x["i"]) * weigh(x["m"], F.coalesce(x["q"], F.lit(0.0)))).alias("lq"),
-            (acc["ll"] + F.pow(weigh(x["m"], x["i"]), F.lit(2.0))).alias("ll"),
-            (acc["qq"] + F.pow(weigh(x["m"], F.coalesce(x["q"], F.lit(0.0))), F.lit(2.0))).alias("qq"),
-            (acc["n"] + F.when(x["q"].isNotNull(), 1).otherwise(0)).alias("n"),
-        ),
-    )
-    n_lib, n_emp = F.size(l), F.size(q)
-    norm = F.sqrt(sums["ll"]) * F.sqrt(sums["qq"])
-    dot = F.when(norm > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), sums["lq"] / norm))).otherwise(F.lit(0.0))
-    lib_cov = F.when(n_lib > 0, sums["n"] / n_lib).otherwise(F.lit(0.0))
-    emp_cov = F.when(n_emp > 0, emp / n_emp).otherwise(F.lit(0.0))
+    zero = F.lit(0.0)
+
+    def add(acc: Column, x: Column) -> Column:
+        # The partner's intensity is looked up once per library peak.
+        return bound(F.struct(weigh(x["m"], x["i"]).alias("w"), _strongest_within(q, x["m"], ppm).alias("i")), lambda p: bound(F.coalesce(weigh(x["m"], p["i"]), zero), lambda v: F.struct((acc["lq"] + p["w"] * v).alias("lq"), (acc["ll"] + p["w"] * p["w"]).alias("ll"), (acc["qq"] + v * v).alias("qq"), (acc["n"] + F.when(p["i"].isNotNull(), 1).otherwise(0)).alias("n"))))
+
+    sums = F.aggregate(l, F.struct(zero.alias("lq"), zero.alias("ll"), zero.alias("qq"), F.lit(0).alias("n")), add)
+    emp = F.size(F.filter(q, lambda x: F.exists(l, lambda y: F.abs(y["m"] - x["m"]) <= x["m"] * (ppm * 1e-6))))
     w_dot, w_lib, w_emp = weights
-    score = F.least(F.lit(1.0), F.pow(dot, F.lit(w_dot)) * F.pow(lib_cov, F.lit(w_lib)) * F.pow(emp_cov, F.lit(w_emp)))
-    return F.struct(score.alias("score"), dot.alias("dot_product_score"), lib_cov.alias("lib_coverage"), emp_cov.alias("emp_coverage"), sums["n"].alias("n_matched_peaks"), n_lib.alias("n_lib_peaks"))
+
+    def parts(s: Column) -> Column:
+        norm = F.sqrt(s["sums"]["ll"]) * F.sqrt(s["sums"]["qq"])
+        dot = F.when(norm > 0, F.least(F.lit(1.0), F.greatest(zero, s["sums"]["lq"] / norm))).otherwise(zero)
+        lib_cov = F.when(s["n_lib"] > 0, s["sums"]["n"] / s["n_lib"]).otherwise(zero)
+        emp_cov = F.when(s["n_emp"] > 0, s["emp"] / s["n_emp"]).otherwise(zero)
+        return F.struct(dot.alias("dot"), lib_cov.alias("lib"), emp_cov.alias("emp"), s["sums"]["n"].alias("n"), s["n_lib"].alias("n_lib"))
+
+    def whole(p: Column) -> Column:
+        score = F.least(F.lit(1.0), F.pow(p["dot"], F.lit(w_dot)) * F.pow(p["lib"], F.lit(w_lib)) * F.pow(p["emp"], F.lit(w_emp)))
+        return F.struct(score.alias("score"), p["dot"].alias("dot_product_score"), p["lib"].alias("lib_coverage"), p["emp"].alias("emp_coverage"), p["n"].alias("n_matched_peaks"), p["n_lib"].alias("n_lib_peaks"))
+
+    # Where no library peak has a partner none of the query's has.
+    return bound(bound(bound(sums, lambda s: F.struct(s.alias("sums"), F.when(s["n"] > 0, emp).otherwise(F.lit(0)).alias("emp"), F.size(q).alias("n_emp"), F.size(l).alias("n_lib"))), parts), whole)
 
 
 def peak_term(n_peaks: Column, target: float) -> Column:

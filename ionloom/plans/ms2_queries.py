@@ -50,14 +50,14 @@ def parent_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_purity(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the parent spectrum's intensity in a window that lies on the scan's precursor."""
+    """Share of the parent spectrum's intensity in the isolation window (half a dalton to both sides) that lies within 25 ppm of the scan's precursor."""
     s = scans(spark, d)
     links = parent_scan(spark, d).where("parent_scan_id is not null").join(associations(spark, d).select("id", "sample_id", "precursor_mz", "isolation_window_target"), "id")
     rows = links.join(s.select("sample_id", F.col("scan_id").alias("parent_scan_id"), "mz", "intensity"), ["sample_id", "parent_scan_id"])
-    target = F.coalesce("isolation_window_target", "precursor_mz")
-    w = spectral.window_bounds(target, F.lit(25.0), F.lit(25.0), 0.5)
-    p = spectral.purity_fraction(spectral.peaks(F.col("mz"), F.col("intensity")), w["lo"], w["hi"], F.col("precursor_mz"), 25000.0)
-    return rows.where("precursor_mz is not null").select("id", F.round(p, 6).alias("purity_score"))
+    centre, ref = F.coalesce("isolation_window_target", "precursor_mz"), F.coalesce("precursor_mz", "isolation_window_target")
+    w = spectral.window_bounds(centre, F.lit(None).cast("double"), F.lit(None).cast("double"), 0.5)
+    p = spectral.purity_fraction(spectral.peaks(F.col("mz"), F.col("intensity")), w["lo"], w["hi"], ref, 25.0)
+    return rows.where(ref.isNotNull()).select("id", F.round(p, 6).alias("purity_score"))
 
 
 def unassociated_recheck(spark: SparkSession, d: str) -> DataFrame:
@@ -264,7 +264,24 @@ _BASE = ms1_queries._BASE + f""", a AS (
       FROM f JOIN lib ON library_id = 3 AND f.mz BETWEEN ref_mz - ref_mz * 25e-6 AND ref_mz + ref_mz * 25e-6) WHERE rn = 1) q ON q.feature_id = f.feature_id
 )"""
 
+_PURITY = """, sw AS (
+  SELECT id, coalesce(isolation_window_target, precursor_mz) AS c, coalesce(precursor_mz, isolation_window_target) AS ref, mz, intensity FROM (
+    SELECT l.id, l.precursor_mz, l.isolation_window_target, l.sample_id, r.scan_id FROM (SELECT * FROM a WHERE rt IS NOT NULL AND polarity IS NOT NULL) l
+    ASOF JOIN (SELECT sample_id, polarity, rt, max(scan_id) AS scan_id FROM s WHERE rt IS NOT NULL AND polarity IS NOT NULL GROUP BY ALL) r ON l.sample_id = r.sample_id AND l.polarity = r.polarity AND l.rt >= r.rt) k JOIN s ON s.sample_id = k.sample_id AND s.scan_id = k.scan_id
+), si AS (
+  SELECT * FROM (SELECT id, c, ref, CAST(unnest(mz) AS DOUBLE) AS m, CAST(unnest(intensity) AS DOUBLE) AS i FROM sw) WHERE m BETWEEN c - 0.5 AND c + 0.5
+), sb AS (SELECT id, quantile_cont(i, 0.1) AS base FROM si GROUP BY ALL
+), ss AS (SELECT id, sum(greatest(0, i - base)) AS whole, sum(greatest(0, i - base)) FILTER (m BETWEEN greatest(c - 0.5, ref * (1 - 25e-6)) AND least(c + 0.5, ref * (1 + 25e-6))) AS own FROM si JOIN sb USING (id) GROUP BY ALL
+), pu AS (SELECT sw.id, round(CASE WHEN whole > 0 THEN coalesce(own, 0) / whole ELSE 0 END, 6) AS purity_score FROM sw LEFT JOIN ss USING (id) WHERE ref IS NOT NULL)"""
+
 ORACLE = {
+    "scan_purity": _BASE + _PURITY + " SELECT id, purity_score FROM pu",
+    "consensus_by_purity": _BASE + _PURITY + """, b AS (SELECT sample_id, scan_id, max(score) AS best FROM n GROUP BY ALL),
+ k AS (SELECT a.*, best, least(1, n_peaks / 10.0) * greatest(0, least(1, coalesce(purity_score, 0.5))) * coalesce(best, 1) AS cs, coalesce(purity_score >= 0.2, true) AS ok, count(*) OVER (PARTITION BY feature_id) AS n_scans FROM a LEFT JOIN b USING (sample_id, scan_id) LEFT JOIN pu ON pu.id = a.id WHERE feature_id IS NOT NULL AND n_peaks IS NOT NULL),
+ c AS (SELECT *, count(*) OVER (PARTITION BY feature_id) AS n_considered, row_number() OVER (PARTITION BY feature_id ORDER BY cs DESC, coalesce(best, -1) DESC, n_peaks DESC, sample_id, scan_id, id) AS rk FROM k WHERE ok)
+ SELECT feature_id, id, round(cs, 10) AS consensus_score, n_scans, n_considered FROM c WHERE rk = 1""",
+    "precursor_candidates": _BASE + """, tr AS (SELECT *, (SELECT count(*) FROM pcand q WHERE q.feature_id = p.feature_id AND q.rank <= p.rank AND NOT EXISTS (SELECT 1 FROM pcand o WHERE o.feature_id = q.feature_id AND o.rank < q.rank AND q.abs_ppm - o.abs_ppm <= 0.5)) AS loose FROM pcand p)
+ SELECT feature_id, compound_id, compound_name, compound_formula, adduct, round(ppm, 4) AS ppm_error, CAST(rank AS INT) AS rank, CAST(loose AS INT) AS tie_rank FROM tr""",
     "representative_annotation": _BASE + " SELECT * FROM rep",
     "scan_association": _BASE + """, m AS (SELECT id, isolation_window_target AS t, coalesce(precursor_mz, isolation_window_target) AS m, CASE WHEN precursor_mz IS NOT NULL THEN 'precursor_mz' WHEN isolation_window_target IS NOT NULL THEN 'isolation_window_target' ELSE 'none' END AS matched_by FROM a),
  b AS (SELECT id, feature_id, mz, row_number() OVER (PARTITION BY id ORDER BY abs((m - mz) / mz), mz, feature_id) AS rn FROM m JOIN f ON m BETWEEN mz - mz * 1e-5 AND mz + mz * 1e-5 AND coalesce(abs(mz - t) <= 0.5, true))

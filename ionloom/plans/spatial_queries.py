@@ -325,6 +325,9 @@ ORACLE = {
     "isotope_summary": "SELECT isotope_index, charge, count(*) AS n, round(median(intensity_ratio), 6) AS median_ratio, round(median(spatial_corr), 6) AS median_corr FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY loaded_at DESC) AS rn FROM feature_isotopes) WHERE rn = 1 GROUP BY ALL",
     "headline_counts": _BASE + " SELECT (SELECT count(*) FROM f) AS n_features, (SELECT count(*) FROM f WHERE origin = 'injected') AS n_injected, count(DISTINCT feature_id) AS n_annotated, count(DISTINCT inchikey) AS n_compounds, count(DISTINCT library_id) AS n_libraries FROM n",
     "adduct_table": f"WITH adds(adduct, charge, molecules, delta) AS (VALUES {ms2_queries._ADDUCTS}) SELECT adduct, CASE WHEN charge > 0 THEN 'positive' ELSE 'negative' END AS polarity, round((molecules * {6 * chemistry.MASS['C'] + 12 * chemistry.MASS['H'] + 6 * chemistry.MASS['O']!r} + delta) / abs(charge), 5) AS mz FROM adds",
+    "adduct_spelling": "SELECT CASE " + " ".join(f"WHEN k = '{a.lower()[1 : a.index(']')]}' THEN '{a}'" for a, *_ in chemistry.ADDUCTS) + r""" ELSE label END AS adduct, count(*) AS n FROM (
+  SELECT trim(adduct) AS label, lower(regexp_replace(regexp_replace(regexp_replace(trim(adduct), '^\[|\](1?[+-])?$|\]$', '', 'g'), '\](\d?[+-])$', '', 'g'), '\]\d?[+-]?$', '', 'g')) AS k FROM ms2_annotations WHERE adduct IS NOT NULL) GROUP BY ALL""",
+    "mz_decimals": _BASE + " SELECT CAST(length(regexp_extract(CAST(mz AS VARCHAR), '\\.([0-9]*[1-9])', 1)) AS INT) AS decimals, count(*) AS n FROM f WHERE mz IS NOT NULL GROUP BY ALL",
     "compound_masses": _BASE + ", d AS (SELECT DISTINCT compound_formula FROM ms2_annotations WHERE compound_formula IS NOT NULL), p AS (SELECT compound_formula, unnest(regexp_extract_all(compound_formula, '[A-Z][a-z]?[0-9]*')) AS p FROM d) SELECT compound_formula, round(sum(mass * coalesce(TRY_CAST(regexp_extract(p, '[0-9]+$') AS INT), 1)), 6) AS mass FROM p JOIN masses ON el = regexp_extract(p, '^[A-Za-z]+') GROUP BY ALL",
     "concentrations": _BASE + """, k AS (SELECT sample_id, count(*) * 0.05::DOUBLE * 0.05::DOUBLE AS area FROM px GROUP BY ALL) SELECT sample_id, round(area, 9) AS area_mm2, round(area * 1e6, 3) AS area_um2, round(12.5::DOUBLE / area, 9) AS concentration, round(12.5::DOUBLE / area * area, 9) AS amount, 'pmol/mm2' AS unit FROM k""",
     "latest_features": _BASE + " SELECT feature_id, mz, origin, mz_weighted FROM f",

@@ -99,7 +99,7 @@ def test_consensus_goes_by_purity(spark, tmp_path):
     row = lambda i, f, rt, factor: (i, 1, i, f, str(f), 300.0, 300.0, 0.0, rt, 20.0, 10, "+", factor, 0)
     _write(
         spark, d,
-        ms1_scans=([(1, 1, 1.0, 3, 1.0, "+", [300.0, 310.0, 320.0], [20.0, 10.0, 100.0]), (1, 2, 3.0, 3, 1.0, "+", [300.0, 310.0, 320.0], [100.0, 10.0, 40.0])], SCANS),
+        ms1_scans=([(1, 1, 1.0, 3, 1.0, "+", [300.0, 300.2, 299.8], [20.0, 10.0, 100.0]), (1, 2, 3.0, 3, 1.0, "+", [300.0, 300.2, 299.8], [100.0, 10.0, 40.0])], SCANS),
         ms2_associations=([row(1, 1, 2.0, 0.9), row(2, 1, 4.0, 0.1), row(3, 2, None, None)], ASSOCIATIONS),
         features=([(1, 300.0, None, "aligned", 300.0, 1.0)], FEATURES),
         ms2_annotations=([(1, 9, 9, 9, 0.5, "K")], "id long, sample_id long, scan_id long, feature_id long, score double, inchikey string"),
