@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 from ionloom.functions.chemistry import C13_DELTA
 from ionloom.functions.spectral import max_m1_ratio
 from ionloom.operators.joins import ppm_join
+from ionloom.session import stored
+
+#: Calls over which the connected parts are spread.
+LOTS = 1024
 
 
 def spatial_correlation(pairs: DataFrame, matrix: DataFrame, sample: str, pixel: str, feature: str, value: str) -> DataFrame:
@@ -31,9 +37,9 @@ def link_isotopes(features: DataFrame, matrix: DataFrame, n_pixels: DataFrame, s
     each not yet claimed one claims M+1, M+2 ... as long as there is a feature
     at k times the isotope distance that is weaker, for M+1 not stronger than
     plausible, and as often together as min_corr asks (the best correlated
-    wins); the charge with the longest chain counts. Candidate pairs and their
-    correlations are joins; only the claiming, over a sample's few candidate
-    pairs, runs in one task.
+    wins); the charge with the longest chain counts. Features can only get in
+    each other's way within a connected part of the candidate pairs; these
+    parts, not samples, are what is claimed within one call.
     """
     height = matrix.groupBy(sample, feature).agg(F.sum(value).alias("_s")).join(n_pixels, sample).select(sample, feature, (F.col("_s") / F.col("n")).alias("h"))
     here = height.join(features.select(feature, F.col(mz).alias("_mz")).where("_mz is not null"), feature)
@@ -44,28 +50,51 @@ def link_isotopes(features: DataFrame, matrix: DataFrame, n_pixels: DataFrame, s
     pairs = pairs.where((F.col("isotope_id") != F.col("mono_id")) & (F.col("iso_h") < F.col("mono_h")) & (F.col("mono_h") > 0) & plausible)
     corr = spatial_correlation(pairs.select(sample, "mono_id", "isotope_id").distinct(), matrix, sample, pixel, feature, value).where(F.col("corr") >= min_corr)
     edges = pairs.join(corr, [sample, "mono_id", "isotope_id"]).select(sample, "mono_id", "mono_h", "isotope_id", "iso_h", "_mz", "k", "z", "corr")
+    edges = stored(edges)
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    part = components(edges, sample, "mono_id", "isotope_id").select(sample, F.col("node").alias("mono_id"), "component")
+    # Many parts share a call; a part is never split.
+    lots = edges.join(part, [sample, "mono_id"]).withColumn("_lot", F.pmod(F.xxhash64(sample, "component"), F.lit(LOTS)))
+    columns = [sample, "mono_id", "isotope_id", "k", "z", "ratio", "corr"]
 
     def claim(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values(["mono_h", "mono_id"], ascending=[False, True], kind="stable")
+        options: dict[tuple, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
+        for r in rows.itertuples(index=False):
+            options[getattr(r, sample), r.mono_id][r.z, r.k].append((r.corr, r.iso_mz, r.isotope_id, r.iso_h / r.mono_h))
         taken: set = set()
         out = []
-        for (_, mono_id), own in sorted(frame.groupby(["mono_h", "mono_id"]), key=lambda g: (-g[0][0], g[0][1])):
-            if mono_id in taken:
+        # The rows come from the most intense feature down.
+        for (group, mono), held in options.items():
+            if (group, mono) in taken:
                 continue
-            best: list = []
+            chains = []
             for z in range(1, max_charge + 1):
                 chain: list = []
                 for k in range(1, max_isotopes + 1):
-                    fits = own[(own["z"] == z) & (own["k"] == k) & ~own["isotope_id"].isin(taken)].sort_values(["corr", "_mz"])
-                    if fits.empty:
+                    free = [x for x in held.get((z, k), ()) if (group, x[2]) not in taken]
+                    if not free:
                         break
-                    chain.append(fits.iloc[-1])
-                best = chain if len(chain) > len(best) else best
-            for r in best:
-                out.append((r[sample], mono_id, r["isotope_id"], int(r["k"]), int(r["z"]), r["iso_h"] / r["mono_h"], r["corr"]))
-                taken.add(r["isotope_id"])
-            if best:
-                taken.add(mono_id)
-        return pd.DataFrame(out, columns=[sample, "mono_id", "isotope_id", "k", "z", "ratio", "corr"])
+                    corr, _, isotope, ratio = max(free)
+                    chain.append((group, mono, isotope, k, z, ratio, corr))
+                chains.append(chain)
+            best = max(chains, key=len)
+            out += best
+            taken |= {(group, c[2]) for c in best} | ({(group, mono)} if best else set())
+        return pd.DataFrame(out, columns=columns)
+
+    return lots.withColumnRenamed("_mz", "iso_mz").groupBy("_lot").applyInPandas(claim, f"`{sample}` {kinds[sample]}, mono_id {kinds['mono_id']}, isotope_id {kinds['isotope_id']}, k int, z int, ratio double, corr double")
+
 
-    return edges.groupBy(sample).applyInPandas(claim, f"`{sample}` {kinds[sample]}, mono_id {kinds['mono_id']}, isotope_id {kinds['isotope_id']}, k int, z int, ratio double, corr double")
+def components(edges: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """by, node, component: the least node of the connected part each node lies in. Every round halves what is left of a part's longest way, as labels are followed to their own labels."""
+    pairs = stored(edges.select(by, F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(by, F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
+    labels = stored(pairs.groupBy(by, F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("component")))
+    while True:
+        near = pairs.join(labels.select(by, F.col("node").alias("v"), F.col("component").alias("_c")), [by, "v"]).groupBy(by, F.col("u").alias("node")).agg(F.min("_c").alias("_near"))
+        own = labels.join(near, [by, "node"]).select(by, "node", "component", F.least("component", "_near").alias("_c"))
+        up = labels.select(by, F.col("node").alias("_c"), F.col("component").alias("_up"))
+        moved = stored(own.join(up, [by, "_c"], "left").select(by, "node", F.least("_c", F.coalesce("_up", "_c")).alias("component"), (F.col("component") != F.least("_c", F.coalesce("_up", "_c"))).alias("_moved")))
+        labels = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            return labels

@@ -122,8 +122,8 @@ def candidate_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def library(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct library compounds with the m/z of each of their ions that a polarity allows."""
-    c = table(spark, d, "ms2_annotations").where("compound_id is not null").groupBy("library_id", "compound_id").agg(F.min(F.struct("compound_name", "compound_formula")).alias("c")).select("library_id", "compound_id", "c.*")
+    """Distinct library compounds (of several names the first, a missing one last) with the m/z of each of their ions that a polarity allows."""
+    c = table(spark, d, "ms2_annotations").where("compound_id is not null").groupBy("library_id", "compound_id").agg(F.min_by(F.struct("compound_name", "compound_formula"), F.struct(F.col("compound_name").isNull(), "compound_name", F.col("compound_formula").isNull(), "compound_formula")).alias("c")).select("library_id", "compound_id", "c.*")
     c = c.withColumn("mass", chemistry.neutral_mass(F.col("compound_formula"))).where("mass is not null")
     # 16 fixed rows.
     ions = c.crossJoin(F.broadcast(chemistry.adducts(spark)))

@@ -11,7 +11,7 @@ from ionloom.operators.lifecycle import latest, move_rows
 from ionloom.plans import ms1_queries, ms2_queries
 from ionloom.plans.ms1_queries import features, mapped, scans
 from ionloom.plans.ms2_queries import annotations, associations
-from ionloom.session import cut
+from ionloom.session import cut, stored
 from ionloom.sources.tables import table
 
 #: A region in grid coordinates, as a user might draw it.
@@ -187,6 +187,14 @@ def isotope_votes(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.isotope_vote(links, present, ms2_queries.protected_features(spark, d), "sample_id")
 
 
+def isotope_links(spark: SparkSession, d: str) -> DataFrame:
+    """Isotopes linked within each sample from the images of all features, before any vote."""
+    f = features(spark, d).where("mz is not null").select("feature_id", "mz")
+    n = mapped(spark, d).groupBy("sample_id").agg(F.count_distinct("pixel_id").alias("n"))
+    links = isotopes.link_isotopes(f, stored(ms1_queries._matrix(spark, d)), n, "sample_id", "pixel_id", "feature_id", "mz", "value")
+    return links.select("sample_id", "mono_id", "isotope_id", "k", "z", F.round("ratio", 6).alias("ratio"), F.round("corr", 6).alias("corr"))
+
+
 def features_after_isotopes(spark: SparkSession, d: str) -> DataFrame:
     """Features that stay once the isotopes accepted by the vote are moved out."""
     iso = isotope_votes(spark, d).select(F.col("isotope_id").alias("feature_id")).distinct()
@@ -256,7 +264,7 @@ def mirror_pairs(spark: SparkSession, d: str) -> DataFrame:
     return one.intersect(two).withColumn("shared", F.lit(True)).unionByName(one.subtract(two).withColumn("shared", F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (grid_indices, neighbour_counts, fill_blanks, local_moran, global_moran, moran_thresholds, feature_fill_blanks, feature_local_moran, feature_global_moran, feature_moran_thresholds, roi_statistics, internal_standard_ratio, placed_pixels, overlap_patterns, feature_membership, sample_counts, ms2_totals, isotope_summary, headline_counts, isotope_votes, features_after_isotopes, adduct_table, adduct_spelling, compound_masses, mz_decimals, concentrations, latest_features, overlay_values, target_set, best_scan_of_feature, mirror_pairs)}
+QUERIES = {f.__name__: f for f in (grid_indices, neighbour_counts, fill_blanks, local_moran, global_moran, moran_thresholds, feature_fill_blanks, feature_local_moran, feature_global_moran, feature_moran_thresholds, roi_statistics, internal_standard_ratio, placed_pixels, overlap_patterns, feature_membership, sample_counts, ms2_totals, isotope_summary, headline_counts, isotope_links, isotope_votes, features_after_isotopes, adduct_table, adduct_spelling, compound_masses, mz_decimals, concentrations, latest_features, overlay_values, target_set, best_scan_of_feature, mirror_pairs)}
 
 _BASE = ms2_queries._BASE + """, px AS (
   SELECT sample_id, pixel_id, p.x AS x, p.y AS y FROM (SELECT sample_id, pixel_id, min(struct_pack(x := x, y := y)) AS p FROM spatial_pixels WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)

@@ -202,3 +202,46 @@ def test_weighted_mz_and_range(spark):
     got = {r["f"]: r for r in aggregates.weighted_mz(df, ["f"], "mz", "w").collect()}
     assert got[1]["mz_weighted"] == pytest.approx(100.000025) and got[1]["mz_spread_ppm"] == pytest.approx(0.5, abs=0.01) and got[2]["mz_spread_ppm"] is None
     assert aggregates.value_range(df, ["f"], "w").where("f = 2").first()["vmax"] == 1.0
+
+
+def test_components(spark):
+    chain = [(1, k, k + 1) for k in range(100, 140)] + [(1, 7, 5), (1, 9, 5), (2, 5, 100)]
+    got = {(r["s"], r["node"]): r["component"] for r in isotopes.components(spark.createDataFrame(chain, "s int, a int, b int"), "s", "a", "b").collect()}
+    assert all(got[1, k] == 100 for k in range(100, 141)) and {got[1, k] for k in (5, 7, 9)} == {5} and got[2, 100] == got[2, 5] == 5
+    assert isotopes.components(spark.createDataFrame([], "s int, a int, b int"), "s", "a", "b").count() == 0
+
+
+def test_claims_as_in_turn(spark):
+    """Random images: what the connected parts claim is what going through all features of a sample in turn claims."""
+    r = np.random.default_rng(8)
+    mz = {k: 300 + 1.0033548 * (k % 12) + 20 * (k // 12) for k in range(48)}
+    base = r.random(20)
+    images = {(s, k): np.where(r.random(20) < 0.9, base * 10 ** r.uniform(0, 3) + 0.3 * r.random(20), 0) for s in (1, 2) for k in mz}
+    m = spark.createDataFrame([(s, p, k, float(v)) for (s, k), image in images.items() for p, v in enumerate(image) if v > 0], "s int, p int, f int, v double")
+    f = spark.createDataFrame(list(mz.items()), "f int, mz double")
+    n = spark.createDataFrame([(1, 20), (2, 20)], "s int, n int")
+    got = {(x["s"], x["mono_id"], x["isotope_id"], x["k"], x["z"]) for x in isotopes.link_isotopes(f, m, n, "s", "p", "f", "mz", "v").collect()}
+    want = set()
+    for s in (1, 2):
+        h = {k: images[s, k].mean() for k in mz}
+        taken = set()
+        for a in sorted(mz, key=lambda k: (-h[k], k)):
+            if a in taken:
+                continue
+            chain = []
+            for k in (1, 2, 3):
+                fits = []
+                for b in mz:
+                    e = mz[a] + k * 1.0033548
+                    if b == a or b in taken or abs(mz[b] - e) > e * 5e-6 or not h[b] < h[a] or (k == 1 and h[b] / h[a] > 1.1 * 0.0107 * mz[a] / 14 + 0.02):
+                        continue
+                    on = images[s, a] > 0
+                    corr = np.corrcoef(images[s, a][on], images[s, b][on])[0, 1]
+                    if corr >= 0.5:
+                        fits.append((corr, mz[b], b))
+                if not fits:
+                    break
+                chain.append((s, a, max(fits)[2], k, 1))
+            want |= set(chain)
+            taken |= {c[2] for c in chain} | ({a} if chain else set())
+    assert got == want and len(want) > 5
