@@ -132,15 +132,22 @@ class Project:
             raise KeyError(f"no table {name}")
         return self.spark.createDataFrame([], SCHEMAS[name])
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """df as the table's new version. Columns of a table of SCHEMAS are put in order, missing ones are NULL."""
-        if name in SCHEMAS:
+    def write(self, name: str, df: DataFrame, as_is: bool = False) -> None:
+        """df as the table's new version. Columns of a table of SCHEMAS are put in order, missing ones are NULL, unless as_is."""
+        if name in SCHEMAS and not as_is:
             empty = self.spark.createDataFrame([], SCHEMAS[name])
             df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{version}")
         self._put(f"{self.root}/{name}/CURRENT", {"version": version})
 
+    def point(self, name: str, version: str | None) -> None:
+        """Makes an earlier version (None: no table) the present one."""
+        if version is None:
+            self.drop(name)
+        else:
+            self._put(f"{self.root}/{name}/CURRENT", {"version": version})
+
     def append(self, name: str, df: DataFrame) -> None:
         self.write(name, self.read(name).unionByName(df, allowMissingColumns=True))
 
@@ -472,7 +479,7 @@ class Project:
         if row is None:
             raise KeyError(entry_id)
         for table, version in zip(row["tables"], row["versions"], strict=True):
-            self._put(f"{self.root}/{table}/CURRENT", {"version": version})
+            self.point(table, version)
         self.write("annotation_history", self.read("annotation_history").withColumn("is_current", F.col("entry_id") == entry_id))
 
     def delete_entry(self, entry_id: str) -> None:
@@ -496,5 +503,5 @@ class Project:
             fresh[table] = f"v-{uuid.uuid4().hex}"
             build().write.parquet(f"{self.root}/{table}/{fresh[table]}")
         for table, version in fresh.items():
-            self._put(f"{self.root}/{table}/CURRENT", {"version": version})
+            self.point(table, version)
         return self.record(list(stages), settings)

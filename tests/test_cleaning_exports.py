@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ionloom.functions.spectral import peaks
 from ionloom.operators import cleaning, exports
 from ionloom.plans import pipeline
+from ionloom.project import Project
 from ionloom.sources import datasets, library
 
 
@@ -68,20 +69,32 @@ def test_library_and_datasets(spark):
 def test_pipeline_skips_done_stages_and_restores_on_failure(spark, tmp_path):
     n = {"calls": 0}
 
-    def build(s, _):
+    def build(c, a):
         n["calls"] += 1
-        if n["calls"] == 3:
+        if n["calls"] == 5:
             raise RuntimeError("stage fails")
-        return s.range(n["calls"])
+        return c.spark.range(n["calls"] * a)
 
-    stages = [pipeline.Stage("one", build, {"a": 1})]
+    stages = [pipeline.Stage("one", build, {"a": 1}), pipeline.Stage("two", lambda c: c.table("one"), {}, ["one"])]
     out = str(tmp_path / "out")
-    assert pipeline.run(spark, "", out, "r", stages) == ["one"] and pipeline.run(spark, "", out, "r", stages) == []
-    pipeline.reannotate(spark, "", out, "r", "v1", stages)
-    assert spark.read.parquet(f"{out}/one").count() == 2
+    run = lambda **kw: pipeline.run(spark, "", out, "r", stages, **kw)
+    assert run() == ["one", "two"] and run() == []
+    # Other arguments, or inputs made anew, call for another run; the arguments logged are those used.
+    assert run(config={"stages": {"one": {"a": 10}}}) == ["one", "two"]
+    project = Project(spark, out)
+    assert project.read("two").count() == 20 and project.read("commands").where("command_name = 'one'").count() == 2
+    pipeline.reannotate(spark, "", out, "r", {}, stages)
+    assert project.read("one").count() == 3 and project.history().count() == 2
+    first = project.history().first()["entry_id"]
+    n["calls"] = 4
     with pytest.raises(RuntimeError):
-        pipeline.reannotate(spark, "", out, "r", "v2", stages)
-    assert spark.read.parquet(f"{out}/one").count() == 2
-    (tmp_path / "c.json").write_text('{"version": 9}')
-    with pytest.raises(ValueError):
-        pipeline.load_config(str(tmp_path / "c.json"))
+        pipeline.reannotate(spark, "", out, "r", {}, stages)
+    assert project.read("one").count() == 3
+    project.restore(first)
+    assert project.read("one").count() == 20
+    for text in ('{"version": 9}', '{"version": 1, "stages": {"none": {}}}', '{"version": 1, "stages": {"align_mz": {"x": 1}}}'):
+        (tmp_path / "c.json").write_text(text)
+        with pytest.raises(ValueError):
+            pipeline.load_config(str(tmp_path / "c.json"))
+    (tmp_path / "c.toml").write_text("version = 1\n[stages.align_mz]\nppm = 7.0\n")
+    assert pipeline.load_config(str(tmp_path / "c.toml"))["stages"] == {"align_mz": {"ppm": 7.0}}

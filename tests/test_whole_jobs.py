@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from ionloom.operators import spatial
-from ionloom.plans import ms1_queries, pipeline, spatial_queries
+from ionloom.plans import ms1_queries, ms2_queries, pipeline, spatial_queries
+from ionloom.project import Project
 
 AT = dt.datetime(2024, 1, 1)
 D = 1.0033548
@@ -80,10 +81,9 @@ def test_stages_work_on_each_feature(spark, tmp_path):
         spatial_pixels=([(1, p, p % 3, p // 3, float(p), p + 0.5) for p in range(9)], "sample_id long, pixel_id long, x int, y int, t_start double, t_end double"),
         features=([(1, a, None, "aligned", a, 1.0), (2, b, None, "aligned", b, 1.0)], FEATURES),
     )
-    stage = {s.name: s.build for s in pipeline.STAGES}
-    filled = {(r["feature_id"], r["pixel_id"]): r["value"] for r in stage["fill_blanks"](spark, d).collect()}
+    filled = {(r["feature_id"], r["pixel_id"]): r["value"] for r in spatial_queries.feature_fill_blanks(spark, d).collect()}
     assert filled == {(1, 4): pytest.approx(np.mean([10.0 + p for p in range(9) if p != 4])), (2, 0): 50.0}
-    assert {(r["feature_id"], r["pixel_id"]) for r in stage["local_moran"](spark, d).collect()} == {(f, p) for f in (1, 2) for p in range(9)}
+    assert {(r["feature_id"], r["pixel_id"]) for r in spatial_queries.feature_local_moran(spark, d).collect()} == {(f, p) for f in (1, 2) for p in range(9)}
     top = {(r["feature_id"], r["threshold_index"]): (r["n_above"], r["n_finite"]) for r in spatial_queries.feature_moran_thresholds(spark, d).collect()}
     assert top[1, 0][1] == top[2, 0][1] == 9 and len(top) == 242
 
@@ -104,7 +104,32 @@ def test_consensus_goes_by_purity(spark, tmp_path):
         features=([(1, 300.0, None, "aligned", 300.0, 1.0)], FEATURES),
         ms2_annotations=([(1, 9, 9, 9, 0.5, "K")], "id long, sample_id long, scan_id long, feature_id long, score double, inchikey string"),
     )
-    stage = next(s.build for s in pipeline.STAGES if s.name == "consensus")
-    got = {r["feature_id"]: (r["id"], r["consensus_score"], r["n_scans"], r["n_considered"]) for r in stage(spark, d).collect()}
+    got = {r["feature_id"]: (r["id"], r["consensus_score"], r["n_scans"], r["n_considered"]) for r in ms2_queries.consensus_by_purity(spark, d).collect()}
     # Baselines (10th percentile) of 12 and 16: purities 8 / 96 and 84 / 108.
     assert got == {1: (2, pytest.approx(84 / 108, abs=1e-5), 2, 1), 2: (3, 0.5, 1, 1)}
+
+
+def test_a_whole_run_on_the_isotopes(spark, isotope_dir, tmp_path):
+    """From scans to the report: what the isotope stage takes out is gone from all that follows."""
+    d, out = isotope_dir, str(tmp_path / "run")
+    _write(
+        spark, d,
+        spatial_pixels=([(s, p, p % 3, p // 3, float(p), p + 0.5) for s in (1, 2) for p in range(6)], "sample_id long, pixel_id long, x int, y int, t_start double, t_end double"),
+        ms2_annotations=([(1, 1, 100, 9, 2, 5, 77, "target", "C20H20O3", "K", "[M+H]+", 0.9, 3)], "id long, sample_id long, scan_id long, feature_id long, library_id int, library_spectrum_id long, compound_id long, compound_name string, compound_formula string, inchikey string, adduct string, score double, n_matched_peaks int"),
+    )
+    seen = []
+    config = {"stages": {"process_samples": {"baseline_factor": -1.0, "prominence_factor": 0.0, "filter_mad": False}, "normalise": {"mode": "reference_mz", "reference_mz": 700.0}}}
+    ran = pipeline.run(spark, d, out, "r1", config=config, on_step=lambda name, status: seen.append((name, status)))
+    assert ran == [s.name for s in pipeline.STAGES] and ("align_mz", "done") in seen
+    t = Project(spark, out).read
+    mz = {r["feature_id"]: round(r["mz"], 2) for r in t("features").collect()}
+    assert {300.0, 301.0, 302.01, 400.0, 700.0} <= set(mz.values())
+    gone = {mz[r["isotope_id"]] for r in t("detect_isotopes").collect()}
+    assert {301.0, 302.01} <= gone and not gone & {mz[r["feature_id"]] for r in t("kept_features").collect()} and not gone & {mz[r["feature_id"]] for r in t("normalise").select("feature_id").distinct().collect()}
+    assert t("match_target_list").count() == 2 and t("group_ms2").count() == 1 and t("summary_report").count() == 1
+    # Feature 700 is its own reference: the same everywhere.
+    ref = next(k for k, v in mz.items() if v == 700.0)
+    assert len({round(r["value"], 9) for r in t("normalise").where(f"feature_id = {ref}").collect()}) == 1
+    assert pipeline.run(spark, d, out, "r1", config=config) == []
+    again = pipeline.run(spark, d, out, "r1", config={"stages": {**config["stages"], "fill_blanks": {"radius": 2}}})
+    assert again == ["fill_blanks", "spatial_correlation", "summary_report"]
