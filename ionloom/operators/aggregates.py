@@ -101,14 +101,13 @@ def normalise(df: DataFrame, reference: str, value: str, name: str = "normalised
     return df.crossJoin(F.broadcast(middle)).withColumn(name, scaled).drop("_median")
 
 
-def correlation_pairs(matrix: DataFrame, n_pixels: DataFrame, by: Sequence[str], pixel: str, feature: str, value: str, rank: bool = False, pixels_per_lot: int = 20_000) -> DataFrame:
+def correlation_pairs(matrix: DataFrame, n_pixels: DataFrame, by: Sequence[str], pixel: str, feature: str, value: str, rank: bool = False, pixels_per_lot: int = 20_000, features_per_tile: int = 1024, min_abs: float | None = None) -> DataFrame:
     """by, feature_a, feature_b (a < b), r for all pairs of features, over all pixels (absent ones count as 0).
 
-    matrix holds the non-zero values, n_pixels by and n. Each lot of
-    about ``pixels_per_lot`` of a group's pixels gives the products of the features it holds as one
-    (features x features) block; blocks are added up, so a group's pixels are
-    never in one task. The features of a group must fit a square of numbers.
-    Constant features have no r and no row. rank: Spearman, with mean ranks.
+    matrix holds the non-zero values, n_pixels by and n. A group's pixels are cut into lots of about ``pixels_per_lot`` and its
+    features into tiles of about ``features_per_tile``; each call gives the products of two tiles over one lot, at most a square
+    of tile by tile, and these are added up. Constant features have no r and no row. rank: Spearman, with mean ranks. min_abs:
+    only pairs with at least this abs(r); of the features that are never on one pixel, only those that can reach it are paired.
     """
     rows = matrix.select(*by, F.col(pixel).alias("_p"), F.col(feature).alias("_f"), F.col(value).cast("double").alias("_v")).where("_v is not null and _v != 0")
     if rank:
@@ -122,24 +121,41 @@ def correlation_pairs(matrix: DataFrame, n_pixels: DataFrame, by: Sequence[str],
     key = ", ".join(f"`{c}` {kinds[c]}" for c in by)
 
     def products(frame: pd.DataFrame) -> pd.DataFrame:
-        features, f = np.unique(frame["_f"].to_numpy(), return_inverse=True)
+        head = frame.iloc[0]
         _, p = np.unique(frame["_p"].to_numpy(), return_inverse=True)
-        gram = np.zeros((len(features), len(features)))
-        # A few thousand pixels at a time, dense.
         order = np.argsort(p, kind="stable")
-        f, p, v = f[order], p[order], frame["_v"].to_numpy()[order]
-        for lo in range(0, int(p[-1]) + 1 if len(p) else 0, 2000):
-            at = slice(np.searchsorted(p, lo), np.searchsorted(p, lo + 2000))
-            dense = np.zeros((2000, len(features)))
-            dense[p[at] - lo, f[at]] = v[at]
-            gram += dense.T @ dense
-        a, b = np.nonzero(np.triu(gram))
-        head = frame.iloc[0]
-        return pd.DataFrame({**{c: head[c] for c in by}, "_a": features[a], "_b": features[b], "_s": gram[a, b]})
+        p, v, t = p[order], frame["_v"].to_numpy()[order], frame["_t"].to_numpy()[order]
+        one = int(head["_ta"]) == int(head["_tb"])
+        sides = []
+        for tile in dict.fromkeys((int(head["_ta"]), int(head["_tb"]))):
+            mine = t == tile
+            features, f = np.unique(frame["_f"].to_numpy()[order][mine], return_inverse=True)
+            sides.append((features, f, p[mine], v[mine]))
+        left, right = sides[0], sides[-1]
+        gram = np.zeros((len(left[0]), len(right[0])))
+
+        def dense(side: tuple, lo: int) -> np.ndarray:
+            features, f, at, values = side
+            some = slice(np.searchsorted(at, lo), np.searchsorted(at, lo + 2000))
+            out = np.zeros((2000, len(features)))
+            out[at[some] - lo, f[some]] = values[some]
+            return out
 
-    n_lots = n_pixels.select(*by, F.ceil(F.col("n") / F.lit(pixels_per_lot)).cast("bigint").alias("_lots"))
-    lots = rows.join(n_lots, list(by)).withColumn("_lot", F.pmod(F.xxhash64("_p"), F.greatest(F.lit(1), "_lots"))).drop("_lots")
-    blocks = lots.groupBy(*by, "_lot").applyInPandas(products, f"{key}, _a {kinds['_f']}, _b {kinds['_f']}, _s double")
+        # A few thousand pixels at a time, dense.
+        for lo in range(0, int(p[-1]) + 1 if len(p) else 0, 2000):
+            x = dense(left, lo)
+            gram += x.T @ (x if one else dense(right, lo))
+        a, b = np.nonzero(np.triu(gram) if one else gram)
+        fa, fb = left[0][a], right[0][b]
+        swap = fa > fb
+        return pd.DataFrame({**{c: head[c] for c in by}, "_a": np.where(swap, fb, fa), "_b": np.where(swap, fa, fb), "_s": gram[a, b]})
+
+    sizes = rows.groupBy(*by).agg(F.count_distinct("_f").alias("_nf")).select(*by, F.ceil(F.col("_nf") / F.lit(features_per_tile)).cast("int").alias("_tiles"))
+    n_lots = n_pixels.select(*by, F.ceil(F.col("n") / F.lit(pixels_per_lot)).cast("bigint").alias("_lots")).join(sizes, list(by))
+    lots = rows.join(n_lots, list(by)).withColumn("_lot", F.pmod(F.xxhash64("_p"), F.greatest(F.lit(1), "_lots"))).withColumn("_t", F.pmod(F.xxhash64("_f"), "_tiles").cast("int"))
+    # A value meets every tile, its own included.
+    lots = lots.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumn("_ta", F.least("_t", "_j")).withColumn("_tb", F.greatest("_t", "_j")).drop("_lots", "_tiles", "_j")
+    blocks = lots.groupBy(*by, "_lot", "_ta", "_tb").applyInPandas(products, f"{key}, _a {kinds['_f']}, _b {kinds['_f']}, _s double")
     gram = blocks.groupBy(*by, "_a", "_b").agg(F.sum("_s").alias("_s"))
     sums = rows.groupBy(*by, "_f").agg(F.sum("_v").alias("_m")).join(n_pixels.select(*by, F.col("n").cast("double").alias("_n")), list(by))
     squares = gram.where("_a = _b").select(*by, F.col("_a").alias("_f"), F.col("_s").alias("_ss"))
@@ -147,9 +163,35 @@ def correlation_pairs(matrix: DataFrame, n_pixels: DataFrame, by: Sequence[str],
     varied = sums.join(squares, [*by, "_f"]).select(*by, "_f", "_n", mean.alias("_mean"), (square - mean * mean).alias("_var"), square.alias("_ms")).where("_var > 1e-12 * _ms")
     one = varied.select(*by, F.col("_f").alias("feature_a"), F.col("_mean").alias("_ma"), F.col("_var").alias("_va"), "_n")
     two = varied.select(*by, F.col("_f").alias("feature_b"), F.col("_mean").alias("_mb"), F.col("_var").alias("_vb"))
-    pairs = one.join(two, list(by)).where("feature_a < feature_b").join(gram.select(*by, F.col("_a").alias("feature_a"), F.col("_b").alias("feature_b"), "_s"), [*by, "feature_a", "feature_b"], "left")
-    r = (F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("_n") - F.col("_ma") * F.col("_mb")) / F.sqrt(F.col("_va") * F.col("_vb"))
-    return pairs.select(*by, "feature_a", "feature_b", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    met = gram.where("_a < _b").select(*by, F.col("_a").alias("feature_a"), F.col("_b").alias("feature_b"), "_s")
+    bound = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+    r = bound((F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("_n") - F.col("_ma") * F.col("_mb")) / F.sqrt(F.col("_va") * F.col("_vb")))
+    if min_abs is None or min_abs <= 0:
+        pairs = one.join(two, list(by)).where("feature_a < feature_b").join(met, [*by, "feature_a", "feature_b"], "left")
+        return pairs.select(*by, "feature_a", "feature_b", r.alias("r"))
+    together = met.join(one, [*by, "feature_a"]).join(two, [*by, "feature_b"]).select(*by, "feature_a", "feature_b", r.alias("r"))
+    # Never on one pixel: r is minus the product of their means over their deviations.
+    share = lambda m, v: F.abs(F.col(m)) / F.sqrt(F.col(v))
+    most = one.groupBy(*by).agg(F.max(share("_ma", "_va")).alias("_most"))
+    able = lambda df, m, v: df.join(most, list(by)).where(share(m, v) * F.col("_most") >= min_abs).drop("_most")
+    apart = able(one, "_ma", "_va").join(able(two, "_mb", "_vb"), list(by)).where("feature_a < feature_b").where(share("_ma", "_va") * share("_mb", "_vb") >= min_abs)
+    apart = apart.join(met.select(*by, "feature_a", "feature_b"), [*by, "feature_a", "feature_b"], "left_anti").withColumn("_s", F.lit(0.0))
+    return together.where(F.abs("r") >= min_abs).unionByName(apart.select(*by, "feature_a", "feature_b", r.alias("r")))
+
+
+def correlation_with(matrix: DataFrame, n_pixels: DataFrame, by: Sequence[str], pixel: str, feature: str, value: str, chosen) -> DataFrame:
+    """by, feature, r of one feature with every other of its groups, as correlation_pairs has them; only its own pixels are joined."""
+    rows = matrix.select(*by, F.col(pixel).alias("_p"), F.col(feature).alias(feature), F.col(value).cast("double").alias("_v")).where("_v is not null and _v != 0")
+    n = n_pixels.select(*by, F.col("n").cast("double").alias("_n"))
+    moments = rows.groupBy(*by, feature).agg(F.sum("_v").alias("_m"), F.sum(F.col("_v") * F.col("_v")).alias("_q")).join(n, list(by))
+    mean, square = F.col("_m") / F.col("_n"), F.col("_q") / F.col("_n")
+    varied = moments.select(*by, feature, "_n", mean.alias("_mean"), (square - mean * mean).alias("_var"), square.alias("_ms")).where("_var > 1e-12 * _ms")
+    own = rows.where(F.col(feature) == chosen).select(*by, "_p", F.col("_v").alias("_x"))
+    cross = rows.join(own, [*by, "_p"]).groupBy(*by, feature).agg(F.sum(F.col("_v") * F.col("_x")).alias("_s"))
+    mine = varied.where(F.col(feature) == chosen).select(*by, F.col("_mean").alias("_ma"), F.col("_var").alias("_va"))
+    pairs = varied.where(F.col(feature) != chosen).join(mine, list(by)).join(cross, [*by, feature], "left")
+    r = (F.coalesce("_s", F.lit(0.0)) / F.col("_n") - F.col("_ma") * F.col("_mean")) / F.sqrt(F.col("_va") * F.col("_var"))
+    return pairs.select(*by, feature, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
 
 
 def value_range(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -3,13 +3,12 @@
 A composition without its hydrogens (C, N, O, P, S and, if asked for, halogens)
 has a fixed mass; what is left of the target must be a whole number of hydrogen
 atoms. Both are therefore joined by where they lie between two multiples of the
-hydrogen mass, in buckets as wide as the tolerance, so no target meets all
-compositions. The table of compositions depends on the bounds alone.
+hydrogen mass, in small buckets, so no target meets all compositions but those
+near it. The table of compositions depends on the bounds alone.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,11 +63,12 @@ def predict(features: DataFrame, labels: Sequence[str], error_ppm: float = 10.0,
     ions = F.explode(F.array(*[F.struct(F.lit(a).alias("adduct"), F.lit(known[a]["charge"]).alias("charge"), F.lit(known[a]["molecules"]).alias("molecules"), F.lit(known[a]["delta"]).alias("delta")) for a in dict.fromkeys(labels)])).alias("a")
     asked = features.where("mz > 0 and not isnan(mz)").select("feature_id", "mz", ions).select("feature_id", "mz", "a.*")
     asked = asked.withColumn("_mass", (F.col("mz") * F.abs("charge") - F.col("delta")) / F.col("molecules")).withColumn("_tol", F.col("mz") * F.abs("charge") / F.col("molecules") * (error_ppm * 1e-6)).where(F.col("_mass").between(MASS["C"], heaviest))
-    # Where a mass lies between two multiples of the hydrogen mass; the tolerance is never wider than a bucket.
-    buckets = max(1, math.floor(h / (heaviest * 2 * error_ppm * 1e-6)))
-    at = lambda m: F.floor(F.pmod(m, F.lit(h)) / (h / buckets)).cast("int")
-    near = F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.pmod(at(F.col("_mass")) + s, F.lit(buckets)))))
-    table = compositions(spark, bounds, heaviest).withColumn("_b", at(F.col("_rest")))
+    # Where a mass lies between two multiples of the hydrogen mass, in buckets of some two thousandths of a dalton.
+    buckets = 500
+    at = lambda m: F.floor(m / F.lit(h / buckets)).cast("int")
+    part = F.pmod(F.col("_mass"), F.lit(h))
+    near = F.explode(F.array_distinct(F.transform(F.sequence(at(part - F.col("_tol")), at(part + F.col("_tol"))), lambda b: F.pmod(b, F.lit(buckets)))))
+    table = compositions(spark, bounds, heaviest).withColumn("_b", F.pmod(at(F.pmod("_rest", F.lit(h))), F.lit(buckets)))
     met = asked.withColumn("_b", near).join(table, "_b").where("_rest <= _mass + _tol")
     met = met.withColumn("H", F.round((F.col("_mass") - F.col("_rest")) / h).cast("int"))
     off = F.col("_rest") + F.col("H") * h - F.col("_mass")

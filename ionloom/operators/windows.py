@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ionloom.functions import spectral
 from ionloom.operators.ranks import percentiles, ranked
+from ionloom.session import stored
 
 #: Islands given to one call of a Python kernel.
 ISLANDS = 512
@@ -202,7 +203,9 @@ def centroids(spectra: DataFrame, by: Sequence[str], bin_: str, position: str, i
     decimals = bin_decimals(width)
     kinds = {f.name: f.dataType.simpleString() for f in spectra.schema.fields}
     filled = spectra.where(F.col(intensity) > 0)
-    whole = percentiles(filled, by, intensity, [percentile]).select(*by, F.get("q", F.lit(0)).alias("_whole"))
+    whole = stored(percentiles(filled, by, intensity, [percentile]).select(*by, "n", F.get("q", F.lit(0)).alias("_whole")))
+    whole_rows = whole.agg(F.sum("n")).first()[0]
+    whole = whole.drop("n")
     rows = filled.select(*by, F.col(bin_).cast("bigint").alias("_k"), F.col(position).cast("double").alias("_x"), F.col(intensity).cast("double").alias("_y")).join(whole, list(by))
     near = F.sequence(F.floor((F.col("_k") - halo) / block), F.floor((F.col("_k") + halo) / block))
     spread = rows.withColumn("_b", F.explode(near))
@@ -210,18 +213,19 @@ def centroids(spectra: DataFrame, by: Sequence[str], bin_: str, position: str, i
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     kernel /= kernel.sum()
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_k")
-        lo, hi = int(frame["_b"].iloc[0]) * block, (int(frame["_b"].iloc[0]) + 1) * block
-        k = frame["_k"].to_numpy()
-        begin = k[0] - 1
+    fewest = max(5, window // 10)
+
+    def peaks_of(b: int, k: np.ndarray, x: np.ndarray, filled_y: np.ndarray, whole_p: float) -> list[tuple[float, float]]:
+        lo, hi, begin = b * block, (b + 1) * block, k[0] - 1
         y = np.zeros(k[-1] - begin + 2)
-        y[k - begin] = frame["_y"].to_numpy()
+        y[k - begin] = filled_y
         # Position of bin 0 from any filled bin.
-        origin = frame["_x"].iloc[0] - width * k[0]
-        some = pd.Series(np.where(y > 0, y, np.nan))
-        base = some.rolling(window, center=True, min_periods=max(5, window // 10)).quantile(percentile).fillna(frame["_whole"].iloc[0]).to_numpy()
-        base = np.convolve(np.pad(base, reach, mode="symmetric"), kernel, mode="valid")
+        origin = x[0] - width * k[0]
+        base = np.full(len(y), whole_p)
+        if len(k) >= fewest:
+            some = pd.Series(np.where(y > 0, y, np.nan))
+            base = some.rolling(window, center=True, min_periods=fewest).quantile(percentile).fillna(whole_p).to_numpy()
+            base = np.convolve(np.pad(base, reach, mode="symmetric"), kernel, mode="valid")
         out = []
         rising = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]) & (y[1:-1] >= base[1:-1] * (1 + baseline_factor))) + 1
         for i in rising:
@@ -245,13 +249,21 @@ def centroids(spectra: DataFrame, by: Sequence[str], bin_: str, position: str, i
             bend = y[i - 1] - 2 * y[i] + y[i + 1]
             delta = 0.5 * (y[i - 1] - y[i + 1]) / bend if abs(bend) > 1e-12 else 0.0
             out.append((round(origin + width * (i + begin + delta), decimals), y[i] - 0.25 * (y[i - 1] - y[i + 1]) * delta))
-        found = pd.DataFrame(out, columns=["mz", "intensity"], dtype=float)
-        for n, c in enumerate(by):
-            found.insert(n, c, frame[c].iloc[0])
-        return found
+        return out
 
+    def pick(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([*by, "_b", "_k"], kind="stable")
+        number = frame.groupby([*by, "_b"], sort=False, dropna=False).ngroup().to_numpy()
+        edges = np.r_[0, np.flatnonzero(np.diff(number)) + 1, len(number)]
+        k, x, y, b, p = (frame[c].to_numpy() for c in ("_k", "_x", "_y", "_b", "_whole"))
+        heads = {c: frame[c].to_numpy() for c in by}
+        out = [(*(heads[c][begin] for c in by), *peak) for begin, end in zip(edges[:-1], edges[1:], strict=True) for peak in peaks_of(int(b[begin]), k[begin:end], x[begin:end], y[begin:end], float(p[begin]))]
+        return pd.DataFrame(out, columns=[*by, "mz", "intensity"])
+
+    # Blocks with few filled bins share a call: lots of some 200,000 bins.
+    lots = (whole_rows or 0) // 200_000 + 16
     schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "mz double, intensity double"
-    found = spread.groupBy(*by, "_b").applyInPandas(pick, schema)
+    found = spread.withColumn("_lot", F.pmod(F.xxhash64(*by, "_b"), F.lit(lots))).groupBy("_lot").applyInPandas(pick, schema)
     return suppress_near(found, "mz", "intensity", merge_ppm, by)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import chemistry, spectral
-from ionloom.operators import aggregates, annotate, cleaning, formulas, joins, windows
+from ionloom.operators import aggregates, annotate, cleaning, formulas, joins, ranks, windows
 from ionloom.plans import ms1_queries, ms2_queries
 from ionloom.plans.ms1_queries import features, mapped, scans
 from ionloom.plans.ms2_queries import annotations, associations
@@ -139,10 +139,10 @@ def flat_filtered(spark: SparkSession, d: str, height: float = 10.0) -> DataFram
     return rows.groupBy("sample_id").agg(F.count_if(F.round(F.col("intensity") + 1e-8, 6) >= height).alias("n_kept"), F.count(F.lit(1)).alias("n_bins"))
 
 
-def aligned_centroids(spark: SparkSession, d: str) -> DataFrame:
+def aligned_features(spark: SparkSession, d: str) -> DataFrame:
     """Features: the filtered centroids of all samples, aligned over samples."""
     peaks = stored(sample_centroids(spark, d))
-    numbered = peaks.withColumn("idx", F.row_number().over(Window.partitionBy("sample_id", F.floor("mz")).orderBy("mz", "intensity")).cast("bigint") + F.floor("mz").cast("bigint") * 10_000)
+    numbered = ranks.ranked(peaks, ["sample_id"], [F.asc("mz"), F.asc("intensity")], "idx")
     return windows.align_across(numbered, "mz", "sample_id", "idx", 5.0).select("feature_mz", "n_members")
 
 
@@ -212,7 +212,7 @@ def peak_categories(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("place", F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (ms2_annotate, ms2_outcome, mirror_data, purity_table, associated_purity, removed_fragments, cleaned_scans, sample_centroids, flat_filtered, aligned_centroids, predicted_formulas, top_formulas, features_for_prediction, feature_hits, precursor_table, target_preview, peak_categories)}
+QUERIES = {f.__name__: f for f in (ms2_annotate, ms2_outcome, mirror_data, purity_table, associated_purity, removed_fragments, cleaned_scans, sample_centroids, flat_filtered, aligned_features, predicted_formulas, top_formulas, features_for_prediction, feature_hits, precursor_table, target_preview, peak_categories)}
 
 _BASE = ms2_queries._BASE + """, par AS (
   SELECT l.id, r.scan_id AS parent_scan_id FROM (SELECT id, sample_id, polarity, rt FROM a WHERE rt IS NOT NULL AND polarity IS NOT NULL) l

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ionloom.functions import spectral
 from ionloom.operators import aggregates, joins, ranks, windows
 from ionloom.operators.lifecycle import latest
+from ionloom.session import stored
 from ionloom.sources.tables import table
 
 
@@ -117,13 +118,6 @@ def background_fragments(spark: SparkSession, d: str) -> DataFrame:
     return out.where("n_keys >= 2").select("polarity", F.round("mz", 4).alias("mz"), "n_keys", "n_total", F.round("fraction", 6).alias("fraction"))
 
 
-def aligned_features(spark: SparkSession, d: str) -> DataFrame:
-    """Base peaks of the samples' spectra aligned over samples."""
-    p = scans(spark, d).where("size(mz) > 0").select("sample_id", spectral.base_peak(spectral.peaks(F.col("mz"), F.col("intensity"))).alias("mz"))
-    per_sample = p.select("sample_id", F.round("mz", 3).alias("mz")).distinct().withColumn("idx", F.floor(F.col("mz") * 1000).cast("bigint"))
-    return windows.align_across(per_sample, "mz", "sample_id", "idx", 10.0).select("feature_mz", "n_members")
-
-
 def feature_precision(spark: SparkSession, d: str) -> DataFrame:
     """Intensity-weighted m/z and spread of each feature's peaks over samples."""
     peaks = scans(spark, d).select("sample_id", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("sample_id", F.col("p.mz").cast("double").alias("m"), F.col("p.intensity").cast("double").alias("i"))
@@ -165,13 +159,13 @@ def tic_distribution(spark: SparkSession, d: str) -> DataFrame:
     return ends.join(q, "sample_id").select("sample_id", "lowest", "highest", *[F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
 
 
-def calibration_by_sample(spark: SparkSession, d: str) -> DataFrame:
+def tic_by_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Line of tic on the number of peaks, per sample."""
     out = aggregates.calibration(scans(spark, d).where("tic > 0"), ["sample_id"], "n_peaks", "tic")
     return out.where("slope is not null").select("sample_id", "n", F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"))
 
 
-def calibration_weighted(spark: SparkSession, d: str) -> DataFrame:
+def tic_by_peaks_weighted(spark: SparkSession, d: str) -> DataFrame:
     """The same weighted by 1/x."""
     out = aggregates.calibration(scans(spark, d).where("tic > 0"), ["sample_id"], "n_peaks", "tic", "1/x")
     return out.where("slope is not null").select("sample_id", F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"))
@@ -179,12 +173,13 @@ def calibration_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 def correlation(spark: SparkSession, d: str) -> DataFrame:
     """Pearson r of all pairs of features over the pixels of each sample."""
-    m = _matrix(spark, d)
+    # Small beside the scans, and used several times.
+    m = stored(_matrix(spark, d))
     n = mapped(spark, d).groupBy("sample_id").agg(F.count_distinct("pixel_id").alias("n"))
-    return aggregates.correlation_pairs(m, n, ["sample_id"], "pixel_id", "feature_id", "value").where("abs(r) >= 0.5").select("sample_id", "feature_a", "feature_b", F.round("r", 5).alias("r"))
+    return aggregates.correlation_pairs(m, n, ["sample_id"], "pixel_id", "feature_id", "value", min_abs=0.5).select("sample_id", "feature_a", "feature_b", F.round("r", 5).alias("r"))
 
 
-QUERIES = {f.__name__: f for f in (latest_scans, pixel_scan_join, pixel_first_scan, quantified_features, pixel_matrix, pixel_obs, average_spectrum, mad_filter, spectrum_quality, scan_similarity, tic_normalised, background_fragments, aligned_features, feature_precision, isotope_candidates, nearest_feature, polarity_counts, tic_ranges, tic_distribution, calibration_by_sample, calibration_weighted)}
+QUERIES = {f.__name__: f for f in (latest_scans, pixel_scan_join, pixel_first_scan, quantified_features, pixel_matrix, pixel_obs, average_spectrum, mad_filter, spectrum_quality, scan_similarity, tic_normalised, background_fragments, feature_precision, isotope_candidates, nearest_feature, polarity_counts, tic_ranges, tic_distribution, tic_by_peaks, tic_by_peaks_weighted)}
 QUERIES["feature_correlation"] = correlation
 
 _BASE = """
@@ -255,8 +250,8 @@ ORACLE = {
     "tic_ranges": _BASE + """, l AS (SELECT sample_id, min(tic) AS vmin FROM s GROUP BY ALL), h AS (SELECT sample_id, quantile_cont(tic, 0.995) AS hi FROM s JOIN l USING (sample_id) WHERE tic > vmin GROUP BY ALL)
  SELECT sample_id, vmin, round(coalesce(hi, vmin + 1), 4) AS vmax FROM l LEFT JOIN h USING (sample_id) WHERE vmin IS NOT NULL""",
     "tic_distribution": _BASE + " SELECT sample_id, min(tic) AS lowest, max(tic) AS highest, round(quantile_cont(tic, 0.25), 4) AS q25, round(quantile_cont(tic, 0.5), 4) AS median, round(quantile_cont(tic, 0.75), 4) AS q75 FROM s WHERE tic IS NOT NULL GROUP BY ALL",
-    "calibration_by_sample": _BASE + " SELECT sample_id, count(*) AS n, round(regr_slope(tic, n_peaks), 3) AS slope, round(regr_intercept(tic, n_peaks), 3) AS intercept, round(regr_r2(tic, n_peaks), 6) AS r2 FROM s WHERE tic > 0 AND n_peaks IS NOT NULL GROUP BY ALL HAVING var_pop(n_peaks) > 0",
-    "calibration_weighted": _BASE + """, w AS (SELECT sample_id, CAST(n_peaks AS DOUBLE) AS x, tic AS y, CASE WHEN n_peaks = 0 THEN 1 ELSE 1.0 / n_peaks END AS w FROM s WHERE tic > 0 AND n_peaks IS NOT NULL),
+    "tic_by_peaks": _BASE + " SELECT sample_id, count(*) AS n, round(regr_slope(tic, n_peaks), 3) AS slope, round(regr_intercept(tic, n_peaks), 3) AS intercept, round(regr_r2(tic, n_peaks), 6) AS r2 FROM s WHERE tic > 0 AND n_peaks IS NOT NULL GROUP BY ALL HAVING var_pop(n_peaks) > 0",
+    "tic_by_peaks_weighted": _BASE + """, w AS (SELECT sample_id, CAST(n_peaks AS DOUBLE) AS x, tic AS y, CASE WHEN n_peaks = 0 THEN 1 ELSE 1.0 / n_peaks END AS w FROM s WHERE tic > 0 AND n_peaks IS NOT NULL),
  m AS (SELECT sample_id, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY ALL),
  k AS (SELECT sample_id, any_value(mx) AS mx, any_value(my) AS my, sum(w * (x - mx) * (x - mx)) AS sxx, sum(w * (x - mx) * (y - my)) AS sxy FROM w JOIN m USING (sample_id) GROUP BY ALL)
  SELECT sample_id, round(sxy / sxx, 3) AS slope, round(my - sxy / sxx * mx, 3) AS intercept FROM k WHERE sxx > 0""",

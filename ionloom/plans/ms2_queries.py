@@ -184,8 +184,8 @@ def target_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def injected_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Unmatched target ions closer than 10 ppm as one injected feature."""
-    free = target_matches(spark, d).where("match_type = 'injected' and adduct = '[M+H]+'").join(library(spark, d).where("library_id = 2"), ["compound_id", "adduct"]).select("ref_mz", F.col("compound_id").alias("sample_key"), F.lit(0).alias("idx"))
+    """Unmatched target ions of either polarity closer than 10 ppm as one injected feature."""
+    free = target_matches(spark, d).where("match_type = 'injected'").join(library(spark, d).where("library_id = 2"), ["compound_id", "adduct"]).select("ref_mz", F.concat_ws(":", "compound_id", "adduct").alias("sample_key"), F.lit(0).alias("idx"))
     return windows.align_across(free, "ref_mz", "sample_key", "idx", 10.0).select("feature_mz", "n_members")
 
 
@@ -194,7 +194,9 @@ def annotation_funnel(spark: SparkSession, d: str) -> DataFrame:
     best = annotations(spark, d).where("feature_id is not null and inchikey is not null").groupBy("feature_id", "inchikey").agg(F.max("score").alias("s"))
     top = windows.rank_in_group(best, ["feature_id"], [F.desc("s"), F.asc("inchikey")], "n").where("n <= 2").groupBy("feature_id").agg(F.max("s").alias("first"), F.min(F.when(F.col("n") == 2, F.col("s"))).alias("second"))
     cutoffs = F.explode(F.array(*[F.lit(x) for x in (0.2, 0.5, 0.8)])).alias("cutoff")
-    return top.select("*", cutoffs).groupBy("cutoff").agg(F.count_if(F.col("first") >= F.col("cutoff")).alias("n_features"), F.round(F.median(F.col("first") - F.col("second")), 6).alias("median_lead"))
+    lead = ranks.percentiles(top.select((F.col("first") - F.col("second")).alias("lead")), [], "lead", [0.5]).first()
+    counts = top.select("*", cutoffs).groupBy("cutoff").agg(F.count_if(F.col("first") >= F.col("cutoff")).alias("n_features"))
+    return counts.withColumn("median_lead", F.round(F.lit(lead["q"][0] if lead else None).cast("double"), 6))
 
 
 def protected_features(spark: SparkSession, d: str) -> DataFrame:

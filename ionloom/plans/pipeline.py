@@ -214,7 +214,7 @@ def spatial_correlation(c: Context) -> DataFrame:
 def feature_correlation(c: Context, min_abs: float, rank: bool) -> DataFrame:
     """Pairs of features that are found together, or shun each other, on a sample's pixels."""
     n = mapped(c.spark, c.source).groupBy("sample_id").agg(F.count_distinct("pixel_id").alias("n"))
-    return aggregates.correlation_pairs(c.table("normalise"), n, ["sample_id"], "pixel_id", "feature_id", "value", rank).where(F.abs("r") >= min_abs)
+    return aggregates.correlation_pairs(c.table("normalise"), n, ["sample_id"], "pixel_id", "feature_id", "value", rank, min_abs=min_abs)
 
 
 def summary_report(c: Context) -> DataFrame:

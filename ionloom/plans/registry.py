@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ionloom.plans import annotation_queries, core_queries, ms1_queries, ms2_queries, spatial_queries
+from ionloom.plans import annotation_queries, core_queries, ms1_queries, ms2_queries, spatial_queries, table_queries
 
-MODULES = [ms2_queries, ms1_queries, spatial_queries, annotation_queries, core_queries]
+MODULES = [ms2_queries, ms1_queries, spatial_queries, annotation_queries, table_queries, core_queries]
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import chemistry, search
-from ionloom.operators import aggregates, isotopes, spatial
+from ionloom.operators import aggregates, isotopes, ranks, spatial
 from ionloom.operators.lifecycle import latest, move_rows
 from ionloom.plans import ms1_queries, ms2_queries
 from ionloom.plans.ms1_queries import features, mapped, scans
@@ -117,8 +117,8 @@ def roi_statistics(spark: SparkSession, d: str) -> DataFrame:
     return image.groupBy("sample_id", F.when(inside, "roi").otherwise("outside").alias("region")).agg(F.count(F.lit(1)).alias("n_pixels"), F.round(F.avg("v"), 6).alias("mean_v"))
 
 
-def internal_standard_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Mean over a sample's pixels of the ratio of two values of the pixel, where the second is positive."""
+def top_by_tic(spark: SparkSession, d: str) -> DataFrame:
+    """Mean over a sample's scans of the strongest peak by the total ion current, where that is positive."""
     s = scans(spark, d).select("sample_id", "scan_id", F.col("tic").alias("reference"), F.array_max("intensity").cast("double").alias("analyte"))
     return s.where("reference > 0 and analyte is not null").groupBy("sample_id").agg(F.round(F.avg(F.col("analyte") / F.col("reference")), 6).alias("ratio"), F.count(F.lit(1)).alias("n"))
 
@@ -161,7 +161,12 @@ def ms2_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def isotope_summary(spark: SparkSession, d: str) -> DataFrame:
     i = latest(table(spark, d, "feature_isotopes"), ["feature_id"], ["loaded_at"])
-    return i.groupBy("isotope_index", "charge").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("intensity_ratio"), 6).alias("median_ratio"), F.round(F.median("spatial_corr"), 6).alias("median_corr"))
+    key = ["isotope_index", "charge"]
+    out = i.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    for value, name in (("intensity_ratio", "median_ratio"), ("spatial_corr", "median_corr")):
+        middle = ranks.percentiles(i, key, value, [0.5]).select(*[F.col(c).alias(f"_{c}") for c in key], F.round(F.get("q", F.lit(0)), 6).alias(name))
+        out = out.join(middle, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left").drop(*[f"_{c}" for c in key])
+    return out
 
 
 def headline_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -257,14 +262,14 @@ def best_scan_of_feature(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumn("rank", rank).where("rank <= 3").select("feature_id", "rank", "id", "n_peaks")
 
 
-def mirror_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Features of the two polarities of libraries: pairs of annotated inchikeys shared by libraries 1 and 2."""
+def library_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated inchikeys of library 1, and whether library 2 has them too."""
     a = annotations(spark, d).where("inchikey is not null")
     one, two = (a.where(F.col("library_id") == i).select("inchikey").distinct() for i in (1, 2))
     return one.intersect(two).withColumn("shared", F.lit(True)).unionByName(one.subtract(two).withColumn("shared", F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (grid_indices, neighbour_counts, fill_blanks, local_moran, global_moran, moran_thresholds, feature_fill_blanks, feature_local_moran, feature_global_moran, feature_moran_thresholds, roi_statistics, internal_standard_ratio, placed_pixels, overlap_patterns, feature_membership, sample_counts, ms2_totals, isotope_summary, headline_counts, isotope_links, isotope_votes, features_after_isotopes, adduct_table, adduct_spelling, compound_masses, mz_decimals, concentrations, latest_features, overlay_values, target_set, best_scan_of_feature, mirror_pairs)}
+QUERIES = {f.__name__: f for f in (grid_indices, neighbour_counts, fill_blanks, local_moran, global_moran, moran_thresholds, feature_fill_blanks, feature_local_moran, feature_global_moran, feature_moran_thresholds, roi_statistics, top_by_tic, placed_pixels, overlap_patterns, feature_membership, sample_counts, ms2_totals, isotope_summary, headline_counts, isotope_links, isotope_votes, features_after_isotopes, adduct_table, adduct_spelling, compound_masses, mz_decimals, concentrations, latest_features, overlay_values, target_set, best_scan_of_feature, library_overlap)}
 
 _BASE = ms2_queries._BASE + """, px AS (
   SELECT sample_id, pixel_id, p.x AS x, p.y AS y FROM (SELECT sample_id, pixel_id, min(struct_pack(x := x, y := y)) AS p FROM spatial_pixels WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)
@@ -323,7 +328,7 @@ ORACLE = {
     "feature_moran_thresholds": _BASE + _FEATURE_IMAGES + """, t AS (SELECT CAST(unnest(range(0, 121)) AS INT) AS k), c AS (SELECT sample_id, feature_id, CAST(greatest(0, least(121, ceil((local_i + 1.0) / 0.05 - 1e-9))) AS INT) AS over FROM fl WHERE local_i IS NOT NULL)
  SELECT sample_id, feature_id, k AS threshold_index, count(*) FILTER (over > k) AS n_above, count(*) AS n_finite, round(100.0 * count(*) FILTER (over > k) / count(*), 6) AS pct FROM c, t GROUP BY ALL""",
     "roi_statistics": _BASE + f" SELECT sample_id, CASE WHEN ({_crossings()}) % 2 = 1 THEN 'roi' ELSE 'outside' END AS region, count(*) AS n_pixels, round(avg(v), 6) AS mean_v FROM im GROUP BY ALL",
-    "internal_standard_ratio": _BASE + " SELECT sample_id, round(avg(CAST(list_max(intensity) AS DOUBLE) / tic), 6) AS ratio, count(*) AS n FROM s WHERE tic > 0 AND len(intensity) > 0 GROUP BY ALL",
+    "top_by_tic": _BASE + " SELECT sample_id, round(avg(CAST(list_max(intensity) AS DOUBLE) / tic), 6) AS ratio, count(*) AS n FROM s WHERE tic > 0 AND len(intensity) > 0 GROUP BY ALL",
     "placed_pixels": _BASE + f" SELECT sample_id, pixel_id, CAST({_a} AS DOUBLE) * gx + CAST({_b} AS DOUBLE) * gy + {_c} AS u, CAST({_d} AS DOUBLE) * gx + CAST({_e} AS DOUBLE) * gy + {_f} AS v, CAST(0 AS DOUBLE) AS error FROM g",
     "overlap_patterns": _BASE + " SELECT array_to_string(list_sort([x.key for x in map_entries(members) if x.value IS NOT NULL]), '|') AS samples, count(*) AS n_features FROM f WHERE members IS NOT NULL GROUP BY ALL",
     "feature_membership": _BASE + ", m AS (SELECT unnest(map_entries(members)) AS e FROM f) SELECT e.key AS sample, count(*) AS n_features, round(avg(e.value), 6) AS mean_index FROM m WHERE e.value IS NOT NULL GROUP BY ALL",
@@ -343,5 +348,5 @@ ORACLE = {
  SELECT sample_id, pixel_id, round(pow(greatest(0, least(1, (v - vmin) / (coalesce(hi, vmin + 1) - vmin))), 0.8), 6) AS scaled FROM im JOIN l USING (sample_id) LEFT JOIN h USING (sample_id)""",
     "target_set": _BASE + " SELECT round_even(mz, 6) AS mz FROM f WHERE mz IS NOT NULL UNION SELECT * FROM (VALUES (255.2330::DOUBLE), (281.2486::DOUBLE))",
     "best_scan_of_feature": _BASE + " SELECT feature_id, CAST(rank AS INT) AS rank, id, n_peaks FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY n_peaks DESC, id) AS rank FROM a WHERE feature_id IS NOT NULL AND n_peaks IS NOT NULL) WHERE rank <= 3",
-    "mirror_pairs": _BASE + ", o AS (SELECT inchikey FROM n WHERE library_id = 1 AND inchikey IS NOT NULL), t AS (SELECT inchikey FROM n WHERE library_id = 2 AND inchikey IS NOT NULL) SELECT inchikey, true AS shared FROM (SELECT * FROM o INTERSECT SELECT * FROM t) UNION ALL SELECT inchikey, false FROM (SELECT * FROM o EXCEPT SELECT * FROM t)",
+    "library_overlap": _BASE + ", o AS (SELECT inchikey FROM n WHERE library_id = 1 AND inchikey IS NOT NULL), t AS (SELECT inchikey FROM n WHERE library_id = 2 AND inchikey IS NOT NULL) SELECT inchikey, true AS shared FROM (SELECT * FROM o INTERSECT SELECT * FROM t) UNION ALL SELECT inchikey, false FROM (SELECT * FROM o EXCEPT SELECT * FROM t)",
 }

@@ -182,6 +182,23 @@ def test_correlation_against_numpy(spark, rank):
     got = {(r["feature_a"], r["feature_b"]): r["r"] for r in aggregates.correlation_pairs(m, n, ["s"], "p", "f", "v", rank).collect()}
     assert set(got) == {(a, b) for a in range(4) for b in range(a + 1, 4)}
     assert all(v == pytest.approx(want[k]) for k, v in got.items())
+    # Cut into tiles and lots the products are the same.
+    tiles = aggregates.correlation_pairs(m, n, ["s"], "p", "f", "v", rank, pixels_per_lot=7, features_per_tile=1)
+    assert {(r["feature_a"], r["feature_b"]): r["r"] for r in tiles.collect()} == {k: pytest.approx(v) for k, v in got.items()}
+    if not rank:
+        one = {r["f"]: r["r"] for r in aggregates.correlation_with(m, n, ["s"], "p", "f", "v", 2).collect()}
+        assert one == {f: pytest.approx(want[2, f]) for f in (0, 1, 3)}
+
+
+def test_correlation_from_a_bound_on(spark):
+    """Features 0 and 1 are never on one pixel and fill it all: r is -1."""
+    x = np.zeros((40, 4))
+    x[:20, 0], x[20:, 1], x[:3, 2], x[3:5, 3] = 5.0, 5.0, 1.0, 1.0
+    m = spark.createDataFrame([("s", p, f, float(x[p, f])) for p in range(40) for f in range(4) if x[p, f]], "s string, p int, f int, v double")
+    n = spark.createDataFrame([("s", 40)], "s string, n long")
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in aggregates.correlation_pairs(m, n, ["s"], "p", "f", "v", min_abs=0.25).collect()}
+    want = np.corrcoef(x.T)
+    assert got == {(a, b): pytest.approx(want[a, b]) for a in range(4) for b in range(a + 1, 4) if abs(want[a, b]) >= 0.25} and got[0, 1] == pytest.approx(-1)
 
 
 def test_isotope_vote_and_links(spark):
