@@ -1,7 +1,7 @@
 """Scores for abusive, hateful or sexually explicit language.
 
-Every text becomes a few dozen dense features: per sentence the densities of
-the word lists, patterns, the distance from the person spoken to to the nearest
+Every text becomes a few dozen dense features: densities learned from labelled
+texts over all its words; and per sentence the densities of the word lists, patterns, the distance from the person spoken to to the nearest
 harsh word, capitals, punctuation and spellings made to evade lists; the text's
 features are those of its worst sentence and some totals. Gradient-boosted
 trees are fitted here on what reviewers said, and isotonic regression turns
@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.llm import lexicon
+from ionloom.llm import densities, lexicon
 from ionloom.llm.text import INVISIBLE, plain
+from ionloom.session import stored
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 LOOKALIKE = str.maketrans("асеорхуіѕјԁѵкмтвнАСЕОРХУІЅЈКМТВНαοερτυικν", "aceopxyisjdvkmtbhACEOPXYISJKMTBHaoeptuikv")
@@ -247,7 +248,8 @@ def _words(low: str) -> list[str]:
 
 SENTENCE_FEATURES = (*(f"{k}_density" for k in KINDS), *(f"{k}_count" for k in KINDS), "degrade", "threat", "hate", "lewd", "second_to_harsh", "group_to_dehumanise", "capitals", "marks", "evaded", "words", "evidence")
 N_SENTENCE = len(SENTENCE_FEATURES)
-FEATURES = (*(f"worst_{x}" for x in SENTENCE_FEATURES), "total_evaded")
+LISTED = (*(f"worst_{x}" for x in SENTENCE_FEATURES), "total_evaded")
+FEATURES = (*LISTED, *densities.NAMES)
 
 
 def sentence_features(sentence: str, low: str, hidden: int) -> list[float] | None:
@@ -285,8 +287,8 @@ def sentence_features(sentence: str, low: str, hidden: int) -> list[float] | Non
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """The text's feature row; zeros for NULL, empty and blank texts."""
-    out = np.zeros(len(FEATURES))
+    """The text's features from lists and phrases; zeros for NULL, empty and blank texts."""
+    out = np.zeros(len(LISTED))
     if not text:
         return out
     rows, at = [], N_SENTENCE - 1
@@ -317,8 +319,10 @@ def text_features(text: str | None) -> np.ndarray:
     return out
 
 
+#: Parts of the labelled texts, each described and judged by what the others taught.
+FOLDS = 5
 #: Features that speak for objectionable language whatever else holds.
-RISING = frozenset(i for i, x in enumerate(FEATURES) if x.removeprefix("worst_") in {"evidence", "degrade", "threat", "hate", "lewd", "second_to_harsh", "group_to_dehumanise", "evaded", "insult_count", "profanity_count", "sexual_count", "total_evaded"})
+RISING = frozenset(i for i, x in enumerate(FEATURES) if x.removeprefix("worst_") in {"evidence", "degrade", "threat", "hate", "lewd", "second_to_harsh", "group_to_dehumanise", "evaded", "insult_count", "profanity_count", "sexual_count", "total_evaded", *densities.NAMES})
 
 
 class BoostedTrees:
@@ -402,19 +406,21 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Scorer:
-    """Trees with their calibration; small, so it is sent to all tasks.
+    """Trees with their calibration and the table of learned densities; some megabytes, so it is sent to all tasks.
 
     Too few labels, or labels of one kind only, teach nothing: every score is then NaN, which scored() gives as NULL.
     """
 
-    def __init__(self, x: np.ndarray, labels: list[int], folds: int = 5, least_labels: int = 10):
+    def __init__(self, x: np.ndarray, labels: list[int], fold: np.ndarray | None = None, table: np.ndarray | None = None, least_labels: int = 10):
+        """x: rows of FEATURES; the learned ones of a row must come from texts of other folds than its own, or they would promise too much."""
         y = np.array(labels, dtype=float)
-        self.trees = None
+        self.trees, self.table = None, table
         if len(y) < least_labels or y.min() == y.max():
             return
+        fold = np.arange(len(y)) % FOLDS if fold is None else fold
         # Calibrated on margins of trees that had not seen the text.
-        fold, held = np.arange(len(y)) % folds, np.zeros(len(y))
-        for k in range(folds):
+        held = np.zeros(len(y))
+        for k in np.unique(fold):
             seen = fold != k
             held[~seen] = BoostedTrees(rising=RISING).fit(x[seen], y[seen]).margin(x[~seen]) if 0 < y[seen].sum() < seen.sum() else 0.0
         self.trees = BoostedTrees(rising=RISING).fit(x, y)
@@ -426,25 +432,54 @@ class Scorer:
         if self.trees is None:
             return np.full(len(texts), np.nan)
         x = np.stack([text_features(t) for t in texts])
-        return np.interp(self.trees.margin(x), self.at, self.probability)
+        return np.interp(self.trees.margin(np.hstack([x, densities.described(texts, self.table)])), self.at, self.probability)
 
 
 def fit(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_labels: int = 20_000) -> Scorer:
-    """Scorer from labelled texts; several labels of a text count by their mean, ties as not objectionable."""
+    """Scorer from labelled texts; several labels of a text count by their mean, ties as not objectionable.
+
+    The labelled texts (at most max_labels, those with the smallest hash) are fetched once and kept in the checkpoint folder.
+    Executors count words and describe texts; counts per bucket and feature rows are all that reaches the driver.
+    """
+    spark = documents.sparkSession
     said = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg(F.avg(label).alias("_y"))
     said = said.orderBy(F.xxhash64(doc_id), doc_id).limit(max_labels)
-    kind = documents.schema[doc_id].dataType.simpleString()
+    held = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(said.withColumnRenamed(doc_id, "id")), "id")
+    held = held.select("id", "text", (F.col("_y") > 0.5).cast("int").alias("y"), F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    held = stored(held.repartition(spark.sparkContext.defaultParallelism))
+    sizes = {(r["fold"], r["y"]): r["n"] for r in held.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("fold").to_numpy() * 2 + batch.column("y").to_numpy()
+            of, bucket = densities.presence(batch.column("text").to_pylist())
+            key, n = np.unique(part[of].astype(np.int64) << 40 | bucket, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 40), pa.array(key & ((1 << 40) - 1)), pa.array(n)], ["part", "bucket", "n"])
+
+    # A bucket that one text holds tells nothing.
+    counts = held.mapInArrow(count, "part bigint, bucket bigint, n bigint").groupBy("bucket").pivot("part", list(range(2 * FOLDS))).agg(F.sum("n")).na.fill(0)
+    counts = counts.where(sum((F.col(str(p)) for p in range(2 * FOLDS)), F.lit(0)) > 1).toArrow()
+    bucket = counts["bucket"].to_numpy()
+    by = np.stack([counts[str(p)].to_numpy() for p in range(2 * FOLDS)]) if len(bucket) else np.zeros((2 * FOLDS, 0))
+    of_kind = lambda y, without: sum((by[2 * k + y] for k in range(FOLDS) if k != without), np.zeros(len(bucket)))
+    texts_of = lambda y, without: sum(n for (k, label_), n in sizes.items() if label_ == y and k != without)
+    tables = [densities.weights(bucket, of_kind(1, k), of_kind(0, k), texts_of(1, k), texts_of(0, k)) for k in (*range(FOLDS), None)]
+    shared = spark.sparkContext.broadcast(tables[:FOLDS])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_features(t).tolist() for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("_y"), pa.array(rows, pa.list_(pa.float64()))], [doc_id, "_y", "x"])
-
-    # Only the feature rows of the bounded sample reach the driver, not texts; the labels go to the texts, at most max_labels of them.
-    labelled = documents.select(doc_id, F.col(text).alias("_text")).join(F.broadcast(said), doc_id).select(doc_id, "_text", "_y").repartition(documents.sparkSession.sparkContext.defaultParallelism)
-    rows = labelled.mapInArrow(describe, f"`{doc_id}` {kind}, _y double, x array<double>").collect()
-    rows.sort(key=lambda r: (r[0], r["x"]))
-    return Scorer(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), [int(r["_y"] > 0.5) for r in rows])
+            texts, fold = batch.column("text").to_pylist(), batch.column("fold").to_numpy()
+            x = np.hstack([np.array([text_features(t) for t in texts]).reshape(-1, len(LISTED)), np.zeros((len(texts), len(densities.NAMES)))])
+            for k in np.unique(fold):
+                some = np.flatnonzero(fold == k)
+                # With the weights that texts of the other folds gave.
+                x[some, len(LISTED) :] = densities.described([texts[i] for i in some], shared.value[k])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("fold"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "y", "fold", "x"])
+
+    kind = documents.schema[doc_id].dataType.simpleString()
+    rows = held.mapInArrow(describe, f"id {kind}, y int, fold int, x array<double>").collect()
+    rows.sort(key=lambda r: (r["id"], r["x"]))
+    return Scorer(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), [r["y"] for r in rows], np.array([r["fold"] for r in rows]), tables[-1])
 
 
 def scored(documents: DataFrame, scorer: Scorer, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:

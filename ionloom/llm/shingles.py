@@ -28,8 +28,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every word of the texts, which are plain and casefolded, in order."""
+def word_hashes(texts: Sequence[str], letters_used: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word of the texts, which are plain and casefolded, in order. letters_used: only so many of a word's first letters count."""
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     inside = _in_word()[codes]
     if not inside.any():
@@ -41,7 +41,11 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(first, append=len(letters))
     place = np.arange(len(letters)) - np.repeat(first, sizes)
     powers = np.cumprod(np.full(int(sizes.max()), _BASE, dtype=np.uint64))
-    sums = np.add.reduceat(letters * powers[place], first)
+    parts = letters * powers[place]
+    if letters_used is not None:
+        parts = np.where(place < letters_used, parts, np.uint64(0))
+        sizes = np.minimum(sizes, letters_used)
+    sums = np.add.reduceat(parts, first)
     ends = np.cumsum([len(t) + 1 for t in texts])
     return np.searchsorted(ends, np.flatnonzero(begin), side="right"), _mixed(sums + sizes.astype(np.uint64))
 

@@ -222,3 +222,34 @@ def test_isotonic_is_monotone():
     x = np.array([3.0, 1.0, 2.0, 5.0, 4.0])
     at, p = objectionable.isotonic(x, np.array([0, 0, 1, 1, 1.0]))
     assert list(p) == sorted(p) and list(at) == sorted(at) and p[-1] == 1 and p[0] == 0
+
+
+def test_learned_densities():
+    import numpy as np
+
+    from ionloom.llm import densities
+
+    r = random.Random(9)
+    words = [f"word{chr(97 + k)}" for k in range(26)]
+    texts = [" ".join([*r.choices(words, k=40), *(["vile", "slur"] if k % 5 == 0 else []), *r.choices(words, k=10)]) for k in range(200)]
+    y = np.array([k % 5 == 0 for k in range(200)], dtype=float)
+    of, bucket = densities.presence(texts[:100])
+    every, at = np.unique(bucket, return_inverse=True)
+    table = densities.weights(every, np.bincount(at, y[:100][of]), np.bincount(at, 1 - y[:100][of]), int(y[:100].sum()), int((1 - y[:100]).sum()))
+    x = densities.described([*texts[100:], None, "", "unseen things only", texts[0].upper().replace("VILE", "<b>ViLe</b>,")], table)
+    assert x.shape == (104, 3) and (x[100] == 0).all() and (x[101] == 0).all() and abs(x[102]).max() == 0
+    for column in x.T:
+        assert column[:100][y[100:] == 1].min() > column[:100][y[100:] == 0].max() and column[103] > column[:100][y[100:] == 0].max()
+    # The same however the texts are cut into lots.
+    one = np.vstack([densities.described([t], table) for t in texts[100:]])
+    assert np.allclose(one, x[:100])
+
+
+def test_a_label_without_any_listed_word_is_learned(spark):
+    """Texts that only a word outside all lists tells apart."""
+    make = lambda n, seed: [(k, " ".join(random.Random(seed * 1000 + k).choices(["map", "scan", "list", "file"], k=30) + (["glorptastic"] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(n)]
+    train, held = make(200, 1), make(80, 2)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in train], "doc_id int, text string")
+    scorer = objectionable.fit(docs, spark.createDataFrame([(i, y) for i, _, y in train], "doc_id int, objectionable int"), "doc_id", "text", "objectionable")
+    score = scorer.score([t for _, t, _ in held])
+    assert all((s >= 0.4) == bool(y) for s, (_, _, y) in zip(score, held, strict=True))
