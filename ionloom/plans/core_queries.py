@@ -151,7 +151,7 @@ WITH names AS (
   SELECT sample_id, attr, value_type, unit_name, unit_factors, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS x
   FROM metadata JOIN names ON regexp_replace(lower(key), '[^\\p{L}\\p{N}]', '', 'g') = k WHERE sample_id IS NOT NULL
 ), st AS (
-  SELECT * FROM v WHERE x IS NOT NULL AND x != '' AND lower(x) NOT IN ('n/a','na','unknown','none','null','nan','-','--','?','not recorded','not available','missing','tbd')
+  SELECT * FROM v WHERE x IS NOT NULL AND x != '' AND lower(x) NOT IN (@NOTHING@)
 ), r AS (
   SELECT *,
     CASE WHEN value_type = 'double' THEN TRY_CAST(replace(regexp_extract(x, '^([+-]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?)\\s*([^0-9].*)?$', 1), ',', '.') AS DOUBLE)
@@ -173,6 +173,47 @@ WITH names AS (
   FROM r GROUP BY sample_id, attr
 )"""
 
+_CELLS = _CELLS.replace("@NOTHING@", ", ".join(f"'{x}'" for x in wide.STATES_NOTHING))
+
+#: Valid lines with their fields: kind as a bit, value as text that is the same for equal values of one kind.
+_LINES = """
+WITH RECURSIVE ln AS (
+  SELECT exporter AS ex, table_name AS tb, file_name AS fn, exported_at, loaded_at, line_id, payload FROM raw_exports WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END
+), fl AS (
+  SELECT ex, tb, fn, exported_at, loaded_at, line_id, key AS name, kind, CASE kind WHEN 0 THEN NULL WHEN 1 THEN 's' || (v ->> '$') WHEN 2 THEN 'n' || CAST(v AS DOUBLE) ELSE 'j' || CAST(v AS VARCHAR) END AS val, v, jt FROM (
+    SELECT *, CASE jt WHEN 'NULL' THEN 0 WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 8 WHEN 'OBJECT' THEN 16 ELSE 2 END AS kind FROM (
+      SELECT *, json_extract(payload, '$."' || key || '"') AS v, json_type(payload, '$."' || key || '"') AS jt FROM (SELECT *, unnest(list_distinct(json_keys(payload))) AS key FROM ln)))
+)"""
+_CHANGES = _LINES + """, fi AS (
+  SELECT ex, tb, fn, row_number() OVER (PARTITION BY ex, tb ORDER BY min(exported_at), fn) AS n FROM fl GROUP BY ex, tb, fn
+), fd AS (SELECT ex, tb, n, fn, name, bit_or(kind) AS kinds FROM fl JOIN fi USING (ex, tb, fn) GROUP BY ALL
+), df AS (
+  SELECT i.ex, i.tb, i.n, i.fn, coalesce(c.name, p.name) AS name, c.name IS NOT NULL AS here, p.name IS NOT NULL AS before, c.kinds FROM fi i, LATERAL (SELECT DISTINCT name FROM fd f WHERE f.ex = i.ex AND f.tb = i.tb AND f.n IN (i.n, i.n - 1)) a
+  LEFT JOIN fd c ON c.ex = i.ex AND c.tb = i.tb AND c.n = i.n AND c.name = a.name LEFT JOIN fd p ON p.ex = i.ex AND p.tb = i.tb AND p.n = i.n - 1 AND p.name = a.name WHERE i.n > 1
+), li AS (SELECT ex, tb, n, line_id, val AS id, row_number() OVER (PARTITION BY ex, tb, n, val ORDER BY loaded_at DESC, line_id DESC) AS rn FROM fl JOIN fi USING (ex, tb, fn) WHERE name = 'id' AND val IS NOT NULL
+), rc AS (SELECT li.ex, li.tb, li.n, id, name, val FROM li JOIN fl USING (line_id) WHERE rn = 1 AND val IS NOT NULL
+), co AS (SELECT c.ex, c.tb, c.n, c.id FROM li c JOIN li p ON p.ex = c.ex AND p.tb = c.tb AND p.n = c.n - 1 AND p.id = c.id WHERE c.rn = 1 AND p.rn = 1
+), sg AS (
+  SELECT df.ex, df.tb, df.n, df.here, df.name, string_agg(co.id || '=' || rc.val, chr(1) ORDER BY co.id) AS sig FROM df JOIN co ON co.ex = df.ex AND co.tb = df.tb AND co.n = df.n
+  JOIN rc ON rc.ex = df.ex AND rc.tb = df.tb AND rc.n = CASE WHEN df.here THEN df.n ELSE df.n - 1 END AND rc.id = co.id AND rc.name = df.name WHERE df.here != df.before GROUP BY ALL
+), sr AS (SELECT *, row_number() OVER (PARTITION BY ex, tb, n, here, sig ORDER BY name) AS k FROM sg
+), rn AS (SELECT o.ex, o.tb, o.n, o.name AS prev_name, w.name AS new_name FROM sr o JOIN sr w ON w.ex = o.ex AND w.tb = o.tb AND w.n = o.n AND w.sig = o.sig AND w.k = o.k AND w.here AND NOT o.here
+), mk AS (SELECT ex, tb, n, new_name AS name, prev_name AS parent FROM rn UNION ALL SELECT ex, tb, n, prev_name, NULL FROM rn
+), tr AS (
+  SELECT ex, tb, n, name, kinds, name AS cur, n - 1 AS upto FROM df WHERE here AND before AND kinds != 0
+  UNION ALL
+  SELECT t.ex, t.tb, t.n, t.name, t.kinds, m.parent, m.n - 1 FROM tr t JOIN mk m ON m.ex = t.ex AND m.tb = t.tb AND m.name = t.cur AND m.n <= t.upto AND m.parent IS NOT NULL
+  WHERE NOT EXISTS (SELECT 1 FROM mk l WHERE l.ex = t.ex AND l.tb = t.tb AND l.name = t.cur AND l.n > m.n AND l.n <= t.upto) AND NOT EXISTS (SELECT 1 FROM fd f WHERE f.ex = t.ex AND f.tb = t.tb AND f.name = t.cur AND f.n BETWEEN m.n AND t.upto AND f.kinds != 0)
+), ts AS (SELECT tr.*, coalesce((SELECT max(mk.n) FROM mk WHERE mk.ex = tr.ex AND mk.tb = tr.tb AND mk.name = tr.cur AND mk.n <= tr.upto), 0) AS since FROM tr
+), wa AS (SELECT ts.ex, ts.tb, ts.n, ts.name, ts.kinds, arg_max(f.kinds, f.n) AS was FROM ts JOIN fd f ON f.ex = ts.ex AND f.tb = ts.tb AND f.name = ts.cur AND f.n BETWEEN ts.since AND ts.upto AND f.kinds != 0 GROUP BY ALL
+), ch AS (
+  SELECT ex, tb, n, CASE WHEN here THEN '' ELSE name END AS prev_name, CASE WHEN here THEN name ELSE '' END AS new_name, CASE WHEN here THEN 'added' ELSE 'removed' END AS change_kind FROM df WHERE here != before
+    AND NOT EXISTS (SELECT 1 FROM rn WHERE rn.ex = df.ex AND rn.tb = df.tb AND rn.n = df.n AND CASE WHEN df.here THEN rn.new_name ELSE rn.prev_name END = df.name)
+  UNION ALL SELECT ex, tb, n, prev_name, new_name, 'renamed' FROM rn
+  UNION ALL SELECT ex, tb, n, name, name, 'type_changed' FROM wa WHERE kinds & ~was != 0
+)"""
+_OWN_KIND = " ".join(f"WHEN tb = '{t}' AND name = '{c}' THEN " + {"bigint": "kind = 2 AND (jt != 'DOUBLE' OR TRY_CAST(v AS DOUBLE) = floor(TRY_CAST(v AS DOUBLE)))", "int": "kind = 2 AND (jt != 'DOUBLE' OR TRY_CAST(v AS DOUBLE) = floor(TRY_CAST(v AS DOUBLE))) AND abs(TRY_CAST(v AS DOUBLE)) < 2147483648", "double": "kind = 2", "string": "kind = 1"}[k] for t, of in TARGETS.items() for c, k in of.items())
+
 _DWELLS = """
 WITH dw AS (
   SELECT sample_id, pixel_id, CAST(round(t_start * 1000) AS BIGINT) AS s, CAST(round(t_end * 1000) AS BIGINT) AS e
@@ -198,6 +239,10 @@ WITH o AS (
 )"""
 
 ORACLE = {
+    "p2_found": _CHANGES + " SELECT DISTINCT ex AS exporter, tb AS table_name, fn AS file_name, prev_name, new_name, change_kind FROM ch JOIN fi USING (ex, tb, n)",
+    "p2_rejected": """SELECT line_id, exporter, table_name, file_name, reason, reason = 'repeated field' AS is_read FROM (
+  SELECT *, CASE WHEN payload IS NULL OR trim(payload) = '' THEN 'empty' WHEN NOT json_valid(payload) THEN 'no JSON' WHEN json_type(payload) != 'OBJECT' THEN 'no object' WHEN len(json_keys(payload)) > len(list_distinct(json_keys(payload))) THEN 'repeated field' END AS reason FROM raw_exports) WHERE reason IS NOT NULL""",
+    "p2_rescued": _LINES + f" SELECT ex AS exporter, tb AS table_name, fn AS file_name, name AS field, count(*) AS n_lines FROM fl WHERE kind != 0 AND NOT (CASE {_OWN_KIND} ELSE false END) GROUP BY ALL",
     "p1_found": _CELLS + " SELECT sample_id, attr, issue FROM c WHERE issue IS NOT NULL",
     "p3_found": _DWELLS + " SELECT DISTINCT sample_id, pixel_id, before AS gap_start_ms, s AS gap_end_ms FROM m WHERE s > before",
     "p3_periods": _DWELLS + """, g AS (
