@@ -175,8 +175,9 @@ def reveal(text: str) -> str:
     if _SPACED.search(text):
         text = _SPACED.sub(parted, text)
     low = text.lower()
-    if any(c in low for c in _TRIPLES):
-        text = _LONG_RUN.sub(shortened, text)
+    for c in _TRIPLES:
+        if c in low:
+            return _LONG_RUN.sub(shortened, text)
     return text
 
 
@@ -227,8 +228,9 @@ def about(word: str) -> tuple[int, tuple]:
     return word_bits(word), tuple((k, p) for k, p, begins in _PHRASES if any((word + " ").startswith(b) for b in begins))
 
 
-def phrases(words: list[str], told: list[tuple[int, tuple]]) -> dict[str, int]:
-    """How many phrases of each kind the words hold, none within another of its kind; each is tried only where its first word stands."""
+def phrases(words: list[str], told: list[tuple[int, tuple]], begun: set[str] | None = None) -> dict[str, int]:
+    """How many phrases of each kind the words hold, none within another of its kind; each is tried only where its first word stands.
+    begun: takes the first words of those found, but for phrases that say nothing by themselves."""
     out = dict.fromkeys(lexicon.PHRASES, 0)
     if any(t for _, t in told):
         flat, at, until = " ".join(words), 0, dict.fromkeys(out, 0)
@@ -237,6 +239,8 @@ def phrases(words: list[str], told: list[tuple[int, tuple]]) -> dict[str, int]:
                 if at >= until[kind] and (m := pattern.match(flat, at)):
                     out[kind] += 1
                     until[kind] = max(m.end(), at + 1)
+                    if begun is not None and kind != "exclude":
+                        begun.add(word)
             at += len(word) + 1
     return out
 
@@ -298,13 +302,21 @@ def text_features(text: str | None) -> np.ndarray:
         # Most texts hold nothing of any list: seen once for the whole text, not per sentence.
         words = _words(fold(shown.casefold()))
         told = [about(w) for w in words]
-        if not any(b & _TOUCHED for b, _ in told) and not any(n for k, n in phrases(words, told).items() if k != "exclude"):
+        begun: set[str] = set()
+        phrases(words, told, begun)
+        telling = begun | {w for w, (b, _) in zip(words, told, strict=True) if b & _TOUCHED}
+        if not telling:
             return
-        sentences = _SENTENCE.split(shown)
-        for sentence in sentences:
-            row = sentence_features(sentence, fold(sentence.casefold()), hidden)
-            if row is not None:
-                rows.append(row)
+        for sentence in _SENTENCE.split(shown):
+            low = fold(sentence.casefold())
+            # Letters as they are looked for: words lose their apostrophes.
+            flat = low.replace("'", "").replace("’", "") if "'" in low or "’" in low else low
+            for word in telling:
+                if word in flat:
+                    row = sentence_features(sentence, low, hidden)
+                    if row is not None:
+                        rows.append(row)
+                    break
 
     look(plain(text), 0)
     if rows and not text.isascii() and INVISIBLE.search(text):
