@@ -54,3 +54,27 @@ def composite(channels: DataFrame, by: Sequence[str], red: str, green: str, blue
     fold = {"sum": F.sum, "max": F.max}[mode]
     byte = lambda c: F.round(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), fold(c)))).cast("int")
     return channels.groupBy(*by).agg(byte(red).alias("r"), byte(green).alias("g"), byte(blue).alias("b"))
+
+
+def colour_ramp(anchors: Sequence[tuple[int, int, int]], steps: int = 256) -> list[int]:
+    """steps colours as 0xRRGGBB numbers, evenly between the anchors."""
+    out = []
+    for k in range(steps):
+        at = k * (len(anchors) - 1) / (steps - 1)
+        i = min(int(at), len(anchors) - 2)
+        r, g, b = (round(x + (y - x) * (at - i)) for x, y in zip(anchors[i], anchors[i + 1], strict=True))
+        out.append(r << 16 | g << 8 | b)
+    return out
+
+
+def colourised(grid: DataFrame, value: str, vmin: str, vmax: str, ramp: Sequence[int]) -> DataFrame:
+    """grid with rgba: the ramp's colour for a value between vmin and vmax (cut to them), opaque; transparent where there is no value."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(value) - F.col(vmin), F.col(vmax) - F.col(vmin))))
+    place = F.floor(F.coalesce(share, F.lit(0.0)) * (len(ramp) - 1) + 0.5).cast("int")
+    colour = F.get(F.array(*[F.lit(c) for c in ramp]), place).cast("bigint")
+    return grid.withColumn("rgba", F.when(F.col(value).isNotNull() & ~F.isnan(value), colour * 256 + 255).otherwise(F.lit(0).cast("bigint")))
+
+
+def write_rasters(grid: DataFrame, by: Sequence[str], folder: str) -> None:
+    """A folder of raster tables (y, x, value, rgba and what else grid has), a part per group of by; only groups that grid has are replaced."""
+    grid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)

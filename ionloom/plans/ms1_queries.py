@@ -101,7 +101,7 @@ def scan_similarity(spark: SparkSession, d: str) -> DataFrame:
     pairs = joins.asof(at, at.select("sample_id", "rt", F.col("scan_id").alias("previous_scan_id")), "_before", "rt", "previous_scan_id", ["sample_id"], width=300.0).where("previous_scan_id is not null").select("sample_id", "scan_id", "previous_scan_id")
     own = s.select("sample_id", "scan_id", spectral.peaks(F.col("mz"), F.col("intensity")).alias("p"))
     both = pairs.join(own, ["sample_id", "scan_id"]).join(own.select("sample_id", F.col("scan_id").alias("previous_scan_id"), F.col("p").alias("q")), ["sample_id", "previous_scan_id"])
-    m = spectral.reverse_dot_product(F.col("p"), F.col("q"), ppm=200.0)
+    m = spectral.reverse_dot_product(F.col("p"), F.col("q"))
     return both.withColumn("m", m).select("sample_id", "scan_id", "previous_scan_id", F.round("m.score", 6).alias("score"), F.col("m.n_matched_peaks").alias("n_matched_peaks"))
 
 
@@ -226,8 +226,8 @@ ORACLE = {
  pr AS (SELECT l.sample_id, l.scan_id, r.scan_id AS prev FROM sr l ASOF JOIN (SELECT sample_id, rt, max(scan_id) AS scan_id FROM sr GROUP BY ALL) r ON l.sample_id = r.sample_id AND l.rt - 1e-6 >= r.rt),
  up AS (SELECT *, max(i) OVER (PARTITION BY sample_id, scan_id) AS top FROM (SELECT sample_id, scan_id, CAST(unnest(mz) AS DOUBLE) AS m, CAST(unnest(intensity) AS DOUBLE) AS i, generate_subscripts(mz, 1) AS p FROM sr)),
  np AS (SELECT sample_id, scan_id, m, p, CASE WHEN top > 0 THEN i / top ELSE i END AS i FROM up WHERE top <= 0 OR i / top >= 0.01),
- mt AS (SELECT pr.*, l.m, l.i, (SELECT max(q.i) FROM np q WHERE q.sample_id = pr.sample_id AND q.scan_id = pr.scan_id AND abs(q.m - l.m) <= l.m * 2e-4) AS q FROM pr JOIN np l ON l.sample_id = pr.sample_id AND l.scan_id = pr.prev),
- ec AS (SELECT pr.*, count(*) AS nq, count(*) FILTER (EXISTS (SELECT 1 FROM np l WHERE l.sample_id = pr.sample_id AND l.scan_id = pr.prev AND abs(l.m - q.m) <= q.m * 2e-4)) AS ne FROM pr JOIN np q ON q.sample_id = pr.sample_id AND q.scan_id = pr.scan_id GROUP BY ALL),
+ mt AS (SELECT pr.*, l.m, l.i, (SELECT max(q.i) FROM np q WHERE q.sample_id = pr.sample_id AND q.scan_id = pr.scan_id AND abs(q.m - l.m) <= l.m * 1e-5) AS q FROM pr JOIN np l ON l.sample_id = pr.sample_id AND l.scan_id = pr.prev),
+ ec AS (SELECT pr.*, count(*) AS nq, count(*) FILTER (EXISTS (SELECT 1 FROM np l WHERE l.sample_id = pr.sample_id AND l.scan_id = pr.prev AND abs(l.m - q.m) <= q.m * 1e-5)) AS ne FROM pr JOIN np q ON q.sample_id = pr.sample_id AND q.scan_id = pr.scan_id GROUP BY ALL),
  sm AS (SELECT sample_id, scan_id, prev, sum(sqrt(i) * m * m * sqrt(coalesce(q, 0)) * m * m) AS lq, sum(i * m * m * m * m) AS ll, sum(coalesce(q, 0) * m * m * m * m) AS qq, count(q) AS nm, count(*) AS nl FROM mt GROUP BY ALL)
  SELECT sample_id, scan_id, prev AS previous_scan_id, round(least(1, CASE WHEN ll > 0 AND qq > 0 THEN least(1, lq / (sqrt(ll) * sqrt(qq))) ELSE 0 END * sqrt(nm / nl) * sqrt(ne / nq)), 6) AS score, CAST(nm AS INT) AS n_matched_peaks FROM sm JOIN ec USING (sample_id, scan_id, prev)""",
     "tic_normalised": _BASE + """, m AS (SELECT median(tic) AS med FROM s) SELECT sample_id, scan_id, CASE WHEN tic > 0 AND med > 0 THEN round(ln(1 + CAST(list_max(intensity) AS DOUBLE) * (med / tic)), 6) ELSE 0 END AS normalised FROM s, m""",

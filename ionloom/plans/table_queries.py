@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionloom.operators import aggregates, joins, ranks, spatial
-from ionloom.plans import ms1_queries, ms2_queries, spatial_queries
+from ionloom.operators import aggregates, exports, joins, ranks, spatial
+from ionloom.plans import annotation_queries, ms1_queries, ms2_queries, spatial_queries
 from ionloom.plans.ms1_queries import features, mapped, scans
 from ionloom.session import stored
 from ionloom.sources.tables import table
@@ -23,6 +23,17 @@ def region_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("sample_id", "region").agg(F.count(F.lit(1)).alias("n_pixels"), F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.min("v"), 6).alias("lowest"), F.round(F.max("v"), 6).alias("highest"))
 
 
+# Colours between which the ramp runs.
+ANCHORS = [(0, 0, 32), (64, 16, 128), (224, 96, 64), (255, 240, 160)]
+
+
+def raster_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Each sample's image as a raster of colours, scaled to its colour range."""
+    image = spatial_queries._image(spark, d)
+    scaled = image.join(aggregates.value_range(image, ["sample_id"], "v"), "sample_id")
+    return exports.colourised(scaled, "v", "vmin", "vmax", exports.colour_ramp(ANCHORS)).select("sample_id", "gy", "gx", "rgba")
+
+
 def obs_categories(spark: SparkSession, d: str) -> DataFrame:
     """Distinct polarities of the scans on pixels over all samples, in order."""
     on = mapped(spark, d).join(scans(spark, d).select("sample_id", "scan_id", "polarity"), ["sample_id", "scan_id"]).where("polarity is not null").select("polarity").distinct()
@@ -90,7 +101,46 @@ def dataset_features(spark: SparkSession, d: str) -> DataFrame:
     return near.join(names, "feature_id", "left").select("mz", "feature_id", "compound_name")
 
 
-QUERIES = {f.__name__: f for f in (region_groups, obs_categories, region_signal, feature_normalised, correlation_table, moran_table, dataset_features)}
+def base_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Per sample the strongest peaks of its MS2 spectra: how many spectra have one, their median and maximum."""
+    top = annotation_queries.ms2_spectra(spark, d).where("size(peaks) > 0").select("sample_id", F.array_max(F.transform("peaks", lambda x: x["i"])).alias("top"))
+    middle = ranks.percentiles(top, ["sample_id"], "top", [0.5]).select("sample_id", "n", F.round(F.get("q", F.lit(0)), 4).alias("median_top"))
+    return middle.join(top.groupBy("sample_id").agg(F.round(F.max("top"), 4).alias("highest")), "sample_id")
+
+
+def target_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per adduct the target ions, compounds, those found, those to inject, and features that they name."""
+    m = ms2_queries.target_matches(spark, d)
+    found = F.col("match_type") == "existing"
+    return m.groupBy("adduct").agg(F.count(F.lit(1)).alias("n_ions"), F.count_distinct("compound_id").alias("n_compounds"), F.count_if(found).alias("n_existing"), F.count_if(~found).alias("n_injected"), F.count_distinct("feature_id").alias("n_features"))
+
+
+def annotation_ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    """Features by how many compounds lie within 0.05 of their best score, and how many of them have the same best compound in every scan."""
+    a = ms2_queries.annotations(spark, d).where("feature_id is not null and inchikey is not null").select("feature_id", "sample_id", "scan_id", "inchikey", "score")
+    per = a.groupBy("feature_id", "inchikey").agg(F.max("score").alias("s"))
+    best = per.groupBy("feature_id").agg(F.max("s").alias("_b"))
+    near = per.join(best, "feature_id").where("s >= _b - 0.05").groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_near"))
+    scan = a.groupBy("feature_id", "sample_id", "scan_id").agg(F.min_by("inchikey", F.struct(-F.col("score"), "inchikey")).alias("k")).groupBy("feature_id").agg((F.count_distinct("k") == 1).alias("agrees"))
+    return near.join(scan, "feature_id").groupBy("n_near").agg(F.count(F.lit(1)).alias("n_features"), F.count_if("agrees").alias("n_agreeing"))
+
+
+def feature_value_range(spark: SparkSession, d: str) -> DataFrame:
+    """Per feature, pooled over samples: least and greatest detected value, and the 1st and 99th percentile."""
+    m = stored(ms1_queries._matrix(spark, d).where("value > 0"))
+    q = ranks.percentiles(m, ["feature_id"], "value", [0.01, 0.99])
+    ends = m.groupBy("feature_id").agg(F.round(F.min("value"), 4).alias("lowest"), F.round(F.max("value"), 4).alias("highest"))
+    return q.join(ends, "feature_id").select("feature_id", "n", "lowest", F.round(F.get("q", F.lit(0)), 4).alias("p01"), F.round(F.get("q", F.lit(1)), 4).alias("p99"), "highest")
+
+
+def feature_overview(spark: SparkSession, d: str) -> DataFrame:
+    """Every feature with its identity, its best MS2 scan, what became of its annotation and its candidates' names."""
+    r = ms2_queries.representative_annotation(spark, d).select("feature_id", "mz", "compound_name", "source", "best_score")
+    scan = ms2_queries.consensus_scan(spark, d).select("feature_id", F.col("id").alias("best_scan"))
+    return r.join(scan, "feature_id", "left").join(ms2_queries.annotation_outcome(spark, d), "feature_id", "left").join(ms2_queries.candidate_names(spark, d), "feature_id", "left")
+
+
+QUERIES = {f.__name__: f for f in (base_peaks, target_summary, annotation_ambiguity, feature_value_range, feature_overview, region_groups, raster_colours, obs_categories, region_signal, feature_normalised, correlation_table, moran_table, dataset_features)}
 
 
 def _inside(vertices: list[tuple[float, float]]) -> str:
@@ -100,7 +150,17 @@ def _inside(vertices: list[tuple[float, float]]) -> str:
 
 _BASE = spatial_queries._BASE
 _CHOSEN = ", ch AS (SELECT feature_id, row_number() OVER (ORDER BY count(*) DESC, feature_id) AS k FROM mx GROUP BY feature_id)"
+_RAMP = "[" + ", ".join(map(str, exports.colour_ramp(ANCHORS))) + "]"
 ORACLE = {
+    "base_peaks": annotation_queries._BASE + " SELECT sample_id, count(*) AS n, round(median(CAST(list_max(intensity) AS DOUBLE)), 4) AS median_top, round(max(CAST(list_max(intensity) AS DOUBLE)), 4) AS highest FROM sp WHERE len(intensity) > 0 GROUP BY ALL",
+    "target_summary": f"SELECT adduct, count(*) AS n_ions, count(DISTINCT compound_id) AS n_compounds, count(*) FILTER (match_type = 'existing') AS n_existing, count(*) FILTER (match_type = 'injected') AS n_injected, count(DISTINCT feature_id) AS n_features FROM ({ms2_queries.ORACLE['target_matches']}) GROUP BY ALL",
+    "annotation_ambiguity": _BASE + """, pe AS (SELECT feature_id, inchikey, max(score) AS s FROM n WHERE feature_id IS NOT NULL AND inchikey IS NOT NULL GROUP BY ALL), ne AS (SELECT feature_id, count(*) AS n_near FROM (SELECT *, max(s) OVER (PARTITION BY feature_id) AS b FROM pe) WHERE s >= b - 0.05 GROUP BY ALL),
+ sk AS (SELECT feature_id, inchikey FROM (SELECT *, row_number() OVER (PARTITION BY feature_id, sample_id, scan_id ORDER BY score DESC, inchikey) AS rk FROM n WHERE feature_id IS NOT NULL AND inchikey IS NOT NULL) WHERE rk = 1), ag AS (SELECT feature_id, count(DISTINCT inchikey) = 1 AS agrees FROM sk GROUP BY ALL)
+ SELECT n_near, count(*) AS n_features, count(*) FILTER (agrees) AS n_agreeing FROM ne JOIN ag USING (feature_id) GROUP BY ALL""",
+    "feature_value_range": _BASE + " SELECT feature_id, count(*) AS n, round(min(value), 4) AS lowest, round(quantile_cont(value, 0.01), 4) AS p01, round(quantile_cont(value, 0.99), 4) AS p99, round(max(value), 4) AS highest FROM mx WHERE value > 0 GROUP BY ALL",
+    "feature_overview": f"SELECT r.feature_id, mz, compound_name, source, best_score, c.id AS best_scan, outcome, names FROM ({ms2_queries.ORACLE['representative_annotation']}) r LEFT JOIN ({ms2_queries.ORACLE['consensus_scan']}) c ON c.feature_id = r.feature_id LEFT JOIN ({ms2_queries.ORACLE['annotation_outcome']}) o ON o.feature_id = r.feature_id LEFT JOIN ({ms2_queries.ORACLE['candidate_names']}) k ON k.feature_id = r.feature_id",
+    "raster_colours": _BASE + f""", l AS (SELECT sample_id, min(v) AS vmin FROM im GROUP BY ALL), h AS (SELECT sample_id, quantile_cont(v, 0.995) AS hi FROM im JOIN l USING (sample_id) WHERE v > vmin GROUP BY ALL)
+ SELECT sample_id, gy, gx, CAST(({_RAMP})[1 + CAST(floor(greatest(0, least(1, (v - vmin) / (coalesce(hi, vmin + 1) - vmin))) * 255 + 0.5) AS INT)] AS BIGINT) * 256 + 255 AS rgba FROM im JOIN l USING (sample_id) LEFT JOIN h USING (sample_id)""",
     "region_groups": _BASE + f""", rg AS (SELECT sample_id, v, {_inside(REGIONS['organ'])} AS organ, {_inside(REGIONS['spot'])} AS spot FROM im WHERE v > 0),
  rr AS (SELECT sample_id, v, 'organ' AS region FROM rg WHERE organ UNION ALL SELECT sample_id, v, 'spot' FROM rg WHERE spot UNION ALL SELECT sample_id, v, 'outside' FROM rg WHERE NOT organ AND NOT spot)
  SELECT sample_id, region, count(*) AS n_pixels, round(avg(v), 6) AS mean_v, round(min(v), 6) AS lowest, round(max(v), 6) AS highest FROM rr GROUP BY ALL""",

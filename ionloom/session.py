@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -42,7 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ionloom-checkpoint-"))
+    folder = tempfile.mkdtemp(prefix="ionloom-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -66,6 +66,17 @@ def test_library_and_datasets(spark):
         datasets.match_pixels(rows, pixels.limit(0), "sample", "name").collect()
 
 
+def test_rasters(spark, tmp_path):
+    ramp = exports.colour_ramp([(0, 0, 0), (255, 255, 255)], 3)
+    assert ramp == [0, 0x808080, 0xFFFFFF]
+    df = spark.createDataFrame([(1, 0, 0, -5.0), (1, 0, 1, 1.0), (1, 1, 0, 9.0), (1, 1, 1, None), (2, 0, 0, float("nan"))], "s int, y int, x int, v double").withColumns({"lo": F.lit(0.0), "hi": F.lit(2.0)})
+    shown = exports.colourised(df, "v", "lo", "hi", ramp)
+    assert [r["rgba"] for r in shown.orderBy("s", "y", "x").collect()] == [0xFF, 0x808080FF, 0xFFFFFFFF, 0, 0]
+    exports.write_rasters(shown, ["s"], str(tmp_path / "r"))
+    exports.write_rasters(shown.where("s = 2"), ["s"], str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).groupBy("s").count().count() == 2
+
+
 def test_pipeline_skips_done_stages_and_restores_on_failure(spark, tmp_path):
     n = {"calls": 0}
 
