@@ -25,9 +25,7 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 def buckets(texts: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(text number of every word, bucket of it per kind); a text's first word has its pair with nothing."""
-    folded = [plain(t).casefold() for t in texts]
-    of, words = shingles.word_hashes(folded)
-    _, begun = shingles.word_hashes(folded, LETTERS)
+    of, words, begun = shingles.word_hashes([plain(t).casefold() for t in texts], LETTERS)
     before = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) if len(words) else words
     if len(words):
         before = np.where(np.r_[True, of[1:] != of[:-1]], np.uint64(0), before)

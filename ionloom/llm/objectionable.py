@@ -44,6 +44,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 #: Single letters set apart, letters masked by signs, and signs or digits within a word.
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![^\W_])")
+_APART = re.compile(r"(?<![^\W_])[^\W\d_](?![^\W_])")
 _MASKED = re.compile(r"(?<![^\W_*#])[^\W\d_]+[*#]+[^\W\d_]*(?![^\W_*#])")
 _BROKEN = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[.\-_·|][^\W\d_]+)+(?![^\W_])")
 _OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u052f]")
@@ -121,13 +122,14 @@ def _parted(run: str) -> str | None:
 
 @lru_cache(maxsize=200_000)
 def _disguise(word: str) -> int:
-    """1: masked, 2: broken up, 4: with signs or digits for letters, so that a listed word may be meant."""
+    """1: masked, 2: broken up, 4: with signs or digits for letters, so that a listed word may be meant; 8: with a letter set apart."""
+    apart = 8 if _APART.search(word) else 0
     word = word.strip(_OUTER)
     if len(word) < 3 or word.isalpha() or not any(map(str.isalpha, word)):
-        return 0
+        return apart
     masked = "*" in word or "#" in word
     broken = not word.isalnum() and any(listed(re.sub(r"[.\-_·|]", "", m.group())) for m in _BROKEN.finditer(word))
-    return masked + 2 * broken + 4 * (not _SIGNS.isdisjoint(word) and listed(word.translate(LEET).strip("_")))
+    return apart + masked + 2 * broken + 4 * (not _SIGNS.isdisjoint(word) and listed(word.translate(LEET).strip("_")))
 
 
 def reveal(text: str) -> str:
@@ -162,9 +164,12 @@ def reveal(text: str) -> str:
     if not text.isascii() and _OTHER_SCRIPT.search(text):
         text = _WORD.sub(latin, text)
     # Patterns are tried only where the text's words give them something to find.
-    found = 0
+    found, letters = 0, 0
     for word in set(text.split()):
-        if not word.isalpha():
+        if word.isalpha():
+            letters += len(word) == 1
+        elif not word.replace(".", "").isdigit():
+            # Plain numbers, of which each is another, hide nothing.
             found |= _disguise(word)
     if found & 1:
         text = _MASKED.sub(unmasked, text)
@@ -172,7 +177,8 @@ def reveal(text: str) -> str:
         text = _BROKEN.sub(joined, text)
     if found & 4:
         text = _MIXED.sub(unleet, text)
-    if _SPACED.search(text):
+    # Letters set apart are words of one letter, or lie within a word of single letters and signs.
+    if letters > 1 or found & 8:
         text = _SPACED.sub(parted, text)
     low = text.lower()
     for c in _TRIPLES:

@@ -28,26 +28,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: Sequence[str], letters_used: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every word of the texts, which are plain and casefolded, in order. letters_used: only so many of a word's first letters count."""
+def word_hashes(texts: Sequence[str], beginnings: int | None = None) -> tuple[np.ndarray, ...]:
+    """(text number, hash) of every word of the texts, which are plain and casefolded, in order; with beginnings also the hash of so many of its first letters."""
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     inside = _in_word()[codes]
-    if not inside.any():
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
+    start = np.flatnonzero(begin)
+    if not len(start):
+        return (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * (1 if beginnings is None else 2))
     letters = codes[inside].astype(np.uint64)
     first = np.flatnonzero(begin[inside])
     sizes = np.diff(first, append=len(letters))
     place = np.arange(len(letters)) - np.repeat(first, sizes)
     powers = np.cumprod(np.full(int(sizes.max()), _BASE, dtype=np.uint64))
     parts = letters * powers[place]
-    if letters_used is not None:
-        parts = np.where(place < letters_used, parts, np.uint64(0))
-        sizes = np.minimum(sizes, letters_used)
-    sums = np.add.reduceat(parts, first)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return np.searchsorted(ends, np.flatnonzero(begin), side="right"), _mixed(sums + sizes.astype(np.uint64))
+    out = [np.searchsorted(ends, start, side="right"), _mixed(np.add.reduceat(parts, first) + sizes.astype(np.uint64))]
+    if beginnings is not None:
+        parts[place >= beginnings] = 0
+        out.append(_mixed(np.add.reduceat(parts, first) + np.minimum(sizes, beginnings).astype(np.uint64)))
+    return tuple(out)
 
 
 def shingle_hashes(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
