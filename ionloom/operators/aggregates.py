@@ -203,6 +203,25 @@ def value_range(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return low.join(high, list(by), "left").select(*by, "vmin", F.coalesce("_high", F.col("vmin") + 1).alias("vmax"))
 
 
+def violin(df: DataFrame, by: Sequence[str], value: str, points: int = 64, bins: int = 512) -> DataFrame:
+    """by, x, density: a Gaussian density estimate (Scott's width) at evenly spaced points between a group's least and greatest value.
+
+    Values are counted in bins first, so what is summed per point is at most a
+    row per bin, however many values there are. NULL density for a group of one
+    value or of equal ones; NULL and NaN values do not count.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_sd"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width))).cast("int")
+    counts = rows.join(stats.select(*by, "_lo", "_hi"), list(by)).groupBy(*by, at.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    hist = counts.where("_b is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_b", "_c"))).alias("_h"))
+    grid = stats.join(hist, list(by), "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k")).withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_k") / (points - 1)).withColumn("_s", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
+    centre = lambda b: F.col("_lo") + (b + 0.5) * width
+    total = F.aggregate("_h", F.lit(0.0), lambda acc, h: acc + h["_c"] * F.exp(-0.5 * F.pow((F.col("x") - centre(h["_b"])) / F.col("_s"), F.lit(2.0))))
+    return grid.select(*by, F.col("_k").alias("point"), "x", F.when(F.col("_s") > 0, total / (F.col("_n") * F.col("_s") * 2.5066282746310002)).alias("density"))
+
+
 def isotope_vote(links: DataFrame, present: DataFrame, protected: DataFrame, group: str = "sample", max_isotopes: int = 3) -> DataFrame:
     """Isotopes accepted from links found per sample: mono_id, isotope_id, k, z, n_samples_linked, n_samples_both, intensity_ratio, spatial_corr.
 

@@ -24,11 +24,15 @@ def rank_in_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], nam
 
 
 def first_with_tolerance(df: DataFrame, by: Sequence[str], score: str, richness: str, tiebreak: Sequence[str], keep: Sequence[str], tolerance: float) -> DataFrame:
-    """by and the keep columns of each group's representative row: among the rows within tolerance of the group's best score the one with the greatest richness, then score, then the least tiebreak (numbers). Two aggregates that combine before the shuffle."""
-    best = df.groupBy(*by).agg(F.max(score).alias("_best"))
-    near = df.join(best, list(by)).where(F.col(score) >= F.col("_best") - tolerance)
-    order = F.struct(F.col(richness), F.col(score), *[-F.col(c) for c in tiebreak])
-    return near.groupBy(*by).agg(F.max_by(F.struct(*keep), order).alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in keep])
+    """by and the keep columns of each group's representative row: among the rows within tolerance of the group's best score the one with the greatest richness, then score, then the least tiebreak (numbers).
+
+    Of the rows of one richness only the best can be it, so the rows are read and moved once, as one per group and richness.
+    Rows of a NULL group take no part.
+    """
+    per = df.groupBy(*by, F.col(richness).alias("_rich")).agg(F.max(score).alias("_score"), F.max_by(F.struct(*keep), F.struct(F.col(score), *[-F.col(c) for c in tiebreak])).alias("_r"))
+    best = per.groupBy(*by).agg(F.max("_score").alias("_best"))
+    near = per.join(best, list(by)).where(F.col("_score") >= F.col("_best") - tolerance)
+    return near.groupBy(*by).agg(F.max_by("_r", F.struct("_rich", "_score")).alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in keep])
 
 
 def rank_with_tolerance(df: DataFrame, by: Sequence[str], score: str, richness: str, tiebreak: Sequence[str], tolerance: float, name: str) -> DataFrame:

@@ -101,6 +101,12 @@ def dataset_features(spark: SparkSession, d: str) -> DataFrame:
     return near.join(names, "feature_id", "left").select("mz", "feature_id", "compound_name")
 
 
+def tic_violins(spark: SparkSession, d: str) -> DataFrame:
+    """Density of the logarithm of the total ion current per sample, at 64 points."""
+    rows = scans(spark, d).where("tic > 0").select("sample_id", F.log10("tic").alias("v"))
+    return aggregates.violin(rows, ["sample_id"], "v").select("sample_id", "point", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
 def base_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Per sample the strongest peaks of its MS2 spectra: how many spectra have one, their median and maximum."""
     top = annotation_queries.ms2_spectra(spark, d).where("size(peaks) > 0").select("sample_id", F.array_max(F.transform("peaks", lambda x: x["i"])).alias("top"))
@@ -140,7 +146,7 @@ def feature_overview(spark: SparkSession, d: str) -> DataFrame:
     return r.join(scan, "feature_id", "left").join(ms2_queries.annotation_outcome(spark, d), "feature_id", "left").join(ms2_queries.candidate_names(spark, d), "feature_id", "left")
 
 
-QUERIES = {f.__name__: f for f in (base_peaks, target_summary, annotation_ambiguity, feature_value_range, feature_overview, region_groups, raster_colours, obs_categories, region_signal, feature_normalised, correlation_table, moran_table, dataset_features)}
+QUERIES = {f.__name__: f for f in (tic_violins, base_peaks, target_summary, annotation_ambiguity, feature_value_range, feature_overview, region_groups, raster_colours, obs_categories, region_signal, feature_normalised, correlation_table, moran_table, dataset_features)}
 
 
 def _inside(vertices: list[tuple[float, float]]) -> str:
@@ -152,6 +158,10 @@ _BASE = spatial_queries._BASE
 _CHOSEN = ", ch AS (SELECT feature_id, row_number() OVER (ORDER BY count(*) DESC, feature_id) AS k FROM mx GROUP BY feature_id)"
 _RAMP = "[" + ", ".join(map(str, exports.colour_ramp(ANCHORS))) + "]"
 ORACLE = {
+    "tic_violins": ms1_queries._BASE + """, vv AS (SELECT sample_id, log10(tic) AS v FROM s WHERE tic > 0), st AS (SELECT sample_id, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS w FROM vv GROUP BY ALL),
+ hs AS (SELECT sample_id, least(511, floor((v - lo) / ((hi - lo) / 512))) AS b, count(*) AS c FROM vv JOIN st USING (sample_id) WHERE hi > lo GROUP BY ALL), gr AS (SELECT st.*, CAST(k AS INT) AS point, lo + (hi - lo) * k / 63 AS x FROM st, range(64) t(k)),
+ de AS (SELECT gr.sample_id, point, any_value(x) AS x, sum(c * exp(-0.5 * pow((x - (lo + (b + 0.5) * (hi - lo) / 512)) / w, 2))) / any_value(n * w * 2.5066282746310002) AS density FROM gr JOIN hs USING (sample_id) GROUP BY ALL)
+ SELECT gr.sample_id, gr.point, round(gr.x, 6) AS x, round(density, 6) AS density FROM gr LEFT JOIN de ON de.sample_id = gr.sample_id AND de.point = gr.point""",
     "base_peaks": annotation_queries._BASE + " SELECT sample_id, count(*) AS n, round(median(CAST(list_max(intensity) AS DOUBLE)), 4) AS median_top, round(max(CAST(list_max(intensity) AS DOUBLE)), 4) AS highest FROM sp WHERE len(intensity) > 0 GROUP BY ALL",
     "target_summary": f"SELECT adduct, count(*) AS n_ions, count(DISTINCT compound_id) AS n_compounds, count(*) FILTER (match_type = 'existing') AS n_existing, count(*) FILTER (match_type = 'injected') AS n_injected, count(DISTINCT feature_id) AS n_features FROM ({ms2_queries.ORACLE['target_matches']}) GROUP BY ALL",
     "annotation_ambiguity": _BASE + """, pe AS (SELECT feature_id, inchikey, max(score) AS s FROM n WHERE feature_id IS NOT NULL AND inchikey IS NOT NULL GROUP BY ALL), ne AS (SELECT feature_id, count(*) AS n_near FROM (SELECT *, max(s) OVER (PARTITION BY feature_id) AS b FROM pe) WHERE s >= b - 0.05 GROUP BY ALL),

@@ -262,3 +262,15 @@ def test_claims_as_in_turn(spark):
             want |= set(chain)
             taken |= {c[2] for c in chain} | ({a} if chain else set())
     assert got == want and len(want) > 5
+
+
+def test_violin(spark):
+    r = np.random.default_rng(4)
+    v = np.r_[r.normal(0, 1, 3000), r.normal(6, 0.5, 1000)]
+    rows = [("a", float(x)) for x in v] + [("flat", 2.0), ("flat", 2.0), ("one", 1.0), ("a", None), ("a", float("nan"))]
+    got = aggregates.violin(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()
+    a = sorted((x["x"], x["density"]) for x in got if x["g"] == "a")
+    width = v.std(ddof=1) * len(v) ** -0.2
+    for x, d in a[::7]:
+        assert d == pytest.approx(np.exp(-0.5 * ((x - v) / width) ** 2).sum() / (len(v) * width * np.sqrt(2 * np.pi)), rel=0.01, abs=1e-4)
+    assert len(a) == 64 and all(x["density"] is None for x in got if x["g"] in ("flat", "one"))
