@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 
 from ionloom.session import stored
 
-#: Distinct values up to which one task per group may hold those of a group.
+#: Rows, or distinct values, up to which one task may hold those of a group.
 HELD_VALUES = 1_000_000
 
 
-def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    """df with name: 1..n within by, in this order, which must tell all rows of a group apart for equal results on every run. NULL is a group like any other."""
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, most_held: int = HELD_VALUES) -> DataFrame:
+    """df with name: 1..n within by, in this order, which must tell all rows of a group apart for equal results on every run. NULL is a group like any other.
+
+    No more than most_held rows in all are numbered by a window, as no task can then hold more; else by ranges. The numbers are the same.
+    """
+    df = stored(df)
+    if df.count() <= most_held:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     placed = stored(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_range", F.spark_partition_id()))
     counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -281,6 +281,14 @@ _AVERAGE = ms1_queries._BASE + """, u AS (SELECT s.sample_id, mz, intensity FROM
  av AS (SELECT sample_id, bin, 70 + (bin + 0.5) * 0.5 AS mz, sum(i) / any_value(n) AS intensity FROM b JOIN np USING (sample_id) WHERE bin BETWEEN 0 AND 1659 GROUP BY ALL)"""
 
 ORACLE = {
+    "precursor_table": ms2_queries._BASE + f""" SELECT c.feature_id, rank, tie_rank, count(*) OVER (PARTITION BY c.feature_id, tie_rank) AS n_tied, compound_id, adduct, ppm_error, round(mz_weighted, 6) AS mz_weighted, round(mz_spread_ppm, 6) AS mz_spread_ppm
+ FROM ({ms2_queries.ORACLE['precursor_candidates']}) c LEFT JOIN f ON f.feature_id = c.feature_id""",
+    "target_preview": ms2_queries._BASE + """, tg AS (SELECT compound_id, compound_name, adduct, ref_mz FROM lib WHERE library_id = 2 AND adduct IN ('[M+H]+', '[M-H]-')),
+ nb AS (SELECT tg.*, feature_id, round((mz - ref_mz) / ref_mz * 1e6, 4) AS ppm, row_number() OVER (PARTITION BY compound_id, adduct ORDER BY abs((ref_mz - mz) / mz), mz, feature_id) AS rn FROM tg JOIN f ON ref_mz BETWEEN mz - mz * 1e-5 AND mz + mz * 1e-5),
+ ht AS (SELECT nb.*, coalesce(rep.compound_name, '') AS current_name, coalesce(source = 'predicted', true) AS free FROM nb JOIN rep USING (feature_id) WHERE rn = 1),
+ us AS (SELECT *, free AND row_number() OVER (PARTITION BY feature_id, free ORDER BY abs(ppm), compound_id, adduct) = 1 AS use FROM ht)
+ SELECT compound_id, compound_name, true AS detected, adduct, feature_id, ppm, current_name, use FROM us
+ UNION ALL SELECT DISTINCT compound_id, compound_name, false, '', -1, 0.0, '', false FROM tg WHERE compound_id NOT IN (SELECT compound_id FROM ht)""",
     "associated_purity": ms2_queries._BASE + ms2_queries._PURITY + " SELECT a.sample_id, count(*) AS n_associated, count(*) FILTER (purity_score >= 0.8) AS n_ge_cutoff FROM pu JOIN a USING (id) WHERE feature_id IS NOT NULL GROUP BY ALL",
     "ms2_annotate": _SCORED + """ SELECT sample_id, scan_id, feature_id, library_id, spectrum_id, round(score, 6) AS score, round(dot, 6) AS dot_product_score, round(lc, 6) AS lib_coverage, round(em, 6) AS emp_coverage, CAST(nm AS INT) AS n_matched_peaks, CAST(nl AS INT) AS n_lib_peaks,
  CAST(row_number() OVER (PARTITION BY sample_id, scan_id ORDER BY round(score, 9) DESC, library_id, spectrum_id) AS INT) AS rank_ms2 FROM sc WHERE nm >= 1""",

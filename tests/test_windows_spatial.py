@@ -99,10 +99,11 @@ def test_exact_percentiles_of_groups_of_any_size(spark, held):
     assert ranks.percentiles(df.limit(0), ["g"], "v", [0.5], held).count() == 0
 
 
-def test_ranks_by_ranges(spark):
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_ranks_by_ranges(spark, held):
     rows = [("hot" if k % 3 else None, k, (k * 7919) % 13) for k in range(2000)]
     df = spark.createDataFrame(rows, "g string, id int, v int").repartition(7)
-    got = {x["id"]: x["r"] for x in ranks.ranked(df, ["g"], [F.desc("v"), F.asc("id")], "r").collect()}
+    got = {x["id"]: x["r"] for x in ranks.ranked(df, ["g"], [F.desc("v"), F.asc("id")], "r", held).collect()}
     for g in ("hot", None):
         order = sorted((-v, k) for h, k, v in rows if h == g)
         assert all(got[k] == n for n, (_, k) in enumerate(order, 1))
