@@ -196,7 +196,10 @@ def isotope_links(spark: SparkSession, d: str) -> DataFrame:
     """Isotopes linked within each sample from the images of all features, before any vote."""
     f = features(spark, d).where("mz is not null").select("feature_id", "mz")
     n = mapped(spark, d).groupBy("sample_id").agg(F.count_distinct("pixel_id").alias("n"))
-    links = isotopes.link_isotopes(f, stored(ms1_queries._matrix(spark, d)), n, "sample_id", "pixel_id", "feature_id", "mz", "value")
+    # Merged, as in the operator: the files of scans on pixels and of features are far smaller than their rows.
+    values = aggregates.quantify(scans(spark, d).hint("merge"), f, ["sample_id"], "scan_id", "feature_id", "mz", 5.0)
+    matrix = stored(aggregates.pixel_matrix(values.hint("merge"), mapped(spark, d), ["sample_id"], "scan_id", "pixel_id", "feature_id"))
+    links = isotopes.link_isotopes(f, matrix, n, "sample_id", "pixel_id", "feature_id", "mz", "value")
     return links.select("sample_id", "mono_id", "isotope_id", "k", "z", F.round("ratio", 6).alias("ratio"), F.round("corr", 6).alias("corr"))
 
 
