@@ -44,7 +44,7 @@ def spatial_correlation(pairs: DataFrame, matrix: DataFrame, sample: str, pixel:
     return pairs.join(s.select(sample, "mono_id", "isotope_id", r.alias("corr")).hint("merge"), [sample, "mono_id", "isotope_id"], "left").withColumn("corr", F.coalesce("corr", F.lit(-1.0)))
 
 
-def link_isotopes(features: DataFrame, matrix: DataFrame, n_pixels: DataFrame, sample: str, pixel: str, feature: str, mz: str, value: str, ppm: float = 5.0, max_isotopes: int = 3, max_charge: int = 1, min_corr: float = 0.5) -> DataFrame:
+def link_isotopes(features: DataFrame, matrix: DataFrame, n_pixels: DataFrame, sample: str, pixel: str, feature: str, mz: str, value: str, ppm: float = 5.0, max_isotopes: int = 3, max_charge: int = 1, min_corr: float = 0.5, image_pixels: str | None = None) -> DataFrame:
     """sample, mono_id, isotope_id, k, z, ratio, corr.
 
     From the most intense feature (mean over all pixels of the sample) down,
@@ -53,13 +53,15 @@ def link_isotopes(features: DataFrame, matrix: DataFrame, n_pixels: DataFrame, s
     plausible, and as often together as min_corr asks (the best correlated
     wins); the charge with the longest chain counts. Features can only get in
     each other's way within a connected part of the candidate pairs; these
-    parts, not samples, are what is claimed within one call.
+    parts, not samples, are what is claimed within one call. image_pixels: the
+    column of matrix, if any, that counts the positive pixels of a row's image.
     """
     masses = features.select(feature, F.col(mz).alias("_mz")).where("_mz is not null").hint("merge")
     sums = lambda m: m.groupBy(sample, feature).agg(F.sum(value).alias("_s"), F.count_if(F.col(value) > 0).alias("_n"))
     # With fewer pixels the correlation is -1.
     seen = (F.col("_s") > 0) & ((F.col("_n") >= LEAST_PIXELS) | F.lit(min_corr <= -1))
-    mono = stored(sums(matrix).where(seen).join(masses, feature).select(sample, F.col(feature).alias("mono_id"), F.col("_mz").alias("mono_mz"), F.col("_s").alias("mono_s")))
+    large = matrix.where(F.col(image_pixels) >= LEAST_PIXELS) if image_pixels and min_corr > -1 else matrix
+    mono = stored(sums(large).where(seen).join(masses, feature).select(sample, F.col(feature).alias("mono_id"), F.col("_mz").alias("mono_mz"), F.col("_s").alias("mono_s")))
     few = small_enough(mono, FEW)
     near = matrix.join(F.broadcast(mono.select(sample)), sample, "left_semi") if few else matrix
     iso = sums(near).join(masses, feature).select(sample, F.col(feature).alias("isotope_id"), "_mz", F.col("_s").alias("iso_s"))

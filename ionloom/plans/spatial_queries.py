@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import chemistry, search
-from ionloom.operators import aggregates, isotopes, ranks, spatial
+from ionloom.operators import aggregates, isotopes, joins, ranks, spatial
 from ionloom.operators.lifecycle import latest, move_rows
 from ionloom.plans import ms1_queries, ms2_queries
 from ionloom.plans.ms1_queries import features, mapped, scans
@@ -196,10 +196,15 @@ def isotope_links(spark: SparkSession, d: str) -> DataFrame:
     """Isotopes linked within each sample from the images of all features, before any vote."""
     f = features(spark, d).where("mz is not null").select("feature_id", "mz")
     n = mapped(spark, d).groupBy("sample_id").agg(F.count_distinct("pixel_id").alias("n"))
-    # Merged, as in the operator: the files of scans on pixels and of features are far smaller than their rows.
-    values = aggregates.quantify(scans(spark, d).hint("merge"), f, ["sample_id"], "scan_id", "feature_id", "mz", 5.0)
-    matrix = stored(aggregates.pixel_matrix(values.hint("merge"), mapped(spark, d), ["sample_id"], "scan_id", "pixel_id", "feature_id"))
-    links = isotopes.link_isotopes(f, matrix, n, "sample_id", "pixel_id", "feature_id", "mz", "value")
+    # Merged, as in the operator: the files of scans on pixels and of features are far smaller than their rows. Scans take
+    # their pixels along, so that what is found of a feature moves once, to where its image is made and counted.
+    on = scans(spark, d).hint("merge").join(mapped(spark, d), ["sample_id", "scan_id"])
+    peaks = on.select("sample_id", "scan_id", "pixel_id", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("sample_id", "scan_id", "pixel_id", F.col("p.mz").cast("double").alias("_m"), F.col("p.intensity").cast("double").alias("_i")).where("_i > 0")
+    found = joins.ppm_join(peaks.hint("merge"), f.select("feature_id", F.col("mz").alias("_t")), "_m", "_t", 5.0).select("sample_id", "scan_id", "pixel_id", "feature_id", "_i").repartition("sample_id", "feature_id")
+    values = found.groupBy("sample_id", "pixel_id", "scan_id", "feature_id").agg(F.max("_i").alias("value"))
+    matrix = values.groupBy("sample_id", "pixel_id", "feature_id").agg(F.avg("value").alias("value"))
+    matrix = stored(matrix.withColumn("n_pixels", F.count(F.lit(1)).over(Window.partitionBy("sample_id", "feature_id"))))
+    links = isotopes.link_isotopes(f, matrix, n, "sample_id", "pixel_id", "feature_id", "mz", "value", image_pixels="n_pixels")
     return links.select("sample_id", "mono_id", "isotope_id", "k", "z", F.round("ratio", 6).alias("ratio"), F.round("corr", 6).alias("corr"))
 
 
